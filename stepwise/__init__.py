@@ -5,6 +5,14 @@ Every public function takes and returns a ``pyspark.sql.DataFrame`` (or a
 stays inside whole-stage code generation and scales with the cluster.
 """
 
-from stepwise.session import get_session, scratch_path
+import sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# The few Python functions that run inside tasks (Arrow UDFs, mapInPandas
+# bodies) are shipped by value, so executors need no installed copy.
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from stepwise.session import get_session, scratch_path  # noqa: E402
 
 __all__ = ["get_session", "scratch_path"]

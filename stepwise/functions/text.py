@@ -32,3 +32,13 @@ def py_strip_sql(expr: str) -> str:
 def py_str_int(c: Column) -> Column:
     """``str(int)`` for integral columns."""
     return c.cast("bigint").cast("string")
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it (possibly many times) in ``body``.
+
+    ``body`` receives a lambda variable.  Keeping every step's reference to
+    its input single stops alias substitution (predicate push-down, project
+    collapsing) from duplicating large expressions exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
