@@ -47,6 +47,26 @@ def capped_exp(z: Column) -> Column:
     return F.exp(F.least(z, F.lit(EXP_CAP)))
 
 
+def round_half_away(c: Column, places: int = 6) -> Column:
+    """``round(x * 10^p) / 10^p`` on the binary value, halves away from zero.
+
+    Spark's ``round`` rounds the shortest decimal string of a double, so a
+    value printed as ``4.1546875`` goes up while its binary value sits just
+    below the half; report columns use this arithmetic form instead, which
+    gives bitwise-identical results in other engines that round the same way.
+    """
+    x = c.cast("double")
+    scale = float(10 ** places)
+    v = x * scale
+    r = F.signum(v) * F.floor(F.abs(v) + 0.5).cast("double") / scale
+    ok = ~F.isnan(x) & (F.abs(v) < F.lit(1e15))
+    return F.when(ok, r).otherwise(x)
+
+
 def r6(c: Column) -> Column:
-    """Round a double to 6 places for reports and cross-engine comparison."""
-    return F.round(c.cast("double"), 6)
+    """Round a double to 6 places for reports and cross-engine comparison.
+
+    Rounding to 9 places first absorbs last-bit noise from summation order,
+    so the second rounding cannot fall on different sides of a tie.
+    """
+    return round_half_away(round_half_away(c, 9), 6)

@@ -8,12 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from stepwise.functions.numeric import r6, round_half_away
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def two_stage_rounding(sql: str) -> str:
+    """Oracle text: every ``round(x, 6)`` becomes ``round(round(x, 9), 6)``.
+
+    Mirrors ``r6`` on the Spark side (see there); all report roundings in
+    the oracle texts are written as ``round(<expr>, 6)``.
+    """
+    n_open, n_close = sql.count("round("), sql.count(", 6)")
+    if n_open != n_close:
+        raise ValueError("oracle text mixes other round() forms")
+    return sql.replace("round(", "round(round(").replace(", 6)", ", 9), 6)")
+
+
 def register(name: str, oracle: str | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``."""
     def deco(fn: QueryFn) -> QueryFn:
@@ -21,7 +35,7 @@ def register(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = oracle
+            ORACLES[name] = two_stage_rounding(oracle)
         return fn
     return deco
 
@@ -31,7 +45,8 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), places).alias(f.name))
+            c = F.col(f"`{f.name}`")
+            cols.append((r6(c) if places == 6 else round_half_away(c, places)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
