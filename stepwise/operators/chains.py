@@ -170,3 +170,89 @@ def expand_candidates(df: DataFrame, id_col: str = "id", col: str = "candidates"
     """One row per (sample, candidate_idx)."""
     keep = [c for c in df.columns if c != col]
     return df.select(*keep, F.posexplode(col).alias("candidate_idx", "candidate"))
+
+
+# --------------------------------------------------------------------------
+# Field resolution over raw JSON records (names vary between data sets)
+# --------------------------------------------------------------------------
+
+def _json_type(v: Column, key: str) -> Column:
+    return F.schema_of_variant(F.variant_get(v, f"$.{key}", "variant"))
+
+
+def _json_text(v: Column, key: str) -> Column:
+    return F.try_variant_get(v, f"$.{key}", "string")
+
+
+def _truthy(v: Column, key: str) -> Column:
+    """Python truthiness of the value under ``key`` (absent and null are false)."""
+    t, s = _json_type(v, key), _json_text(v, key)
+    return (F.when(t.isNull() | (t == "VOID"), F.lit(False))
+            .when(t == "STRING", s != "")
+            .when(t.startswith("ARRAY"), s != "[]")
+            .when(t.startswith("OBJECT"), s != "{}")
+            .when(t == "BOOLEAN", s == "true")
+            .otherwise(F.coalesce(s.cast("double") != 0, F.lit(True))))
+
+
+def _first_truthy(v: Column, keys, value) -> Column:
+    expr = None
+    for k in reversed(keys):
+        expr = F.when(_truthy(v, k), value(k)) if expr is None else F.when(_truthy(v, k), value(k)).otherwise(expr)
+    return expr
+
+
+def resolve_truthy(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Chains from records whose field names vary: first *truthy* name wins.
+
+    question: question | problem | text | prompt | '';
+    steps: steps | reasoning | explanation, a string becomes a one-step
+    list and any other non-list value drops the record;
+    answer: final_answer | answer | label | ''; id: id | idx | ''.
+    """
+    v = F.col("_v")
+    df = raw.withColumn("_v", F.parse_json(F.col(raw_col)))
+    step_keys = ["steps", "reasoning", "explanation"]
+    steps_key = _first_truthy(v, step_keys, F.lit)
+    df = df.withColumn("_sk", steps_key)
+    sk_type = F.coalesce(*[F.when(F.col("_sk") == k, _json_type(v, k)) for k in step_keys])
+    steps = F.coalesce(*[F.when(F.col("_sk") == k, F.when(sk_type == "STRING", F.array(_json_text(v, k)))
+                                .when(sk_type.startswith("ARRAY"), F.try_variant_get(v, f"$.{k}", "array<string>")))
+                         for k in step_keys])
+    text = lambda k: _json_text(v, k)
+    return (df.withColumn("_sk_type", sk_type)
+              .where(F.col("_sk").isNull() | (F.col("_sk_type") == "STRING") | F.col("_sk_type").startswith("ARRAY"))
+              .select(F.coalesce(_first_truthy(v, ["id", "idx"], text), F.lit("")).alias("id"),
+                      F.coalesce(_first_truthy(v, ["question", "problem", "text", "prompt"], text), F.lit("")).alias("question"),
+                      F.coalesce(steps, F.array().cast("array<string>")).alias("steps"),
+                      F.coalesce(_first_truthy(v, ["final_answer", "answer", "label"], text), F.lit("")).alias("answer"),
+                      F.coalesce(F.when(_truthy(v, "explanation"), text("explanation")), F.lit("")).alias("explanation")))
+
+
+def resolve_presence(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """Chains from records by key *presence*: a present null wins over later names.
+
+    original_id: id | idx | 'unknown'; question: modified_question | problem |
+    question | ''; steps: modified_process | steps | []; error_steps | [];
+    classification: classification | label | 'unclassified'.
+    """
+    keys = F.json_object_keys(F.col(raw_col))
+    v = F.col("_v")
+    df = raw.withColumn("_v", F.parse_json(F.col(raw_col))).withColumn("_keys", keys)
+    has = lambda k: F.array_contains(F.col("_keys"), k)
+
+    def pick(names, value, default):
+        expr = default
+        for k in reversed(names):
+            expr = F.when(has(k), value(k)).otherwise(expr)
+        return expr
+
+    text = lambda k: _json_text(v, k)
+    arr = lambda k: F.try_variant_get(v, f"$.{k}", "array<string>")
+    ints = lambda k: F.try_variant_get(v, f"$.{k}", "array<int>")
+    return df.select(
+        pick(["id", "idx"], text, F.lit("unknown")).alias("original_id"),
+        pick(["modified_question", "problem", "question"], text, F.lit("")).alias("question"),
+        pick(["modified_process", "steps"], arr, F.array().cast("array<string>")).alias("steps"),
+        pick(["error_steps"], ints, F.array().cast("array<int>")).alias("error_steps"),
+        pick(["classification", "label"], text, F.lit("unclassified")).alias("classification"))
