@@ -20,13 +20,17 @@ PY_WS_CLASS = _java_class()
 STRIP_PATTERN = f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$"
 
 
+PY_WS_CHARS = "".join(chr(c) for a, b in _WS_RANGES for c in range(a, b + 1))
+
+
 def py_strip(c: Column) -> Column:
-    """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """``str.strip()``: remove leading/trailing Unicode whitespace (native trim, no regex)."""
+    return F.trim(c, F.lit(PY_WS_CHARS))
 
 
 def py_strip_sql(expr: str) -> str:
-    return f"regexp_replace({expr}, '{STRIP_PATTERN}', '', 'g')"
+    chars = " || ".join(f"chr({ord(ch)})" for ch in PY_WS_CHARS)
+    return f"trim({expr}, {chars})"
 
 
 def py_str_int(c: Column) -> Column:

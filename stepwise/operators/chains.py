@@ -184,9 +184,8 @@ def _json_text(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "string")
 
 
-def _truthy(v: Column, key: str) -> Column:
-    """Python truthiness of the value under ``key`` (absent and null are false)."""
-    t, s = _json_type(v, key), _json_text(v, key)
+def _truthy_from(t: Column, s: Column) -> Column:
+    """Python truthiness from a value's variant type and text (absent / null are false)."""
     return (F.when(t.isNull() | (t == "VOID"), F.lit(False))
             .when(t == "STRING", s != "")
             .when(t.startswith("ARRAY"), s != "[]")
@@ -195,13 +194,6 @@ def _truthy(v: Column, key: str) -> Column:
             .otherwise(F.coalesce(s.cast("double") != 0, F.lit(True))))
 
 
-def _first_truthy(v: Column, keys, value) -> Column:
-    expr = None
-    for k in reversed(keys):
-        expr = F.when(_truthy(v, k), value(k)) if expr is None else F.when(_truthy(v, k), value(k)).otherwise(expr)
-    return expr
-
-
 def resolve_truthy(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Chains from records whose field names vary: first *truthy* name wins.
 
@@ -209,24 +201,36 @@ def resolve_truthy(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     steps: steps | reasoning | explanation, a string becomes a one-step
     list and any other non-list value drops the record;
     answer: final_answer | answer | label | ''; id: id | idx | ''.
+    Each key's type and text are extracted once per record.
     """
-    v = F.col("_v")
-    df = raw.withColumn("_v", F.parse_json(F.col(raw_col)))
-    step_keys = ["steps", "reasoning", "explanation"]
-    steps_key = _first_truthy(v, step_keys, F.lit)
-    df = df.withColumn("_sk", steps_key)
-    sk_type = F.coalesce(*[F.when(F.col("_sk") == k, _json_type(v, k)) for k in step_keys])
-    steps = F.coalesce(*[F.when(F.col("_sk") == k, F.when(sk_type == "STRING", F.array(_json_text(v, k)))
-                                .when(sk_type.startswith("ARRAY"), F.try_variant_get(v, f"$.{k}", "array<string>")))
-                         for k in step_keys])
-    text = lambda k: _json_text(v, k)
-    return (df.withColumn("_sk_type", sk_type)
-              .where(F.col("_sk").isNull() | (F.col("_sk_type") == "STRING") | F.col("_sk_type").startswith("ARRAY"))
-              .select(F.coalesce(_first_truthy(v, ["id", "idx"], text), F.lit("")).alias("id"),
-                      F.coalesce(_first_truthy(v, ["question", "problem", "text", "prompt"], text), F.lit("")).alias("question"),
+    groups = {"id": ["id", "idx"], "question": ["question", "problem", "text", "prompt"],
+              "steps": ["steps", "reasoning", "explanation"], "answer": ["final_answer", "answer", "label"]}
+    keys = sorted({k for ks in groups.values() for k in ks})
+    df = raw.select(F.parse_json(F.col(raw_col)).alias("_v"))
+    df = df.select("_v", *[_json_type(F.col("_v"), k).alias(f"_t_{k}") for k in keys],
+                   *[_json_text(F.col("_v"), k).alias(f"_s_{k}") for k in keys])
+    df = df.select("*", *[_truthy_from(F.col(f"_t_{k}"), F.col(f"_s_{k}")).alias(f"_b_{k}") for k in keys])
+
+    def first(names, value):
+        expr = None
+        for k in reversed(names):
+            expr = F.when(F.col(f"_b_{k}"), value(k)) if expr is None else F.when(F.col(f"_b_{k}"), value(k)).otherwise(expr)
+        return expr
+
+    text = lambda k: F.col(f"_s_{k}")
+    df = df.select("*", first(groups["steps"], F.lit).alias("_sk"))
+    sk_type = F.coalesce(*[F.when(F.col("_sk") == k, F.col(f"_t_{k}")) for k in groups["steps"]])
+    df = df.select("*", sk_type.alias("_skt"))
+    steps = F.coalesce(*[F.when(F.col("_sk") == k, F.when(F.col("_skt") == "STRING", F.array(text(k)))
+                                .when(F.col("_skt").startswith("ARRAY"),
+                                      F.try_variant_get(F.col("_v"), f"$.{k}", "array<string>")))
+                         for k in groups["steps"]])
+    return (df.where(F.col("_sk").isNull() | (F.col("_skt") == "STRING") | F.col("_skt").startswith("ARRAY"))
+              .select(F.coalesce(first(groups["id"], text), F.lit("")).alias("id"),
+                      F.coalesce(first(groups["question"], text), F.lit("")).alias("question"),
                       F.coalesce(steps, F.array().cast("array<string>")).alias("steps"),
-                      F.coalesce(_first_truthy(v, ["final_answer", "answer", "label"], text), F.lit("")).alias("answer"),
-                      F.coalesce(F.when(_truthy(v, "explanation"), text("explanation")), F.lit("")).alias("explanation")))
+                      F.coalesce(first(groups["answer"], text), F.lit("")).alias("answer"),
+                      F.coalesce(F.when(F.col("_b_explanation"), text("explanation")), F.lit("")).alias("explanation")))
 
 
 def resolve_presence(raw: DataFrame, raw_col: str = "raw") -> DataFrame:

@@ -12,21 +12,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.functions.answers import light_normalise, single_boxed
-from stepwise.functions.text import py_strip
 from stepwise.operators import chains as C
 from stepwise.operators import votes as V
 
 BUFFER_KEYS = ("id", "problem", "steps", "answer", "candidates")
 
 
-def parse_buffer(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Raw JSON sample -> typed columns plus ``has_<key>`` presence flags."""
+def parse_buffer(raw: DataFrame, raw_col: str = "raw", id_type: str = "bigint") -> DataFrame:
+    """Raw JSON sample -> typed columns plus ``has_<key>`` presence flags.
+
+    ``id`` is taken from the record unless the table already has that column.
+    """
     keys = F.json_object_keys(F.col(raw_col))
     out = raw
+    if "id" not in raw.columns:
+        out = out.withColumn("id", F.get_json_object(raw_col, "$.id").cast(id_type))
     for k in BUFFER_KEYS:
         out = out.withColumn(f"has_{k}", F.coalesce(F.array_contains(keys, k), F.lit(False)))
     return (out
