@@ -35,8 +35,15 @@ _MARK = "\ue000"  # stands in for an opening "\boxed{" while scanning
 
 # ---- wrapper stripping ----------------------------------------------------
 
-def _extract_if(s: Column, pattern: str) -> Column:
-    return bind(s, lambda x: F.when(x.rlike(pattern), py_strip(F.regexp_extract(x, pattern, 1))).otherwise(x))
+def _extract_if(s: Column, pattern: str, needs: str) -> Column:
+    """Replace by the stripped group when the pattern matches.
+
+    ``needs`` is a character every match contains: rows without it skip the
+    regex work (a cheap, exact pre-check).
+    """
+    return bind(s, lambda x: F.when(F.instr(x, needs) > 0,
+                                    F.when(x.rlike(pattern), py_strip(F.regexp_extract(x, pattern, 1))).otherwise(x))
+                .otherwise(x))
 
 
 def strip_wrappers_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
@@ -54,9 +61,9 @@ def strip_wrappers_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
     a = F.regexp_replace(F.replace(a, F.lit("$"), F.lit("")), BOXED_WRAPPER, "$1")
     a = F.replace(F.replace(a, F.lit("\\left"), F.lit("")), F.lit("\\right"), F.lit(""))
     df = df.withColumn(dst, a)
-    df = df.withColumn(dst, _extract_if(F.col(dst), ANSWER_HASH))
-    df = df.withColumn(dst, _extract_if(F.col(dst), ANSWER_TAG))
-    df = df.withColumn(dst, _extract_if(F.col(dst), "(?d)" + ASSIGNMENT))
+    df = df.withColumn(dst, _extract_if(F.col(dst), ANSWER_HASH, "#"))
+    df = df.withColumn(dst, _extract_if(F.col(dst), ANSWER_TAG, "#"))
+    df = df.withColumn(dst, _extract_if(F.col(dst), "(?d)" + ASSIGNMENT, "="))
     return df.withColumn(dst, py_strip(F.regexp_replace(F.col(dst), TRAILING_PERIODS, "")))
 
 
@@ -70,7 +77,7 @@ def fractions_to_plain(s: Column) -> Column:
         n = ((F.length(x) - F.length(F.replace(x, F.lit("frac"), F.lit("")))) / 4).cast("int")
         looped = F.aggregate(F.sequence(F.lit(1), n), x,
                              lambda acc, _: F.regexp_replace(acc, LATEX_FRACTION, "($1)/($2)"))
-        return F.when(n > 0, looped).otherwise(x)
+        return F.when(F.instr(x, "frac") > 0, F.when(n > 0, looped).otherwise(x)).otherwise(x)
     return bind(s, body)
 
 
@@ -79,16 +86,21 @@ def _light_norm(s: Column) -> Column:
     return py_strip(F.regexp_replace(py_strip(s), TRAILING_PERIODS, ""))
 
 
-def simple_number_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Add ``dst`` = the numeric value of ``src`` or null (no symbolic fallback).
+def number_from_normalised(df: DataFrame, norm: str, dst: str, src: str | None = None,
+                           frac_col: str | None = None) -> DataFrame:
+    """Add ``dst`` = numeric value of an already wrapper-stripped column ``norm``.
 
-    Accepts plain and scientific numbers, ``a/b`` and ``(a)/(b)``; every
-    trailing '%' divides by 100 (recursively, re-normalising in between);
-    a zero denominator gives null.
+    ``frac_col`` (optional) keeps the fraction-rewritten text, which is the
+    input of the symbolic fallback.  ``src`` is the raw answer: blank raw
+    answers have no value.
     """
     t = f"_{dst}_t"
-    df = strip_wrappers_steps(df, src, t)
-    df = df.withColumn(t, F.replace(fractions_to_plain(F.col(t)), F.lit(" "), F.lit("")))
+    frac = fractions_to_plain(F.col(norm))
+    if frac_col:
+        df = df.withColumn(frac_col, frac)
+        frac = F.col(frac_col)
+    df = df.withColumn(t, F.replace(frac, F.lit(" "), F.lit("")))
+
     def percent_loop(x):
         k = F.length(x) - F.length(F.replace(x, F.lit("%"), F.lit("")))
         start = F.struct(x.alias("s"), F.lit(0).alias("n"))
@@ -96,7 +108,7 @@ def simple_number_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
             acc["s"].endswith("%"),
             F.struct(_light_norm(acc["s"].substr(F.lit(1), F.length(acc["s"]) - 1)).alias("s"),
                      (acc["n"] + 1).alias("n"))).otherwise(acc))
-        return F.when(k > 0, loop).otherwise(start)
+        return F.when(F.instr(x, "%") > 0, F.when(k > 0, loop).otherwise(start)).otherwise(start)
 
     def value(st):
         core, n = st["s"], st["n"]
@@ -110,8 +122,23 @@ def simple_number_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
                                                               lambda acc, _: acc / 100.0)).otherwise(b))
 
     scaled = bind(bind(F.col(t), percent_loop), value)
-    return df.withColumn(dst, F.when(F.length(py_strip(F.col(src).cast("string"))) == 0, F.lit(None))
-                         .otherwise(scaled)).drop(t)
+    if src is not None:
+        scaled = F.when(F.length(py_strip(F.col(src).cast("string"))) == 0, F.lit(None)).otherwise(scaled)
+    return df.withColumn(dst, scaled).drop(t)
+
+
+
+
+def simple_number_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """Add ``dst`` = the numeric value of ``src`` or null (no symbolic fallback).
+
+    Accepts plain and scientific numbers, ``a/b`` and ``(a)/(b)``; every
+    trailing '%' divides by 100 (recursively, re-normalising in between);
+    a zero denominator gives null.
+    """
+    n = f"_{dst}_n"
+    df = strip_wrappers_steps(df, src, n)
+    return number_from_normalised(df, n, dst, src).drop(n)
 
 
 def values_close(a: Column, b: Column, rel_tol: float = REL_TOL, abs_tol: float = ABS_TOL) -> Column:

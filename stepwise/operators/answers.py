@@ -106,29 +106,35 @@ def expression_value(s: str | None) -> float | None:
 
 @F.pandas_udf(DoubleType())
 def expression_value_udf(s: pd.Series) -> pd.Series:
-    return s.map(expression_value).astype("float64")
+    """Arrow batches; each distinct string of a batch is evaluated once, nulls skip."""
+    todo = s.dropna().unique()
+    if len(todo) == 0:
+        return pd.Series([None] * len(s), dtype="float64")
+    values = {x: expression_value(x) for x in todo}
+    return s.map(lambda x: values.get(x) if x is not None else None).astype("float64")
 
 
-def answer_values(df: DataFrame, src: str, dst: str, fallback: bool = True) -> DataFrame:
-    """Add ``dst`` = numeric value of ``src`` (native parser, then fallback).
+def resolve_answers(df: DataFrame, src: str, prefix: str, fallback: bool = True) -> DataFrame:
+    """Add ``{prefix}_norm`` (wrapper-stripped text) and ``{prefix}_value`` (number or null).
 
-    The fallback is evaluated once per distinct unresolved string and joined
-    back; rows resolved natively never reach Python.
+    The answer is normalised once; the value comes from the native parser
+    and, for answers it leaves open, from the symbolic fallback.  The
+    fallback's input is null for every row the native parser resolved, so
+    only the unresolved strings are evaluated in Python.
     """
-    df = A.simple_number_steps(df, src, dst)
-    if not fallback:
-        return df
-    key = f"_{dst}_expr"
-    df = A.strip_wrappers_steps(df, src, key)
-    df = df.withColumn(key, F.when(F.col(dst).isNull() & (F.length(py_strip(F.col(src).cast("string"))) > 0),
-                                   A.fractions_to_plain(F.col(key))))
-    todo = df.where(F.col(key).isNotNull()).select(key).distinct()
-    # no filter on the UDF result: a predicate over a Python UDF must not be
-    # pushed into the join; the coalesce below ignores unresolved values
-    solved = todo.select(key, expression_value_udf(F.col(key)).alias(f"{key}_v"))
-    return (df.join(solved, key, "left")
-            .withColumn(dst, F.coalesce(F.col(dst), F.col(f"{key}_v")))
-            .drop(key, f"{key}_v"))
+    norm, val, frac = f"{prefix}_norm", f"{prefix}_value", f"_{prefix}_frac"
+    df = A.strip_wrappers_steps(df, src, norm)
+    df = A.number_from_normalised(df, norm, val, src, frac_col=frac)
+    if fallback:
+        open_ = F.col(val).isNull() & (F.length(py_strip(F.col(src).cast("string"))) > 0)
+        df = df.withColumn(val, F.coalesce(F.col(val), expression_value_udf(F.when(open_, F.col(frac)))))
+    return df.drop(frac)
+
+
+def answer_values(df: DataFrame, src: str, dst: str, fallback: bool = True) -> DataFrame:
+    """Add ``dst`` = numeric value of ``src`` (native parser, then fallback)."""
+    out = resolve_answers(df, src, f"_{dst}", fallback)
+    return out.withColumnRenamed(f"_{dst}_value", dst).drop(f"_{dst}_norm")
 
 
 def unresolved_expression_values(answers: DataFrame, col: str = "answer") -> DataFrame:
@@ -170,10 +176,8 @@ def compare_answers(pred: DataFrame, gold: DataFrame, id_col: str = "id", answer
     # parse only what is compared
     cmp = F.col("status") == STATUS_COMPARED
     j = j.withColumn("_pa", F.when(cmp, F.col("pred_answer"))).withColumn("_ga", F.when(cmp, F.col("gt_answer")))
-    j = answer_values(j, "_pa", "pred_value", fallback)
-    j = answer_values(j, "_ga", "gt_value", fallback)
-    j = A.strip_wrappers_steps(j, "_pa", "pred_norm")
-    j = A.strip_wrappers_steps(j, "_ga", "gt_norm")
+    j = resolve_answers(j, "_pa", "pred", fallback)
+    j = resolve_answers(j, "_ga", "gt", fallback)
     numeric = F.col("pred_value").isNotNull() & F.col("gt_value").isNotNull()
     match = F.when(~cmp, F.lit(False)).when(
         numeric, A.values_close(F.col("pred_value"), F.col("gt_value"), rel_tol, abs_tol)).otherwise(

@@ -96,6 +96,13 @@ def _chains(spark, sf):
     return C.chains_from_rows(fixture(spark, sf, "f_chain"))
 
 
+def _via_file(spark, raw, name):
+    """Records land in a JSON-lines file first, as they would from any producer."""
+    path = scratch_path(spark, name)
+    raw.select(F.col("raw").alias("value")).write.mode("overwrite").text(path)
+    return RS.raw_json_records(spark, path)
+
+
 _CHAINS_SQL = """
 , ch as (select id, first(question) as question, list(step order by step_index) as steps from f_chain group by id)
 """
@@ -149,7 +156,7 @@ def q_chain_resolve_truthy(spark, sf):
            .when(i % 4 == 2, _obj(("id", i.cast("string")), ("text", q), ("steps", F.lit("[]")),
                                   ("explanation", _jstr(F.get(F.col("steps"), 0)))))
            .otherwise(_obj(("id", i.cast("string")), ("prompt", q), ("steps", F.lit("5")))))
-    res = C.resolve_truthy(ch.select(raw.alias("raw")))
+    res = C.resolve_truthy(_via_file(spark, ch.select(raw.alias("raw")), "truthy"))
     return res.select("id", "question", F.size("steps").alias("n_steps"), F.array_join("steps", "\n").alias("steps_text"),
                       "answer", "explanation")
 
@@ -187,7 +194,7 @@ def q_chain_resolve_presence(spark, sf):
            .when(i % 4 == 2, _obj(("id", F.lit("null")), ("question", q), ("modified_process", st),
                                   ("classification", F.lit("null"))))
            .otherwise(_obj(("id", i.cast("string")), ("question", q), ("modified_process", F.lit("[]")))))
-    res = C.resolve_presence(ch.select(raw.alias("raw")))
+    res = C.resolve_presence(_via_file(spark, ch.select(raw.alias("raw")), "presence"))
     return res.select("original_id", "question", F.coalesce(F.size("steps"), F.lit(0)).alias("n_steps"),
                       F.array_join(F.transform("error_steps", lambda x: x.cast("string")), ",").alias("error_steps_text"),
                       "classification")
