@@ -27,8 +27,11 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
     parted = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # Materialised once (reliable checkpoint in the shared folder): the
+    # counts and the rows below read the very same partitions, and a lost
+    # executor recomputes from the checkpoint, not from a new sampling.
     tagged = (parted.withColumn("_pid", F.spark_partition_id())
-                    .withColumn("_mid", F.monotonically_increasing_id()))
+                    .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
     stats = tagged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),
                                                      F.min("_mid").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

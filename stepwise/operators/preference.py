@@ -81,10 +81,13 @@ def running_reward_mean(df: DataFrame, beta: float = DEFAULT_BETA, batch_col: st
 
 
 def _rank_aligned(df: DataFrame, left: Column, right: Column, batch_col: str, key_col: str) -> DataFrame:
-    """Pair the k-th smallest ``left`` with the k-th smallest ``right`` per batch."""
-    a = row_number_within(df.select(batch_col, key_col, left.alias("_v")), [batch_col], ["_v", key_col], "_k")
+    """Pair the k-th smallest ``left`` with the k-th smallest ``right`` per batch.
+
+    The left side carries every input column, so no join back is needed.
+    """
+    a = row_number_within(df.select("*", left.alias("_v")), [batch_col], ["_v", key_col], "_k")
     b = row_number_within(df.select(batch_col, key_col, right.alias("_v")), [batch_col], ["_v", key_col], "_k")
-    return (a.select(batch_col, "_k", key_col, F.col("_v").alias("_left"))
+    return (a.withColumnRenamed("_v", "_left")
              .join(b.select(batch_col, "_k", F.col("_v").alias("_right")), [batch_col, "_k"]))
 
 
@@ -135,8 +138,8 @@ def preference_loss(df: DataFrame, loss_type: str = "sigmoid", beta: float = DEF
         else:
             left, right = c - r, rc - rr
         ranked = _rank_aligned(df, left, right, batch_col, key_col)
-        ranked = ranked.withColumn("loss", _sigmoid_form(beta * (F.col("_left") - F.col("_right")), eps))
-        out = df.join(ranked.select(key_col, batch_col, "loss"), [key_col, batch_col])
+        out = ranked.drop("_k").withColumn("loss", _sigmoid_form(beta * (F.col("_left") - F.col("_right")), eps)) \
+                    .drop("_left", "_right")
         loss = F.col("loss")
     elif loss_type == "apo_zero":
         loss = 1 - sigmoid(beta * cl) + sigmoid(beta * rl)

@@ -54,8 +54,8 @@ select orig_id, step_index, gen_idx,
             when (orig_id + gen_idx) % 5 = 0 then 'Verification: Is the step correct (Yes/No)? Yes. Verification: Is the step correct (Yes/No)? No'
             when (orig_id + step_index + gen_idx) % 2 = 0 then 'Verification: Is the step correct (Yes/No)? Yes'
             else 'Verification: Is the step correct(Yes/No)? No' end as output
-from (select distinct l_orderkey as orig_id, l_linenumber - 1 as step_index from {lineitem}) v
-cross join (values (0), (1), (2), (3), (4), (5), (6), (7)) g(gen_idx)
+from (select orig_id, step_index, <<series 0 7>> as gen_idx
+      from (select distinct l_orderkey as orig_id, l_linenumber - 1 as step_index from {lineitem}) d) v
 """
 
 # reward hits 0.5 exactly for discount 0.05
@@ -103,7 +103,7 @@ select c_custkey as id, idx as candidate_idx, cast((c_custkey * 5 + idx * 3) % 4
        concat('so we get ', case (c_custkey + idx) % 3 when 0 then concat(chr(92), 'boxed{{', cast(c_custkey % 12 as string), '}}')
             when 1 then concat(chr(92), 'boxed{{', chr(92), 'frac{{1}}{{', cast(idx + 2 as string), '}}}}') else 'nothing' end,
             case when c_custkey % 7 = 0 then concat(' or ', chr(92), 'boxed{{0}}') else '' end) as candidate
-from {customer} cross join (values (0), (1), (2), (3), (4), (5), (6), (7)) g(idx)
+from (select c_custkey, <<series 0 7>> as idx from {customer}) g
 """
 
 # four log-probability columns, batches of uneven size; the /16 keeps the two rank-based losses distinct
@@ -119,8 +119,8 @@ FIXTURE_SQL["f_toklogp"] = """
 select pair_id, side, pos, (pair_id + pos * 3) % 50 as token_id,
        -cast((pair_id * 7 + pos * 3 + side) % 17 as double) / 16 as logp,
        -cast((pair_id + pos) % 5 as double) / 8 as lse2, pos >= 2 + pair_id % 3 as in_loss
-from (select o_orderkey as pair_id, s.side as side from {orders} cross join (values (0), (1)) s(side)) p
-cross join (values (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) t(pos)
+from (select pair_id, side, <<series 0 11>> as pos
+      from (select o_orderkey as pair_id, <<series 0 1>> as side from {orders}) s) p
 where pos < 6 + (pair_id + side * 3) % 7
 """
 
@@ -144,6 +144,15 @@ join (select d.doc_id, d.lang, d.text, row_number() over (partition by d.lang or
 """
 
 _FIELD = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
+# A fixed number of copies of each row: a generator in the select list
+# (never a cross join).  Spark: explode(sequence(a, b)); DuckDB: unnest(range(a, b + 1)).
+_SERIES = re.compile(r"<<series (\d+) (\d+)>>")
+
+
+def _series(template: str, dialect: str) -> str:
+    if dialect == "spark":
+        return _SERIES.sub(lambda m: f"explode(sequence({m.group(1)}, {m.group(2)}))", template)
+    return _SERIES.sub(lambda m: f"unnest(range({m.group(1)}, {int(m.group(2)) + 1}))", template)
 
 
 def tables_of(template: str) -> list[str]:
@@ -159,17 +168,38 @@ def spark_sql(spark: SparkSession, sf_dir: str, template: str, **frames: DataFra
     args = {}
     for t in tables_of(template):
         args[t] = frames[t] if t in frames else read_table(spark, sf_dir, t)
-    return spark.sql(template, **args)
+    return spark.sql(_series(template, "spark"), **args)
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in FIXTURE_BUILDERS:
+        return FIXTURE_BUILDERS[name](spark, sf_dir)
     return spark_sql(spark, sf_dir, FIXTURE_SQL[name])
 
 
+def _f_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-pref with the per-language rank computed without one task per language."""
+    from pyspark.sql import functions as F
+
+    from stepwise.operators.ordering import row_number_within
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    lab = docs.join(labels, "doc_id")
+    good = row_number_within(lab.where("quality = 1").drop("quality"), ["lang"], ["doc_id"], "rk")
+    poor = row_number_within(lab.where("quality = 0").drop("quality"), ["lang"], ["doc_id"], "rk")
+    return (good.select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("prompt"), F.col("text").alias("chosen"),
+                        "lang", "rk")
+            .join(poor.select("lang", "rk", F.col("text").alias("rejected")), ["lang", "rk"])
+            .select("pair_id", "prompt", "chosen", "rejected"))
+
+
+FIXTURE_BUILDERS = {"f_pref": _f_pref}
+
+
 @lru_cache(maxsize=None)
 def duck_fixture(name: str) -> str:
     tpl = FIXTURE_SQL[name]
-    return tpl.format(**{t: t for t in tables_of(tpl)})
+    return _series(tpl, "duckdb").format(**{t: t for t in tables_of(tpl)})
 
 
 def with_fixtures(sql: str, *names: str) -> str:
