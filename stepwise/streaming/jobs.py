@@ -17,12 +17,20 @@ from stepwise.session import scratch_path
 
 
 def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """The ``events`` table as a stream; ``ts`` cast to a zoned timestamp."""
+    """The ``events`` table as a stream; ``ts`` becomes a UTC instant.
+
+    The stored time has no zone (watermarks need a zoned timestamp); it is
+    read as UTC whatever the session time zone is.
+    """
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    ts = F.col("ts")
+    if schema["ts"].dataType.typeName() == "timestamp_ntz":
+        ts = F.from_utc_timestamp(ts.cast("timestamp"), tz)
+    return reader.parquet(sf_dir).withColumn("ts", ts)
 
 
 def _run(query) -> None:
