@@ -222,3 +222,21 @@ def step_judgments(results: DataFrame, threshold: float = REWARD_THRESHOLD) -> D
                     pred_err.alias("predicted_error"),
                     jtype.alias("judgment_type"))
             .withColumn("judgment_desc", desc[F.col("judgment_type")]))
+
+
+def report_text(metrics: DataFrame, places: int = 4, percent: tuple[str, ...] = ()) -> DataFrame:
+    """Printable report: ratios with ``places`` decimals, chosen columns as percent.
+
+    Counts stay integers; only double columns are formatted (one row per
+    report, so this is a projection over a tiny table).
+    """
+    cols = []
+    for f in metrics.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() == "double":
+            if f.name in percent:
+                c = F.concat(F.format_string(f"%.{places}f", c * 100.0), F.lit("%"))
+            else:
+                c = F.format_string(f"%.{places}f", c)
+        cols.append(c.alias(f.name))
+    return metrics.select(*cols)

@@ -199,3 +199,10 @@ def render_chat(turns: DataFrame, id_col: str = "conv_id", order_col: str = "tur
                                                                          piece.alias("p")))).alias("_t"))
     return agg.select(id_col, F.size("_t").alias("n_turns"),
                       F.array_join(F.transform("_t", lambda x: x["p"]), "").alias("text"))
+
+
+def keep_signature_columns(df: DataFrame, allowed: tuple[str, ...] = (
+        "prompt_input_ids", "chosen_input_ids", "rejected_input_ids", "ref_chosen_logps", "ref_rejected_logps",
+        "token_type_ids", "pixel_values", "pixel_attention_mask", "image_sizes")) -> DataFrame:
+    """Keep only the columns a trainer accepts (in input order)."""
+    return df.select(*[c for c in df.columns if c in allowed])

@@ -80,7 +80,7 @@ select cast(id as varchar) || '-step' || cast(step_index as varchar) as id, id a
 """, "f_chain"))
 def q_sink_roundtrip(spark, sf):
     ex = C.expand_steps(C.chains_from_rows(fixture(spark, sf, "f_chain"))).select("id", "orig_id", "step_index", "now_step")
-    path = RS.write_records(ex, scratch_path(spark, "steps"))
+    path = RS.write_records(ex, scratch_path(spark, "steps"), order_by=("orig_id", "step_index"))
     return RS.read_json_records(spark, path, schema=ex.schema)
 
 

@@ -100,7 +100,9 @@ def q_pack_batches(spark, sf):
 
 
 def _pref(spark, sf):
-    return TK.preference_tokenize(fixture(spark, sf, "f_pref"), MAX_PROMPT, None)
+    # the tokenised rows keep the pair key plus the trainer's accepted columns
+    t = TK.preference_tokenize(fixture(spark, sf, "f_pref"), MAX_PROMPT, None)
+    return t.select("pair_id", *TK.keep_signature_columns(t).columns)
 
 
 _PREF_SQL = f"""

@@ -154,8 +154,15 @@ def read_parquet_folder(spark: SparkSession, path: str, required: tuple[str, ...
     return df
 
 
-def write_records(df: DataFrame, path: str, fmt: str = "json", partition_by: tuple[str, ...] = ()) -> str:
-    """Write a table as JSON lines (or parquet), one file per task."""
+def write_records(df: DataFrame, path: str, fmt: str = "json", partition_by: tuple[str, ...] = (),
+                  order_by: tuple[str, ...] = ()) -> str:
+    """Write a table as JSON lines (or parquet), one file per task.
+
+    ``order_by`` sorts globally at the sink (range partitioning, so files are
+    in key order without a single-task sort).
+    """
+    if order_by:
+        df = df.orderBy(*order_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)

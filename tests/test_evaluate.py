@@ -42,3 +42,9 @@ def test_single_default_class_has_no_class_rows(spark):
     df = spark.createDataFrame([(False, 0.9, None), (True, 0.1, None)], "is_error boolean, reward double, classification string")
     rows = ev.confusion_metrics_by_class(df).collect()
     assert [r["scope"] for r in rows] == ["overall"]
+
+
+def test_report_text(spark):
+    df = spark.createDataFrame([(10, 0.123456, 0.5)], "total_samples long, f1_score double, accuracy double")
+    r = ev.report_text(df, percent=("accuracy",)).collect()[0]
+    assert (r["total_samples"], r["f1_score"], r["accuracy"]) == (10, "0.1235", "50.0000%")

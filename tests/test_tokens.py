@@ -57,3 +57,14 @@ def test_implicit_prompt(spark):
     assert (rows[1]["prompt"], rows[1]["chosen"], rows[1]["rejected"]) == ("ab", "c", "cd")
     # first characters differ and the chosen text ends in a space: negative index rule
     assert (rows[2]["prompt"], rows[2]["chosen"], rows[2]["rejected"]) == ("xa", " ", "a")
+
+
+def test_signature_whitelist_and_python_tokenizer(spark):
+    from stepwise.functions.tokens import python_tokenizer
+    df = spark.createDataFrame([("a b", "c", "d e f")], "prompt string, chosen string, rejected string")
+    tok = python_tokenizer(lambda t: [len(w) for w in t.split()])
+    t = TK.preference_tokenize(df, max_prompt_length=1, tokenizer=tok)
+    kept = TK.keep_signature_columns(t)
+    assert kept.columns == ["prompt_input_ids", "chosen_input_ids", "rejected_input_ids"]
+    r = kept.collect()[0]
+    assert r["prompt_input_ids"] == [1] and r["chosen_input_ids"] == [1, 1] and r["rejected_input_ids"] == [1, 1, 1, 1]
