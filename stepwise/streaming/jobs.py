@@ -78,8 +78,27 @@ def _complete_to_parquet(spark: SparkSession, agg: DataFrame, name: str) -> Data
     return spark.read.parquet(out_path)
 
 
-def log_window_metrics(spark: SparkSession, events: DataFrame, window: str = "1 hour") -> DataFrame:
-    res = _complete_to_parquet(spark, window_metrics(events, window), "window-metrics")
+def log_window_metrics(spark: SparkSession, events: DataFrame, window: str = "1 hour",
+                       mode: str = "complete", out_path: str | None = None) -> DataFrame:
+    """Per-window metrics.
+
+    ``complete`` re-emits every window each trigger (exact for a bounded
+    replay; its state grows with the number of windows).  ``append`` emits a
+    window once the watermark passes its end and then drops its state, the
+    mode for an unbounded stream; rows land exactly once in a parquet sink.
+    """
+    agg = window_metrics(events, window)
+    if mode == "complete":
+        res = _complete_to_parquet(spark, agg, "window-metrics")
+    elif mode == "append":
+        out_path = out_path or scratch_path(spark, "window-metrics")
+        q = (agg.writeStream.format("parquet").outputMode("append").option("path", out_path)
+             .option("checkpointLocation", scratch_path(spark, "window-metrics-ckpt"))
+             .trigger(availableNow=True).start())
+        _run(q)
+        res = spark.read.parquet(out_path)
+    else:
+        raise ValueError(f"unknown output mode {mode}")
     return res.select(F.col("w.start").cast("long").alias("window_start"), "event_type", "n_events",
                       "mean_value", "n_errors")
 
