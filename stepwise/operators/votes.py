@@ -60,21 +60,24 @@ def vote_counted(votes: DataFrame, keys: Sequence[str], gen_col: str = "gen_idx"
 
 
 def vote_excluding_unparsed(votes: DataFrame, keys: Sequence[str], gen_col: str = "gen_idx",
-                            text_col: str = "output") -> DataFrame:
+                            text_col: str = "output", keep_outputs: bool = False) -> DataFrame:
     """Mean score over parsable generations only (null when none parse).
 
-    Scores come from the *first* verdict in each generation.
+    Scores come from the *first* verdict in each generation.  The texts
+    themselves travel through the shuffle only with ``keep_outputs``.
     """
     scored = votes.select(*keys, F.col(gen_col).alias("_g"), F.col(text_col).alias("_t"),
                           first_verdict_score(F.col(text_col)).alias("_s"))
+    item = F.struct("_g", "_s", "_t") if keep_outputs else F.struct("_g", "_s")
     agg = (scored.groupBy(*keys)
            .agg(F.avg("_s").alias("avg_score"),  # avg skips nulls; all null -> null
                 F.count(F.lit(1)).alias("n_outputs"),
                 F.count("_s").alias("n_valid"),
-                F.sort_array(F.collect_list(F.struct("_g", "_s", "_t"))).alias("_v")))
-    return (agg.withColumn("scores", F.transform("_v", lambda x: x["_s"]))
-               .withColumn("outputs", F.transform("_v", lambda x: x["_t"]))
-               .drop("_v"))
+                F.sort_array(F.collect_list(item)).alias("_v")))
+    agg = agg.withColumn("scores", F.transform("_v", lambda x: x["_s"]))
+    if keep_outputs:
+        agg = agg.withColumn("outputs", F.transform("_v", lambda x: x["_t"]))
+    return agg.drop("_v")
 
 
 def vote_candidates(votes: DataFrame, sample_col: str = "sample_id", idx_col: str = "candidate_idx",
