@@ -30,16 +30,39 @@ def _first_char(spark: SparkSession, path: str) -> str | None:
     return head[0]["v"][0] if head else None
 
 
-def read_json_records(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """(file, 1-based line number) of the first non-blank line that is not JSON, else None.
+
+    Lines are numbered exactly per file (file splits are read in order;
+    ``row_number_within`` turns split position + offset into line numbers).
+    """
+    from stepwise.operators.ordering import row_number_within
+    lines = (spark.read.text(path)
+             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("pos"), "value"))
+    numbered = row_number_within(lines, ["file"], ["block", "pos"], "line")
+    bad = (numbered.where((F.length(F.trim("value")) > 0) & F.try_parse_json("value").isNull())
+           .groupBy("file").agg(F.min("line").alias("line")).orderBy("file").limit(1).collect())
+    return (bad[0]["file"], int(bad[0]["line"])) if bad else None
+
+
+def read_json_records(spark: SparkSession, path: str, schema: StructType | None = None,
+                      validate: bool = False) -> DataFrame:
     """A JSON array file or JSON lines, told apart by the first non-blank character.
 
-    Malformed input fails the job (FAILFAST); blank lines are skipped.
+    Malformed input fails the job (FAILFAST); blank lines are skipped.  With
+    ``validate`` a JSON-lines input is checked first and the error names the
+    file and line number of the first malformed line (one extra pass).
     """
     reader = spark.read.option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema)
     if _first_char(spark, path) == "[":
         return reader.option("multiLine", True).json(path)
+    if validate:
+        bad = first_bad_line(spark, path)
+        if bad:
+            raise ValueError(f"Failed to parse line {bad[1]} in {bad[0]} as JSON")
     return reader.json(path)
 
 
