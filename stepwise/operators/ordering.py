@@ -40,7 +40,8 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     # stats has one row per (partition, group) pair: at most partitions + groups
-    joined = tagged.join(stats.select("_pid", *group_cols, "_first", "_off"), ["_pid", *group_cols])
+    from stepwise.operators.joins import join_summary
+    joined = join_summary(tagged, stats.select("_pid", *group_cols, "_first", "_off"), ["_pid", *group_cols])
     return (joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
                   .drop("_pid", "_mid", "_first", "_off"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.numeric import capped_exp, log_sigmoid, relu, sigmoid, softplus
+from stepwise.operators.joins import join_summary
 from stepwise.operators.ordering import row_number_within
 
 LOSS_TYPES = ("sigmoid", "robust", "exo_pair", "hinge", "ipo", "bco_pair", "sppo_hard", "nca_pair",
@@ -91,6 +92,57 @@ def _rank_aligned(df: DataFrame, left: Column, right: Column, batch_col: str, ke
              .join(b.select(batch_col, "_k", F.col("_v").alias("_right")), [batch_col, "_k"]))
 
 
+BATCH_LOSSES = {"bco_pair", "aot_pair", "aot", "sft"}
+
+
+def preference_loss_column(loss_type: str = "sigmoid", beta: float = DEFAULT_BETA, label_smoothing: float = 0.0,
+                           reference_free: bool = False, divergence: str = "reverse_kl",
+                           alpha: float = DEFAULT_ALPHA_DIVERGENCE_COEF, discopop_tau: float = DEFAULT_DISCOPOP_TAU,
+                           cmcl: dict | None = None) -> Column:
+    """The per-row loss of a row-wise loss type as one column expression."""
+    if loss_type in BATCH_LOSSES:
+        raise ValueError(f"{loss_type} needs batch context; use preference_loss")
+    return _row_loss(loss_type, beta, label_smoothing, reference_free, divergence, alpha, discopop_tau, cmcl)
+
+
+def _row_loss(loss_type, beta, eps, reference_free, divergence, alpha, discopop_tau, cmcl) -> Column:
+    import math
+    c, r, rc, rr = _cols()
+    cl, rl = log_ratios(reference_free)
+    z = logits(divergence, reference_free, alpha)
+    bz = beta * z
+    if loss_type == "sigmoid":
+        return _sigmoid_form(bz, eps)
+    if loss_type == "robust":
+        return (-log_sigmoid(bz) * (1 - eps) + log_sigmoid(-bz) * eps) / (1 - 2 * eps)
+    if loss_type == "exo_pair":
+        e = eps if eps != 0 else EXO_DEFAULT_SMOOTHING  # local only: never leaks to other losses
+        return sigmoid(bz) * (log_sigmoid(bz) - math.log(1 - e)) + sigmoid(-bz) * (log_sigmoid(-bz) - math.log(e))
+    if loss_type == "hinge":
+        return relu(1 - bz)
+    if loss_type == "ipo":
+        return F.pow(z - 1 / (2 * beta), 2)
+    if loss_type == "sppo_hard":
+        return F.pow((c - rc) - 0.5 / beta, 2) + F.pow((r - rr) + 0.5 / beta, 2)
+    if loss_type == "nca_pair":
+        a, b = (c - rc) * beta, (r - rr) * beta
+        return -log_sigmoid(a) - 0.5 * log_sigmoid(-a) - 0.5 * log_sigmoid(-b)
+    if loss_type == "apo_zero":
+        return 1 - sigmoid(beta * cl) + sigmoid(beta * rl)
+    if loss_type == "apo_down":
+        return sigmoid(beta * cl) + 1 - sigmoid(beta * (cl - rl))
+    if loss_type == "discopop":
+        u = beta * ((c - r) - (rc - rr))
+        m = sigmoid(u / discopop_tau)
+        return -log_sigmoid(u) * (1 - m) + F.exp(-u) * m
+    if loss_type == "cmcl":
+        p = {**DEFAULT_CMCL, **(cmcl or {})}
+        t2 = p["tau"] ** 2
+        return (-p["tau"] * cl + p["alpha"] * p["tau"] * rl
+                + (p["beta"] * t2 / 2.0) * F.pow(cl, 2) + (p["gamma"] * t2 / 2.0) * F.pow(rl, 2))
+    raise ValueError(f"unknown loss type {loss_type}")
+
+
 def preference_loss(df: DataFrame, loss_type: str = "sigmoid", beta: float = DEFAULT_BETA,
                     label_smoothing: float = 0.0, reference_free: bool = False,
                     divergence: str = "reverse_kl", alpha: float = DEFAULT_ALPHA_DIVERGENCE_COEF,
@@ -105,33 +157,15 @@ def preference_loss(df: DataFrame, loss_type: str = "sigmoid", beta: float = DEF
     """
     eps = label_smoothing
     c, r, rc, rr = _cols()
-    cl, rl = log_ratios(reference_free)
-    z = logits(divergence, reference_free, alpha)
-    bz = beta * z
     cr, rr_ = rewards(beta)
     out = df
-    if loss_type == "sigmoid":
-        loss = _sigmoid_form(bz, eps)
-    elif loss_type == "robust":
-        loss = (-log_sigmoid(bz) * (1 - eps) + log_sigmoid(-bz) * eps) / (1 - 2 * eps)
-    elif loss_type == "exo_pair":
-        e = eps if eps != 0 else EXO_DEFAULT_SMOOTHING  # local only: never leaks to other losses
-        import math
-        loss = sigmoid(bz) * (log_sigmoid(bz) - math.log(1 - e)) + sigmoid(-bz) * (log_sigmoid(-bz) - math.log(e))
-    elif loss_type == "hinge":
-        loss = relu(1 - bz)
-    elif loss_type == "ipo":
-        loss = F.pow(z - 1 / (2 * beta), 2)
+    if loss_type not in BATCH_LOSSES:
+        loss = _row_loss(loss_type, beta, eps, reference_free, divergence, alpha, discopop_tau, cmcl)
     elif loss_type == "bco_pair":
         delta = _running_delta(df, beta, batch_col).select(batch_col, F.col("running_mean").alias("_delta"))
-        out = df.join(delta, batch_col)
+        out = join_summary(df, delta, [batch_col])
         d = F.col("_delta")
         loss = -log_sigmoid(beta * (c - rc) - d) - log_sigmoid(-(beta * (r - rr) - d))
-    elif loss_type == "sppo_hard":
-        loss = F.pow((c - rc) - 0.5 / beta, 2) + F.pow((r - rr) + 0.5 / beta, 2)
-    elif loss_type == "nca_pair":
-        a, b = (c - rc) * beta, (r - rr) * beta
-        loss = -log_sigmoid(a) - 0.5 * log_sigmoid(-a) - 0.5 * log_sigmoid(-b)
     elif loss_type in ("aot_pair", "aot"):
         if loss_type == "aot_pair":
             left, right = c - rc, r - rr
@@ -141,26 +175,11 @@ def preference_loss(df: DataFrame, loss_type: str = "sigmoid", beta: float = DEF
         out = ranked.drop("_k").withColumn("loss", _sigmoid_form(beta * (F.col("_left") - F.col("_right")), eps)) \
                     .drop("_left", "_right")
         loss = F.col("loss")
-    elif loss_type == "apo_zero":
-        loss = 1 - sigmoid(beta * cl) + sigmoid(beta * rl)
-    elif loss_type == "apo_down":
-        loss = sigmoid(beta * cl) + 1 - sigmoid(beta * (cl - rl))
-    elif loss_type == "discopop":
-        u = beta * ((c - r) - (rc - rr))
-        m = sigmoid(u / discopop_tau)
-        loss = -log_sigmoid(u) * (1 - m) + F.exp(-u) * m
-    elif loss_type == "sft":
+    else:  # sft
         if batch_nll is None:
             raise ValueError("sft loss needs batch_nll")
-        out = df.join(batch_nll.select(batch_col, F.col("nll_loss").alias("_nll")), batch_col)
+        out = join_summary(df, batch_nll.select(batch_col, F.col("nll_loss").alias("_nll")), [batch_col])
         loss = F.col("_nll")
-    elif loss_type == "cmcl":
-        p = {**DEFAULT_CMCL, **(cmcl or {})}
-        t2 = p["tau"] ** 2
-        loss = (-p["tau"] * cl + p["alpha"] * p["tau"] * rl
-                + (p["beta"] * t2 / 2.0) * F.pow(cl, 2) + (p["gamma"] * t2 / 2.0) * F.pow(rl, 2))
-    else:
-        raise ValueError(f"unknown loss type {loss_type}")
     return (out.withColumn("loss", loss)
                .withColumn("chosen_reward", cr)
                .withColumn("rejected_reward", rr_)
@@ -180,21 +199,29 @@ def weighted_losses(df: DataFrame, loss_types: Sequence[str], weights: Sequence[
     weights = list(weights) if weights is not None else [1.0] * len(loss_types)
     if len(weights) != len(loss_types):
         raise ValueError("one weight per loss type is required")
-    base = df.select(key_col, batch_col, C, R, RC, RR, *([c for c in ("aux_loss",) if c in df.columns]))
-    total = None
-    for i, (lt, w) in enumerate(zip(loss_types, weights)):
-        part = preference_loss(base, lt, batch_nll=batch_nll, batch_col=batch_col, key_col=key_col, **kw)
-        part = part.select(key_col, batch_col, (F.col("loss") * w).alias(f"_l{i}"),
-                           (F.col("chosen_reward") * w).alias(f"_c{i}"), (F.col("rejected_reward") * w).alias(f"_r{i}"))
-        total = part if total is None else total.join(part, [key_col, batch_col])
+    aux = [c for c in ("aux_loss",) if c in df.columns]
+    base = df.select(key_col, batch_col, C, R, RC, RR, *aux)
+    cr, rr_ = rewards(kw.get("beta", DEFAULT_BETA))
     n = len(loss_types)
-    out = base.join(total, [key_col, batch_col]).select(
-        key_col, batch_col, C, R, RC, RR, *([c for c in ("aux_loss",) if c in df.columns]),
-        sum((F.col(f"_l{i}") for i in range(n)), F.lit(0.0)).alias("loss"),
-        sum((F.col(f"_c{i}") for i in range(n)), F.lit(0.0)).alias("chosen_reward"),
-        sum((F.col(f"_r{i}") for i in range(n)), F.lit(0.0)).alias("rejected_reward"))
+    if not set(loss_types) & BATCH_LOSSES:
+        # all row-wise: one projection, no join
+        loss = sum((preference_loss_column(lt, **kw) * w for lt, w in zip(loss_types, weights)), F.lit(0.0))
+        out = base.select(key_col, batch_col, C, R, RC, RR, *aux, loss.alias("loss"),
+                          (cr * sum(weights)).alias("chosen_reward"), (rr_ * sum(weights)).alias("rejected_reward"))
+    else:
+        total = None
+        for i, (lt, w) in enumerate(zip(loss_types, weights)):
+            part = preference_loss(base, lt, batch_nll=batch_nll, batch_col=batch_col, key_col=key_col, **kw)
+            part = part.select(key_col, batch_col, (F.col("loss") * w).alias(f"_l{i}"),
+                               (F.col("chosen_reward") * w).alias(f"_c{i}"), (F.col("rejected_reward") * w).alias(f"_r{i}"))
+            total = part if total is None else total.join(part, [key_col, batch_col])
+        out = base.join(total, [key_col, batch_col]).select(
+            key_col, batch_col, C, R, RC, RR, *aux,
+            sum((F.col(f"_l{i}") for i in range(n)), F.lit(0.0)).alias("loss"),
+            sum((F.col(f"_c{i}") for i in range(n)), F.lit(0.0)).alias("chosen_reward"),
+            sum((F.col(f"_r{i}") for i in range(n)), F.lit(0.0)).alias("rejected_reward"))
     if rpo_alpha is not None:
-        out = out.join(batch_nll.select(batch_col, "nll_loss"), batch_col) \
+        out = join_summary(out, batch_nll.select(batch_col, "nll_loss"), [batch_col]) \
                  .withColumn("loss", F.col("loss") + rpo_alpha * F.col("nll_loss")).drop("nll_loss")
     if policy_weights is not None:
         out = out.join(policy_weights.select(key_col, "policy_weight"), key_col) \
