@@ -38,7 +38,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     conf = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = os.environ.get("STEPWISE_DRIVER_MEMORY", "8g")
+        conf["spark.driver.memory"] = os.environ.get("STEPWISE_DRIVER_MEMORY", _local_heap())
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})
@@ -50,6 +50,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _memory_limit_bytes() -> int:
+    limit = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    for f in ("/sys/fs/cgroup/memory.max", "/sys/fs/cgroup/memory/memory.limit_in_bytes"):
+        try:
+            with open(f) as fh:
+                v = fh.read().strip()
+            if v.isdigit():
+                limit = min(limit, int(v))
+        except OSError:
+            pass
+    return limit
+
+
+def _local_heap() -> str:
+    """Half of the machine's (or container's) memory, at most 8 GiB."""
+    mb = max(1024, min(8192, _memory_limit_bytes() // (2 * 1024 * 1024)))
+    return f"{mb}m"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
