@@ -171,8 +171,13 @@ def generate_candidates(pending_samples: DataFrame, generator: GeneratorFn) -> D
     return C.clean_candidates(out)
 
 
-def score_candidates(samples: DataFrame, scorer: ScorerFn) -> DataFrame:
-    """Verifier votes for every candidate: ``(sample_id, candidate_idx, gen_idx, output)``."""
+def score_candidates(samples: DataFrame, scorer: ScorerFn, wide: bool = False) -> DataFrame:
+    """Verifier generations for every candidate.
+
+    Long form ``(sample_id, candidate_idx, gen_idx, output)`` by default; with
+    ``wide`` one row per candidate with the ``outputs`` array (voting on it
+    then needs no shuffle).
+    """
     ex = C.expand_candidates(samples.select("id", "problem", "steps", "candidates"))
     prompts = C.render_candidate_prompt(ex).select(F.col("id").alias("sample_id"), "candidate_idx", "prompt")
 
@@ -183,6 +188,8 @@ def score_candidates(samples: DataFrame, scorer: ScorerFn) -> DataFrame:
                                 "outputs": outs})
 
     scored = prompts.mapInPandas(run, "sample_id long, candidate_idx int, outputs array<string>")
+    if wide:
+        return scored
     return scored.select("sample_id", "candidate_idx", F.posexplode("outputs").alias("gen_idx", "output"))
 
 
@@ -203,8 +210,8 @@ def search_loop(spark: SparkSession, problems: DataFrame, generator: GeneratorFn
             break
         cands = generate_candidates(todo, generator)
         work = todo.drop("candidates").join(cands, "id")
-        votes = score_candidates(work, scorer)
-        results = V.vote_candidates(votes)
+        # generations stay an array per candidate: voting is a narrow projection
+        results = V.vote_counted_wide(score_candidates(work, scorer, wide=True))
         best = best_candidates(results, work.select("id", "candidates"))
         state = apply_selection(state, best).checkpoint()
     return state

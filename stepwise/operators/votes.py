@@ -91,3 +91,21 @@ def vote_candidates(votes: DataFrame, sample_col: str = "sample_id", idx_col: st
             .withColumnRenamed("verification_labels", "analysis_labels")
             .withColumnRenamed("outputs", "analysis_outputs")
             .drop("all_rewards", "parse_failed"))
+
+
+def vote_counted_wide(df: DataFrame, outputs_col: str = "outputs", strip: bool = True) -> DataFrame:
+    """Voting when the n generations of a prompt arrive as one array: no shuffle.
+
+    Same rule as ``vote_counted`` (last verdict, unparsable = 0.5, no
+    generations = 0.5): a narrow projection over the array.
+    """
+    texts = F.col(outputs_col)
+    labels = F.transform(texts, lambda t: last_verdict(py_strip(t) if strip else t))
+    out = df.withColumn("verification_labels", labels)
+    rewards = F.transform("verification_labels", verdict_reward)
+    n = F.size("verification_labels")
+    return (out.withColumn("all_rewards", rewards)
+               .withColumn("n_votes", n.cast("bigint"))
+               .withColumn("reward", F.when(n > 0, F.aggregate("all_rewards", F.lit(0.0), lambda a, x: a + x) / n)
+                           .otherwise(F.lit(0.5)))
+               .withColumn("parse_failed", F.exists("verification_labels", lambda x: x.isNull())))

@@ -34,3 +34,23 @@ def test_best_candidate_ties_take_lowest_index(spark):
     b = {r["id"]: r for r in S.best_candidates(res, cands).collect()}
     assert b[1]["best_idx"] == 1 and b[1]["answer"] == "4"
     assert b[2]["answer"] is None and not b[2]["has_answer"]    # empty boxed answer does not count
+
+
+def test_wide_and_long_voting_agree(spark):
+    from stepwise.operators import votes as V
+    rows = [(1, 0, ["Verification: Is the step correct (Yes/No)? Yes", "x", " Verification: Is the step correct (Yes/No)? No "]),
+            (1, 1, []), (2, 0, ["Verification: Is the step correct (Yes/No)? Yes"])]
+    wide = spark.createDataFrame(rows, "sample_id long, candidate_idx int, outputs array<string>")
+    w = {(r["sample_id"], r["candidate_idx"]): (r["reward"], r["parse_failed"])
+         for r in V.vote_counted_wide(wide).collect()}
+    long = wide.select("sample_id", "candidate_idx", F.posexplode("outputs").alias("gen_idx", "output"))
+    lg = {(r["sample_id"], r["candidate_idx"]): r["reward"] for r in V.vote_candidates(long).collect()}
+    assert w[(1, 0)] == (lg[(1, 0)], True) and w[(2, 0)] == (1.0, False)
+    assert w[(1, 1)] == (0.5, False)          # no generations -> 0.5
+
+
+def test_search_loop_finishes_with_stubs(spark):
+    problems = spark.createDataFrame([(i, f"problem {i}") for i in range(6)], "id long, problem string")
+    out = S.search_loop(spark, problems, S.stub_generator, S.stub_scorer, max_rounds=4).collect()
+    assert len(out) == 6 and all(r["has_answer"] for r in out)
+    assert all(r["answer"] == str(r["id"] % 97) and len(r["steps"]) == 3 for r in out)
