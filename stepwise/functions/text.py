@@ -8,18 +8,6 @@ from pyspark.sql import functions as F
 # The characters Python's str.isspace() accepts.
 _WS_RANGES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680),
               (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
-
-
-def _java_class() -> str:
-    return "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" if a != b else f"\\x{{{a:04x}}}"
-                         for a, b in _WS_RANGES) + "]"
-
-
-# Java and RE2 both accept \x{hhhh}.
-PY_WS_CLASS = _java_class()
-STRIP_PATTERN = f"^{PY_WS_CLASS}+|{PY_WS_CLASS}+$"
-
-
 PY_WS_CHARS = "".join(chr(c) for a, b in _WS_RANGES for c in range(a, b + 1))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stepwise.functions.templates import INSTRUCTION_HEAD, RESPONSE_HEAD, sql_literal
 from stepwise.functions.tokens import hashed_word_tokenizer_sql as tok_sql
-from stepwise.operators import chains as C
 from stepwise.operators import tokens as TK
 from stepwise.operators.ordering import assign_batches
 from stepwise.plans.fixtures import fixture, read_table, with_fixtures

@@ -1,6 +1,5 @@
 """First-error and confusion-matrix evaluation: pinned edge rows and metamorphic checks."""
 
-from pyspark.sql import functions as F
 
 from stepwise.operators import evaluate as ev
 from stepwise.plans.fixtures import fixture
