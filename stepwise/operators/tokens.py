@@ -206,3 +206,20 @@ def keep_signature_columns(df: DataFrame, allowed: tuple[str, ...] = (
         "token_type_ids", "pixel_values", "pixel_attention_mask", "image_sizes")) -> DataFrame:
     """Keep only the columns a trainer accepts (in input order)."""
     return df.select(*[c for c in df.columns if c in allowed])
+
+
+def shift_right(ids: Column, start_id: int) -> Column:
+    """Decoder inputs: ``[start] + ids[:-1]`` (same length as ``ids``)."""
+    return F.when(F.size(ids) > 0, F.concat(F.array(F.lit(start_id)), F.slice(ids, F.lit(1), F.size(ids) - 1))) \
+            .otherwise(ids)
+
+
+def roll(ids: Column, shift: int) -> Column:
+    """Cyclic shift by ``shift`` positions (+1: last item first; -1: first item last)."""
+    n = F.size(ids)
+    if shift == 0:
+        return ids
+    k = abs(shift)
+    if shift > 0:
+        return F.when(n > k, F.concat(F.slice(ids, n - k + 1, F.lit(k)), F.slice(ids, F.lit(1), n - k))).otherwise(ids)
+    return F.when(n > k, F.concat(F.slice(ids, F.lit(k + 1), n - k), F.slice(ids, F.lit(1), F.lit(k)))).otherwise(ids)

@@ -68,3 +68,11 @@ def test_signature_whitelist_and_python_tokenizer(spark):
     assert kept.columns == ["prompt_input_ids", "chosen_input_ids", "rejected_input_ids"]
     r = kept.collect()[0]
     assert r["prompt_input_ids"] == [1] and r["chosen_input_ids"] == [1, 1] and r["rejected_input_ids"] == [1, 1, 1, 1]
+
+
+def test_shift_and_roll(spark):
+    df = spark.createDataFrame([([5, 6, 7],), ([],)], "ids array<int>")
+    rows = df.select(TK.shift_right(F.col("ids"), 9).alias("s"), TK.roll(F.col("ids"), 1).alias("r1"),
+                     TK.roll(F.col("ids"), -1).alias("rm1")).collect()
+    assert (rows[0]["s"], rows[0]["r1"], rows[0]["rm1"]) == ([9, 5, 6], [7, 5, 6], [6, 7, 5])
+    assert (rows[1]["s"], rows[1]["r1"], rows[1]["rm1"]) == ([], [], [])
