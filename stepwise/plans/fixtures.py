@@ -145,14 +145,14 @@ join (select d.doc_id, d.lang, d.text, row_number() over (partition by d.lang or
 
 _FIELD = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
 # A fixed number of copies of each row: a generator in the select list
-# (never a cross join).  Spark: explode(sequence(a, b)); DuckDB: unnest(range(a, b + 1)).
+# (never a cross join).  Spark: explode(sequence(a, b)) (int); DuckDB: unnest(range(a, b + 1)) cast to int.
 _SERIES = re.compile(r"<<series (\d+) (\d+)>>")
 
 
 def _series(template: str, dialect: str) -> str:
     if dialect == "spark":
         return _SERIES.sub(lambda m: f"explode(sequence({m.group(1)}, {m.group(2)}))", template)
-    return _SERIES.sub(lambda m: f"unnest(range({m.group(1)}, {int(m.group(2)) + 1}))", template)
+    return _SERIES.sub(lambda m: f"cast(unnest(range({m.group(1)}, {int(m.group(2)) + 1})) as integer)", template)
 
 
 def tables_of(template: str) -> list[str]:

@@ -37,6 +37,11 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.sql(E.oracle_sql()[name])
     dcols, drows = rel.columns, rel.fetchall()
     assert sorted(cols) == sorted(dcols)
+    types = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+             "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+    dtypes = dict(zip(dcols, [str(t) for t in rel.types]))
+    for f in df.schema.fields:
+        assert types.get(repr(f.dataType), repr(f.dataType)) == dtypes[f.name], f.name
     assert len(rows) == len(drows)
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     dorder = [dcols.index(cols[i]) for i in order]
