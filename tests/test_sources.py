@@ -50,3 +50,17 @@ def test_class_folder(spark):
     df = RS.read_record_dir(spark, d, class_pattern=r"([a-z]+)_results\.jsonl?$")
     got = sorted((r["original_id"], r["source_class"]) for r in df.collect())
     assert got == [(1, "calc"), (2, "logic")]
+
+
+def test_bad_line_number_across_splits(spark):
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    lines = [f'{{"id": {i}, "pad": "{"x" * 20}"}}' for i in range(1, 120001)]
+    lines[97654] = "{broken"                       # line 97655
+    p = _write(d, "big.jsonl", "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+        assert spark.read.text(p).rdd.getNumPartitions() > 4
+        assert RS.first_bad_line(spark, p)[1] == 97655
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
