@@ -16,6 +16,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 RAW_SCHEMA = StructType([StructField("raw", StringType())])
 
 
+def strict_json(c) -> "F.Column":
+    """True when the text is exactly one JSON value (nothing after it).
+
+    The parser stops after the first value; wrapped in brackets, a second
+    value or trailing text becomes a syntax error.
+    """
+    wrapped = F.concat(F.lit("["), c, F.lit("]"))
+    return F.coalesce(F.try_parse_json(wrapped).isNotNull() & (F.json_array_length(wrapped) == 1), F.lit(False))
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -41,7 +51,7 @@ def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
              .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                      F.monotonically_increasing_id().alias("pos"), "value"))
     numbered = row_number_within(lines, ["file"], ["block", "pos"], "line")
-    bad = (numbered.where((F.length(F.trim("value")) > 0) & F.try_parse_json("value").isNull())
+    bad = (numbered.where((F.length(F.trim("value")) > 0) & ~strict_json(F.col("value")))
            .groupBy("file").agg(F.min("line").alias("line")).orderBy("file").limit(1).collect())
     return (bad[0]["file"], int(bad[0]["line"])) if bad else None
 
@@ -95,7 +105,7 @@ def read_buffer(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     if _first_char(spark, path) is None:
         return empty
     raw = raw_json_records(spark, path)
-    bad = raw.where(F.json_object_keys("raw").isNull()).limit(1).count()
+    bad = raw.where(~strict_json(F.col("raw")) | F.json_object_keys("raw").isNull()).limit(1).count()
     if bad:
         if strict:
             raise ValueError(f"{path}: JSON content must be a list or dict")
@@ -111,7 +121,17 @@ def read_answer_records(spark: SparkSession, path: str, id_key: str = "id",
     JSON text (strings unquoted).
     """
     raw = raw_json_records(spark, path)
-    obj = raw.where(F.json_object_keys("raw").isNotNull())
+    if raw.where(~strict_json(F.col("raw"))).limit(1).count():
+        # not JSON lines: either one object spread over several lines, or an error
+        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("raw"))
+        # wrapped in brackets, anything after the first value (a second object,
+        # trailing garbage) becomes a syntax error: strict whole-text parsing
+        if whole.where(~strict_json(F.col("raw"))).limit(1).count() == 0:
+            raw = whole
+        else:
+            bad = first_bad_line(spark, path)
+            raise ValueError(f"Failed to parse line {bad[1]} in {bad[0]} as JSON" if bad else f"{path}: invalid JSON")
+    obj = raw.where(F.json_object_keys("raw").isNotNull())   # non-object elements are dropped
     return obj.select(F.get_json_object("raw", f"$.{id_key}").alias("id_text"),
                       F.get_json_object("raw", f"$.{answer_key}").alias("answer"),
                       F.col("raw"))

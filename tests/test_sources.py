@@ -25,7 +25,7 @@ def test_array_and_lines(spark):
 
 def test_bad_line_number(spark):
     d = tempfile.mkdtemp(prefix="stepwise-src-")
-    p = _write(d, "c.jsonl", '{"id": 1}\n\n{"id": 2}\n{oops\n{"id": 4}\n')
+    p = _write(d, "c.jsonl", '{"id": 1}\n\n{"id": 2}\n{"id": 3} junk\n{"id": 4}\n')
     with pytest.raises(ValueError, match="line 4"):
         RS.read_json_records(spark, p, validate=True)
 
@@ -64,3 +64,15 @@ def test_bad_line_number_across_splits(spark):
         assert RS.first_bad_line(spark, p)[1] == 97655
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_answer_records(spark):
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    lines = _write(d, "a.jsonl", '{"id": 1, "answer": "3"}\n[1, 2]\n{"id": 2, "answer": 4.5}\n')
+    got = sorted((r["id_text"], r["answer"]) for r in RS.read_answer_records(spark, lines).collect())
+    assert got == [("1", "3"), ("2", "4.5")]                      # the non-object line is dropped
+    pretty = _write(d, "b.json", '{\n  "id": 7,\n  "answer": "x"\n}\n')
+    assert [(r["id_text"], r["answer"]) for r in RS.read_answer_records(spark, pretty).collect()] == [("7", "x")]
+    broken = _write(d, "c.jsonl", '{"id": 1}\n{"id": \n')
+    with pytest.raises(ValueError, match="line 2"):
+        RS.read_answer_records(spark, broken)
