@@ -102,6 +102,35 @@ def init_buffer(problems: DataFrame, id_col: str = "id", problem_col: str = "pro
                            F.lit(False).alias("has_answer"), F.lit(None).cast("string").alias("answer"))
 
 
+def init_or_resume(spark: SparkSession, buffer_path: str, problems: DataFrame) -> DataFrame:
+    """Resume from a non-empty buffer file, else start every problem afresh."""
+    from stepwise.sources.records import read_buffer
+    existing = read_buffer(spark, buffer_path)
+    if not existing.isEmpty():
+        return parse_buffer(existing)
+    return init_buffer(problems)
+
+
+# Exit codes of the progress check: stop, continue, unreadable buffer.
+CHECK_DONE, CHECK_CONTINUE, CHECK_INVALID = 0, 1, 2
+
+
+def check_progress(spark: SparkSession, buffer_path: str) -> tuple[int, int, int]:
+    """(code, answered, total) for a buffer file: 0 when every sample has an
+    answer key, 1 when some do not or the buffer is empty, 2 when the file is
+    missing or not a list/dict of objects.  One small aggregate."""
+    from stepwise.sources.records import read_buffer
+    try:
+        buf = parse_buffer(read_buffer(spark, buffer_path, strict=True))
+    except (FileNotFoundError, ValueError):
+        return CHECK_INVALID, 0, 0
+    row = progress(buf).collect()
+    if not row or row[0]["total"] == 0:
+        return CHECK_CONTINUE, 0, 0
+    r = row[0]
+    return (CHECK_DONE if r["state"] == "done" else CHECK_CONTINUE), r["answered"], r["total"]
+
+
 def evaluations_by_sample(results: DataFrame, sample_col: str = "sample_id") -> DataFrame:
     """Per sample, its candidate evaluations sorted by ``candidate_idx``."""
     item = F.struct(*[F.col(c) for c in results.columns if c != sample_col])

@@ -85,7 +85,9 @@ def raw_json_records(spark: SparkSession, path: str) -> DataFrame:
     first = _first_char(spark, path)
     if first == "[":
         whole = spark.read.text(path, wholetext=True)
-        return whole.select(F.explode(F.from_json("value", "array<string>")).alias("raw"))
+        # an unparsable array stays one (invalid) record so validation sees it
+        return whole.select(F.explode(F.coalesce(F.from_json("value", "array<string>"),
+                                                 F.array(F.col("value")))).alias("raw"))
     lines = spark.read.text(path).select(F.col("value").alias("raw")).where(F.length(F.trim("raw")) > 0)
     return lines
 
@@ -107,6 +109,10 @@ def read_buffer(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     raw = raw_json_records(spark, path)
     bad = raw.where(~strict_json(F.col("raw")) | F.json_object_keys("raw").isNull()).limit(1).count()
     if bad:
+        # one object spread over several lines is a valid one-record buffer
+        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("raw"))
+        if whole.where(~strict_json(F.col("raw")) | F.json_object_keys("raw").isNull()).limit(1).count() == 0:
+            return whole
         if strict:
             raise ValueError(f"{path}: JSON content must be a list or dict")
         return empty

@@ -54,3 +54,32 @@ def test_search_loop_finishes_with_stubs(spark):
     out = S.search_loop(spark, problems, S.stub_generator, S.stub_scorer, max_rounds=4).collect()
     assert len(out) == 6 and all(r["has_answer"] for r in out)
     assert all(r["answer"] == str(r["id"] % 97) and len(r["steps"]) == 3 for r in out)
+
+
+def test_check_progress_exit_codes(spark, tmp_path):
+    done = tmp_path / "done.json"
+    done.write_text('[{"id": 1, "answer": "2"}, {"id": 2, "answer": null}]')
+    todo = tmp_path / "todo.json"
+    todo.write_text('[{"id": 1, "answer": "2"}, {"id": 2}]')
+    empty = tmp_path / "empty.json"
+    empty.write_text("")
+    pretty = tmp_path / "one.json"
+    pretty.write_text('{\n "id": 5,\n "answer": "1"\n}\n')
+    broken = tmp_path / "broken.json"
+    broken.write_text("[1, 2")
+    assert S.check_progress(spark, str(done)) == (0, 2, 2)
+    assert S.check_progress(spark, str(todo)) == (1, 1, 2)
+    assert S.check_progress(spark, str(empty))[0] == 1
+    assert S.check_progress(spark, str(pretty)) == (0, 1, 1)
+    assert S.check_progress(spark, str(broken))[0] == 2
+    assert S.check_progress(spark, str(tmp_path / "missing.json"))[0] == 2
+
+
+def test_init_or_resume(spark, tmp_path):
+    problems = spark.createDataFrame([(1, "p1"), (2, "p2")], "id long, problem string")
+    fresh = S.init_or_resume(spark, str(tmp_path / "none.json"), problems)
+    assert fresh.count() == 2 and fresh.where("has_answer").count() == 0
+    buf = tmp_path / "gen.json"
+    buf.write_text('[{"id": 1, "problem": "p1", "steps": ["s"], "answer": "3"}]')
+    resumed = S.init_or_resume(spark, str(buf), problems).collect()
+    assert len(resumed) == 1 and resumed[0]["has_answer"] and resumed[0]["steps"] == ["s"]
