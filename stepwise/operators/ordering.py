@@ -18,13 +18,31 @@ from pyspark.sql import functions as F
 from stepwise.session import ensure_checkpoint_dir
 
 
+# Largest group a single task may sort for a plain window.
+MAX_WINDOW_GROUP_ROWS = 5_000_000
+
+
 def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                      out: str = "rn", num_partitions: int | None = None) -> DataFrame:
+                      out: str = "rn", num_partitions: int | None = None,
+                      max_group_rows: int | None = MAX_WINDOW_GROUP_ROWS) -> DataFrame:
     """1-based row number of each row within its group, in ``order_cols`` order.
 
     ``order_cols`` should make the order total (ties receive distinct
-    numbers in an arbitrary but consistent order).
+    numbers in an arbitrary but consistent order).  The size of the largest
+    group is measured first (a partial aggregate); when it is within
+    ``max_group_rows`` a plain window does the numbering, otherwise the
+    range-partitioned path below spreads every group over many tasks.
     """
+    if group_cols and max_group_rows is not None:
+        largest = df.groupBy(*group_cols).count().agg(F.max("count")).collect()[0][0]
+        if largest is None or largest <= max_group_rows:
+            w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+            return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+    return _row_number_distributed(df, group_cols, order_cols, out, num_partitions)
+
+
+def _row_number_distributed(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                            out: str, num_partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

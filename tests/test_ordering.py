@@ -10,7 +10,7 @@ def test_row_number_within_matches_window(spark):
     df = spark.range(0, 20000).select(
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 17).alias("g"),   # group 0 holds a third
         ((F.col("id") * 7919) % 10007).alias("v"), F.col("id"))
-    got = row_number_within(df, ["g"], ["v", "id"], "rn", num_partitions=16)
+    got = row_number_within(df, ["g"], ["v", "id"], "rn", num_partitions=16, max_group_rows=1000)  # distributed path
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
     assert got.select("id", "rn").exceptAll(want.select("id", F.col("rn").cast("bigint"))).count() == 0
     assert got.count() == df.count()
@@ -21,3 +21,10 @@ def test_assign_batches(spark):
     b = assign_batches(df, ["k"], 64).collect()
     assert {r["k"]: r["batch_id"] for r in b}[130] == 130 // 64
     assert max(r["batch_id"] for r in b) == 999 // 64
+
+
+def test_small_groups_use_window_path(spark):
+    df = spark.range(0, 500).select((F.col("id") % 5).alias("g"), F.col("id"))
+    got = row_number_within(df, ["g"], ["id"], "rn")
+    assert "Window" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["rn"] for r in got.collect()}[7] == 2
