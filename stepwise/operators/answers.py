@@ -59,8 +59,14 @@ def keep_last(df: DataFrame, key: str, order_col: str | None = None) -> DataFram
 # --------------------------------------------------------------------------
 
 _ALLOWED_NAMES = {"pi", "e", "sqrt"}
+def _float_pow(a, b):
+    # floating-point power: bounded time for any operands (9**9**9**9 overflows
+    # instead of building a huge integer); overflow / complex results raise
+    return math.pow(float(a), float(b))
+
+
 _BINOPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
-           ast.Div: operator.truediv, ast.Pow: operator.pow, ast.Mod: operator.mod}
+           ast.Div: operator.truediv, ast.Pow: _float_pow, ast.Mod: operator.mod}
 _UNOPS = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 
 
