@@ -21,11 +21,6 @@ def py_strip_sql(expr: str) -> str:
     return f"trim({expr}, {chars})"
 
 
-def py_str_int(c: Column) -> Column:
-    """``str(int)`` for integral columns."""
-    return c.cast("bigint").cast("string")
-
-
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it (possibly many times) in ``body``.
 

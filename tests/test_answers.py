@@ -93,3 +93,16 @@ def test_expression_fallback_is_bounded():
     assert expression_value("(-8)**(1/3)") is None       # complex in real arithmetic
     assert expression_value("2^10") == 1024.0
     assert time.time() - t < 1.0
+
+
+def test_answer_values_and_report_sink(spark, tmp_path):
+    from stepwise.operators.answers import answer_summary, answer_values
+    from stepwise.sources.records import write_report
+    df = spark.createDataFrame([("3^2",), ("12.5%",), ("none",)], "a string")
+    got = {r["a"]: r["v"] for r in answer_values(df, "a", "v").collect()}
+    assert got == {"3^2": 9.0, "12.5%": 0.125, "none": None}
+    pred = spark.createDataFrame([(1, "1")], "id long, answer string")
+    recs = compare_answers(pred, pred)
+    s_path, r_path = write_report(answer_summary(recs, pred, pred), recs, str(tmp_path / "report"))
+    assert spark.read.json(s_path).collect()[0]["matched_samples"] == 1
+    assert spark.read.json(r_path).count() == 1
