@@ -9,7 +9,7 @@ windows are emptied into full ones by cutting pieces; at most one partial
 window a shard remains.  No shuffle; a task holds its open windows only.
 
 Documents are tokenised by a distinct-chunk table: white-space separated
-chunks are encoded once per task (the tokenizer drops white space, so pieces
+chunks are encoded once per worker (the tokenizer drops white space, so pieces
 never cross it) and their ids are joined by position.
 
 Defined results: null text counts as empty and gives one piece (the end id
@@ -20,6 +20,7 @@ times ``2**32`` plus a running number, so they depend on the input's splits.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 END_ID = 1
 MAX_OPEN = 1024
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 LONG_CHUNK = 64
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -50,34 +51,36 @@ class ChunkTable:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        bar = self._ids(["|"])[0]
-        self.bar = int(np.frombuffer(bar, "<u4")[0]) if len(bar) == 4 else None
+        self.model = self.tokenizer.model
+        # the model's letters for bytes, for Latin-1 letters
+        to_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {o: to_bytes(chr(o))[0][0] for o in range(256) if chr(o).isalpha()}
         self.chunks: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _ids_of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of chunks of letters and digits: one call on all of them with a bar between each two."""
-        if self.bar is None:
-            return self._ids(words)
-        ids = np.array(self.tokenizer.encode_batch_fast([" | ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(ids == self.bar)
-        if len(cuts) != len(words) - 1:
-            return self._ids(words)
-        starts, ends, raw = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)], ids.tobytes()
-        return [raw[i:j] for i, j in zip(starts, ends)]
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a lower-cased Latin-1 run of letters, which the tokenizer hands to its model as one word."""
+        return np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+
+    def _age(self) -> None:
+        """Full tables become the old ones, from which what is still in use moves back: memory stays bounded."""
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.runs) > CACHE_CHUNKS:
+            self.old_runs, self.runs = self.runs, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text, as bytes."""
         split = [self._chunks(t) if t else [] for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        if len(self.runs) > CACHE_CHUNKS:
-            self.runs.clear()
+        self._age()
         chunks = self.chunks
         new = [c for c in set().union(*split) if c not in chunks]
         if any(len(c) > LONG_CHUNK for c in new):
@@ -88,17 +91,27 @@ class ChunkTable:
     def _learn(self, new: list[str], chunks: dict[str, bytes]) -> None:
         """Add the ids of chunks; lower-cased Latin-1 ones are put together from the table of their runs."""
         whole, cut = [], []
+        old = self.old_chunks
         for c in new:
-            (cut if self._plain(c) and len(c) <= LONG_CHUNK else whole).append(c)
+            got = old.get(c)
+            if got is not None:
+                chunks[c] = got
+            else:
+                (cut if len(c) <= LONG_CHUNK and self._plain(c) else whole).append(c)
         for lo in range(0, len(whole), 4096):
             chunks.update(zip(whole[lo:lo + 4096], self._ids(whole[lo:lo + 4096])))
-        runs_of = [_RUNS.findall(c) for c in cut]
-        runs = self.runs
-        unknown = [r for r in set().union(*runs_of) if r not in runs]
-        words = [r for r in unknown if r.isalnum()]
-        other = [r for r in unknown if not r.isalnum()]
-        for lo in range(0, len(words), 4096):
-            runs.update(zip(words[lo:lo + 4096], self._ids_of_words(words[lo:lo + 4096])))
+        runs_of = [[c] if c.isalpha() else _RUNS.findall(c) for c in cut]
+        runs, old = self.runs, self.old_runs
+        other = []
+        for r in set().union(*runs_of):
+            if r not in runs:
+                got = old.get(r)
+                if got is not None:
+                    runs[r] = got
+                elif r.isalpha():
+                    runs[r] = self._word_ids(r)
+                else:
+                    other.append(r)
         for lo in range(0, len(other), 4096):
             runs.update(zip(other[lo:lo + 4096], self._ids(other[lo:lo + 4096])))
         for c, parts in zip(cut, runs_of):
@@ -126,6 +139,12 @@ class ChunkTable:
         return text.replace("\n", " ").split(" ")
 
 
+@functools.lru_cache(maxsize=1)
+def chunk_table(path: str) -> ChunkTable:
+    """The table of this worker process; its next tasks go on with it."""
+    return ChunkTable(path)
+
+
 class Packer:
     """One shard: places documents, yields pieces ``(doc, start, ids, doc_tokens, sequence, offset)``."""
 
@@ -210,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(tokenizer_path)
+        table = chunk_table(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, max_open)
 
         def out(pieces: Iterator[tuple]) -> list[tuple]:

@@ -3,7 +3,7 @@
 Where no piece of a model has a white-space marker after another character,
 pieces cannot cross from a word into the marker before the next word, and
 none can touch a line break that no piece contains.  A text is cut there;
-each distinct chunk (marked word) is segmented and decoded once per task and
+each distinct chunk (marked word) is segmented and decoded once per worker and
 the results are joined back by position.  ``ChunkCodec`` checks the model and
 sends whole texts through the library if the property does not hold.
 
@@ -15,6 +15,7 @@ to ``LONG_CHUNK`` characters; longer chunks are segmented each time.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -113,6 +114,12 @@ class ChunkCodec:
         return len(ids), " ".join(map(str, ids)), self.whole.decode(ids)
 
 
+@functools.lru_cache(maxsize=1)
+def chunk_codec(path: str) -> ChunkCodec:
+    """The codec of this worker process; its next tasks go on with its table."""
+    return ChunkCodec(path)
+
+
 def encode_documents(docs: DataFrame, model_path: str, columns: list[str], text_col: str = "text",
                      with_ids: bool = False) -> DataFrame:
     """``columns`` with n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for."""
@@ -123,7 +130,7 @@ def encode_documents(docs: DataFrame, model_path: str, columns: list[str], text_
         schema = schema.add("ids", "string").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(model_path)
+        codec = chunk_codec(model_path)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
