@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,7 @@ SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 # Runs of letters and digits, runs of other signs, and whole chunks around an apostrophe
 # (the tokenizer takes 's, 't, .. as units); it never joins across these borders.
+_TRAIL = ".,;:!?"
 _RUNS = re.compile(r"[^ \n']*'[^ \n]*|[^\W_]+|(?:[^\w \n]|_)+")
 
 
@@ -68,7 +70,11 @@ class ChunkTable:
 
     def _word_ids(self, word: str) -> bytes:
         """Ids of a lower-cased Latin-1 run of letters, which the tokenizer hands to its model as one word."""
-        return np.array([t.id for t in self.model.tokenize(word.translate(self.letters))], "<u4").tobytes()
+        return self.pack(*[t.id for t in self.model.tokenize(word.translate(self.letters))])
+
+    @staticmethod
+    def pack(*ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _age(self) -> None:
         """Full tables become the old ones, from which what is still in use moves back: memory stays bounded."""
@@ -90,32 +96,31 @@ class ChunkTable:
 
     def _learn(self, new: list[str], chunks: dict[str, bytes]) -> None:
         """Add the ids of chunks; lower-cased Latin-1 ones are put together from the table of their runs."""
-        whole, cut = [], []
-        old = self.old_chunks
+        whole = []
+        old, run_ids = self.old_chunks, self._run_ids
         for c in new:
             got = old.get(c)
-            if got is not None:
-                chunks[c] = got
-            else:
-                (cut if len(c) <= LONG_CHUNK and self._plain(c) else whole).append(c)
+            if got is None:
+                if len(c) > LONG_CHUNK or not self._plain(c):
+                    whole.append(c)
+                    continue
+                core = c.rstrip(_TRAIL)
+                if core.isalpha():
+                    got = run_ids(core) if len(core) == len(c) else run_ids(core) + run_ids(c[len(core):])
+                else:
+                    got = b"".join(map(run_ids, _RUNS.findall(c)))
+            chunks[c] = got
         for lo in range(0, len(whole), 4096):
             chunks.update(zip(whole[lo:lo + 4096], self._ids(whole[lo:lo + 4096])))
-        runs_of = [[c] if c.isalpha() else _RUNS.findall(c) for c in cut]
-        runs, old = self.runs, self.old_runs
-        other = []
-        for r in set().union(*runs_of):
-            if r not in runs:
-                got = old.get(r)
-                if got is not None:
-                    runs[r] = got
-                elif r.isalpha():
-                    runs[r] = self._word_ids(r)
-                else:
-                    other.append(r)
-        for lo in range(0, len(other), 4096):
-            runs.update(zip(other[lo:lo + 4096], self._ids(other[lo:lo + 4096])))
-        for c, parts in zip(cut, runs_of):
-            chunks[c] = runs[parts[0]] if len(parts) == 1 else b"".join([runs[r] for r in parts])
+
+    def _run_ids(self, run: str) -> bytes:
+        got = self.runs.get(run)
+        if got is None:
+            got = self.old_runs.get(run)
+            if got is None:
+                got = self._word_ids(run) if run.isalpha() else self._ids([run])[0]
+            self.runs[run] = got
+        return got
 
     @staticmethod
     def _plain(chunk: str) -> bool:
