@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stepwise.llm import q_native, q_text
+from stepwise.llm import q_dups, q_native, q_text
 
-QUERIES = {**q_text.QUERIES, **q_native.QUERIES}
+QUERIES = {**q_text.QUERIES, **q_native.QUERIES, **q_dups.QUERIES}
 ORACLES = {**q_native.ORACLES}
