@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 20_000
+MAX_ROWS = 6000
 SEED = 41
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines"]
 # Statistics that conditions may test, as expressions of the counts.
@@ -178,15 +178,20 @@ def rules_expression(rules: list[Rule]) -> Column:
     return F.expr("case " + " ".join(f"when {r.sql()} then {i}" for i, r in enumerate(rules, 1)) + " end")
 
 
-def labelled_statistics(counts: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Statistics and bad marks of at most ``max_rows`` rows with ``labels(doc_id, good)``, in hash order."""
-    names = [*COUNTS, *SHARES]
+def label_sample(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """At most ``max_rows`` ids of ``labels(doc_id, good)`` in hash order, each with its lowest label."""
     one = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
-    rows = (counts.withColumns({k: F.expr(v) for k, v in SHARES.items()}).join(one, "doc_id")
-            .select("good", "doc_id", *(F.col(n).cast("double") for n in names))
-            .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", *names).limit(max_rows).collect())
-    table = np.array([r[2:] for r in rows], np.float64).reshape(-1, len(names))
-    return dict(zip(names, table.T)), np.array([not r["good"] for r in rows], bool)
+    return one.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows)
+
+
+def labelled_statistics(counts: DataFrame, max_rows: int = MAX_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Statistics and bad marks of at most ``max_rows`` rows of ``counts`` with ``doc_id`` and ``good``."""
+    names = [*COUNTS, *SHARES]
+    rows = (counts.withColumns({k: F.expr(v) for k, v in SHARES.items()})
+            .select("good", "doc_id", *(F.col(n).cast("double") for n in names)).limit(max_rows).collect())
+    rows.sort(key=lambda r: tuple(r[1:]))
+    stats = np.array([r[2:] for r in rows], np.float64).reshape(-1, len(names))
+    return dict(zip(names, stats.T)), np.array([not r["good"] for r in rows], bool)
 
 
 def apply_rules(counts: DataFrame, rules: list[Rule]) -> DataFrame:

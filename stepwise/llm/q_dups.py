@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepwise.llm import minhash_join
+from stepwise.llm import minhash_join, suffix_dedup
 from stepwise.llm.common import table
 
 
@@ -12,4 +13,9 @@ def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
 
 
-QUERIES = {"op8_minhash_join": op8_minhash_join}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op7_suffix_dedup": op7_suffix_dedup, "op8_minhash_join": op8_minhash_join}

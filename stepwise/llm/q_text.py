@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.llm import decision_lists, language_id, packing, pieces, quality_ordinal
-from stepwise.llm.common import materialise, table
+from stepwise.llm.common import table
 
 GRADES, KEEP_GRADE = 3, 2
 
@@ -36,14 +36,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-def learned_rules(spark: SparkSession, counts: DataFrame, sf_dir: str) -> list[decision_lists.Rule]:
+def learned_rules(spark: SparkSession, sf_dir: str) -> list[decision_lists.Rule]:
+    """Rules from at most ``MAX_ROWS`` labelled rows of ``documents``, counted in the scan that finds them."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
-    return decision_lists.learn_rules(*decision_lists.labelled_statistics(counts, labels))
+    sample = decision_lists.label_sample(labels)
+    # bounded by MAX_ROWS short rows
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return decision_lists.learn_rules(*decision_lists.labelled_statistics(decision_lists.with_counts(docs, ["doc_id", "good"])))
 
 
 def op6_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = materialise(decision_lists.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]), "counts")
-    return decision_lists.apply_rules(counts, learned_rules(spark, counts, sf_dir)).select(
+    counts = decision_lists.with_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return decision_lists.apply_rules(counts, learned_rules(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
