@@ -62,8 +62,9 @@ def shingles(text: str | None, size: int = 2) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_words) > CACHE_WORDS:
         _words.clear()
-    for w in set(words) - _words.keys():
-        _words[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _words:
+            _words[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     size = min(size, len(words))
     out = np.zeros(len(words) - size + 1, np.uint64)
@@ -75,8 +76,8 @@ def shingles(text: str | None, size: int = 2) -> np.ndarray:
 def signature(sh: np.ndarray) -> np.ndarray:
     """``COORDINATES`` minima as signed 32-bit numbers."""
     low = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(sh), 4096):
-        low = np.minimum(low, ((sh[lo:lo + 4096, None] ^ _MASKS) * _FACTORS).min(axis=0))
+    for lo in range(0, len(sh), 512):  # small enough for the processor's cache
+        low = np.minimum(low, ((sh[None, lo:lo + 512] ^ _MASKS[:, None]) * _FACTORS[:, None]).min(axis=1))
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 

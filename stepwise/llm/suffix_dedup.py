@@ -6,14 +6,14 @@ the corpus is removed (UTF-8 bytes; matches never cross documents).
 1. Anchors: each 400-byte window has a minimiser, its smallest hashed 64-byte
    gram.  Equal windows have equal minimisers at equal places, so only
    windows of one gram need comparing.  Neighbouring windows with the same
-   minimiser form a span; equal spans are merged (two of them are compared,
-   a third adds nothing) and grams that occur once are dropped.
+   minimiser form a span; equal spans are merged into one with the number of
+   its occurrences, and grams that occur once are dropped.
 2. Shards: spans go to shards by their gram, bounded in size; the distinct
    spans of one very frequent gram are dealt to several shards.  A shard
    sorts its suffixes by Larsson-Sadakane refinement (numpy), up to the
    length asked for, and gets the common prefixes of neighbours by Kasai's
-   method over all spans at once; a window is repeated if a neighbour shares
-   400 bytes or more.
+   method over all spans at once; neighbouring windows that share 400 bytes
+   are one class, repeated if its spans occur twice or more in all.
 3. Merging: shards that hold the same gram post a 128-bit digest of one
    window of each class; a merging task finds by binary search those that
    several shards posted.
@@ -234,9 +234,11 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_windows(texts: list[bytes], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For a shard's texts: which windows are repeated in it, and class heads among all windows.
+def repeated_windows(texts: list[bytes], length: int, times: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For a shard's texts, each occurring ``times`` times: which windows are repeated.
 
+    Windows that share ``length`` bytes with their neighbour in suffix order
+    are one class; it is repeated if its texts occur twice or more in all.
     Returns the flags by text, and of one window of each class: (text, start).
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -254,11 +256,14 @@ def repeated_windows(texts: list[bytes], length: int) -> tuple[list[np.ndarray],
     if len(chosen) > 1:
         gap = np.minimum.reduceat(lcp[order][:spots[-1] + 1], np.concatenate([[0], spots[:-1] + 1]))
         same[:-1] = (gap[1:] >= length) & (rank[chosen[1:]] == rank[chosen[:-1]])
-    hit = np.zeros(len(data), bool)
-    hit[chosen[np.flatnonzero(same)]] = True
-    hit[chosen[np.flatnonzero(same) + 1]] = True
-    heads = chosen[np.concatenate([[True], ~same[:-1]])] if len(chosen) else chosen
     owner = np.repeat(np.arange(len(texts)), size)
+    first = np.flatnonzero(np.concatenate([[True], ~same[:-1]])) if len(chosen) else np.zeros(0, np.int64)
+    hit = np.zeros(len(data), bool)
+    if len(chosen):
+        weight = np.minimum(times, 2)[owner[chosen]] if times is not None else np.ones(len(chosen), np.int64)
+        several = np.add.reduceat(weight, first) > 1
+        hit[chosen] = np.repeat(several, np.diff(np.concatenate([first, [len(chosen)]])))
+    heads = chosen[first]
     flags = [hit[a:max(a, b - length + 1)] for a, b in zip(starts, ends)]
     return flags, owner[heads], heads - starts[owner[heads]]
 
@@ -321,16 +326,13 @@ def _sort_shards(spans: DataFrame, length: int) -> DataFrame:
             key = [t.column(c).to_numpy() for c in SPAN_KEY]
             n, split = t.column("n").to_numpy(), t.column("split").to_numpy()
             raws = t.column("raw").to_pylist()
-            # a span that occurs several times is there twice; the second copies stand behind all spans
-            twice = np.flatnonzero(n > 1)
-            flags, text, start = repeated_windows(raws + [raws[i] for i in twice], length)
+            flags, text, start = repeated_windows(raws, length, n)
             out: list[list] = [[] for _ in range(7)]
-            for i, hit in enumerate(flags[:len(raws)]):
+            for i, hit in enumerate(flags):
                 for a, b in _runs(hit):
                     for c, v in zip(out, (*(int(k[i]) for k in key), a, b - 1 + length, None, None)):
                         c.append(v)
-            posted = text < len(raws)
-            posted[posted] = split[text[posted]]
+            posted = split[text]
             if posted.any():
                 whole = np.frombuffer(b"".join(raws), np.uint8)
                 base = np.cumsum([0, *map(len, raws)])
@@ -378,7 +380,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
                                           F.first("th").alias("th"), F.first("lo").alias("lo"))
     grams = merged.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
     spans = materialise(merged.join(grams.drop("total"), "h"), "spans")
-    size = spans.agg(F.sum(F.col("len") * F.least(F.col("n"), F.lit(2)))).first()[0] or 0
+    size = spans.agg(F.sum("len")).first()[0] or 0
     n_shards = max(1, -(-size // shard_bytes))
     parts = F.ceil(F.col("kinds") / shard_spans).cast("bigint")
     spans = (spans.withColumn("split", parts > 1)
