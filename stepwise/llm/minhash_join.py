@@ -237,9 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = materialise(reps.join(ids, "doc_id", "left_semi"), "signatures")
     member = some.join(classes, ["d1", "d2"]).select("doc_id", "rep")
     # an id whose rows have different texts ties their classes together
-    several = member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-    tied = member.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("rep").alias("y"))
-    comp = connected_components(tied)
+    several = materialise(member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y"), "tied")
+    comp = several.select(F.col("x").alias("id"), F.col("x").alias("comp"))
+    if not several.isEmpty():
+        comp = connected_components(member.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("rep").alias("y")))
     for seed in range(PIVOT_ROUNDS):
         links = confirmed(_pivot_pairs(_open_lists(posts, comp), seed), sets, percent)
         comp = connected_components(links, comp)

@@ -107,15 +107,19 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _telling_places(data: list, min_texts: int, min_z: float) -> np.ndarray:
-    """Places whose texts' mean grade differs from the overall one by ``min_z`` standard errors."""
-    grade = np.array([g for _, _, g in data], np.float64)
+def _telling_places(data: list, grades: int, min_texts: int, min_z: float) -> np.ndarray:
+    """Places whose texts exceed some grade more or less often than all do, by ``min_z`` standard errors."""
+    grade = np.array([g for _, _, g in data])
     size = [len(p) for p, _, _ in data]
     places = np.concatenate([p for p, _, _ in data])
     n = np.bincount(places, minlength=PLACES)
-    total = np.bincount(places, weights=np.repeat(grade, size), minlength=PLACES)
-    z = (total - n * grade.mean()) / (max(grade.std(), 1e-9) * np.sqrt(np.maximum(n, 1)))
-    return (n >= min_texts) & ((np.abs(z) >= min_z) | (n == len(data)))
+    telling = n == len(data)
+    for k in range(grades - 1):
+        above = (grade > k).astype(np.float64)
+        total = np.bincount(places, weights=np.repeat(above, size), minlength=PLACES)
+        z = (total - n * above.mean()) / (max(above.std(), 1e-9) * np.sqrt(np.maximum(n, 1)))
+        telling |= (n >= min_texts) & (np.abs(z) >= min_z)
+    return telling
 
 
 def train(rows: list[tuple[str | None, int]], grades: int, epochs: int = 8, rate: float = 0.3, l2: float = 1e-4,
@@ -126,7 +130,7 @@ def train(rows: list[tuple[str | None, int]], grades: int, epochs: int = 8, rate
         return None
     features = Features()
     data = [(*features(text), grade) for text, grade in rows]
-    telling = _telling_places(data, min_texts, min_z)
+    telling = _telling_places(data, grades, min_texts, min_z)
     data = [(p[keep], v[keep], g) for p, v, g in data for keep in [telling[p]]]
     w, gw = np.zeros(PLACES, np.float32), np.full(PLACES, 0.1, np.float32)
     # thresholds: theta_0 = t[0], theta_k = theta_{k-1} + exp(t[k])

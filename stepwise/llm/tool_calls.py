@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from stepwise.session import ensure_checkpoint_dir
 
 KEY = ["conv_id", "call_id"]
+LAST_TURN = (1 << 63) - 1
 
 
 def _kind(value: Column) -> Column:
@@ -81,11 +82,13 @@ def topological_keys(calls: DataFrame) -> DataFrame:
         best = (inner.join(moved, ["conv_id", "dep"]).groupBy(*KEY)
                 .agg(F.max(F.struct("topo_turn", (F.col("topo_depth") + 1).alias("d"))).alias("b")))
         joined = work.join(best, KEY, "left")
-        # depth beyond the number of calls is only reached round a cycle; it is then kept at the maximum
+        # a depth of the number of calls is only reached round a cycle; the latest turn of all then marks
+        # the call and what depends on it
         capped = F.struct(F.col("b.topo_turn"), F.least(F.col("b.d"), F.col("size")).alias("d"))
         newer = F.coalesce(capped > F.struct("topo_turn", F.col("topo_depth").alias("d")), F.lit(False))
         work = (joined.withColumn("changed", newer)
-                .withColumn("topo_turn", F.when(newer, F.col("b.topo_turn")).otherwise(F.col("topo_turn")))
+                .withColumn("topo_turn", F.when(newer & (F.col("b.d") >= F.col("size")), F.lit(LAST_TURN))
+                            .when(newer, F.col("b.topo_turn")).otherwise(F.col("topo_turn")))
                 .withColumn("topo_depth", F.when(newer, F.least(F.col("b.d"), F.col("size"))).otherwise(F.col("topo_depth")))
                 .drop("b").checkpoint(eager=True))
         if work.where("changed").isEmpty():
@@ -105,6 +108,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     calls = calls.select(*KEY, "turn", "name", "arguments", "depends_on")
     results = results.select(*KEY, "turn", "content")
     has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    calls = calls.withColumn("turn", F.col("turn").cast("bigint"))
     one = (calls.where(has_id).groupBy(*KEY)
            .agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
            .select(*KEY, "c.*", "n_calls"))
