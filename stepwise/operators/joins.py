@@ -1,11 +1,9 @@
 """Joining a large table to a per-key summary table.
 
-A summary with one row per key (per batch, per partition and group) is
-small when keys are few, and then a shuffle join would send every row of a
-key to one reducer.  ``join_summary`` materialises the summary once
-(reliable checkpoint), checks its row count and broadcasts it only under a
-bound; past the bound it falls back to a shuffle join (AQE splits skewed
-partitions).
+A summary has one row per key (per batch, per partition and group).
+``join_summary`` materialises it once (reliable checkpoint) and leaves the
+choice of the join to Spark, which broadcasts by measured bytes under its
+own threshold and otherwise shuffles, splitting skewed partitions (AQE).
 """
 
 from __future__ import annotations
@@ -13,18 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stepwise.session import ensure_checkpoint_dir
 
-# Broadcast bound for summary tables (rows); a few columns per row.
-MAX_BROADCAST_ROWS = 2_000_000
 
-
-def join_summary(big: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner",
-                 max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def join_summary(big: DataFrame, summary: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     ensure_checkpoint_dir(summary.sparkSession)
-    small = summary.checkpoint(eager=True)
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), list(on), how)
-    return big.join(small, list(on), how)
+    return big.join(summary.checkpoint(eager=True), list(on), how)

@@ -75,8 +75,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a folder every executor can
-    reach; it is never overridden.  Only when nothing is set (local tests)
-    a private folder is created.
+    reach; it is never overridden.  When nothing is set a private folder is
+    created in local mode, and a cluster is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -84,6 +84,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="stepwise-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
