@@ -9,8 +9,8 @@
    ``m - MATCHES + 1`` rarest of the ``m`` values that any other class has,
    too: only that prefix is posted, and classes with too few shared values
    are skipped altogether.
-3. Posting lists are not expanded into pairs.  In two rounds every member of
-   a list is held against one pivot of the list; links are confirmed on the
+3. Posting lists are not expanded into pairs.  In three rounds every member
+   of a list is held against one pivot of the list; links are confirmed on the
    full sets and joined into components.  Lists that still hold several
    components are then merged in blocks: a task counts the collisions of the
    signatures of two blocks and passes on those pairs of different components
@@ -40,7 +40,7 @@ COORDINATES = 64
 MATCHES = 36
 BLOCK = 1500
 CACHE_WORDS = 400_000
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 3
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,8 +155,13 @@ def _open_lists(posts: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Each member of a list with the list's pivot, if in another component."""
-    pivot = (lists.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "doc_id").alias("h"), "doc_id", "comp")).alias("p"))
+    """Each member of a list with the list's pivot, if in another component.
+
+    The first round has the same pivot in most lists of a group; later ones
+    draw one for each list, so a member meets as many as it has open lists.
+    """
+    draw = F.xxhash64(F.lit(seed), "doc_id") if seed == 0 else F.xxhash64(F.lit(seed), "key", "doc_id")
+    pivot = (lists.groupBy("key").agg(F.min(F.struct(draw.alias("h"), "doc_id", "comp")).alias("p"))
              .select("key", F.col("p.doc_id").alias("y"), F.col("p.comp").alias("pc")))
     met = lists.join(pivot, "key").where("comp <> pc")
     return met.select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
