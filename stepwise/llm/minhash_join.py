@@ -10,12 +10,17 @@
    too: only that prefix is posted, and classes with too few shared values
    are skipped altogether.
 3. Posting lists are not expanded into pairs.  In three rounds every member
-   of a list is held against one pivot of the list; links are confirmed on the
-   full sets and joined into components.  Lists that still hold several
-   components are then merged in blocks: a task counts the collisions of the
-   signatures of two blocks and passes on those pairs of different components
-   with ``MATCHES`` or more, to be confirmed on the full sets.  So no link
-   between components is lost, and a group of copies costs about its size.
+   of a list meets one pivot of the list; of the pivots it met, a member is
+   held against the one whose 4-bit sketch agrees most and one drawn at
+   random, so a round confirms two pairs a class at most.  Links are confirmed
+   on the full sets and joined into components.
+4. Lists that still hold several components are split into windows of two
+   neighbouring size classes (sets that differ more in size cannot be linked)
+   and merged in blocks: a task counts the collisions of the signatures of two
+   blocks and passes on those pairs of different components with ``MATCHES``
+   or more, each from the first list they share, to be confirmed on the full
+   sets.  So no link between components is lost, and a group of copies costs
+   about its size.
 
 Defined results: a text without words (or null) has an empty set, n_shingles
 0, and is its own component; rows with a null id have null component and are
@@ -25,12 +30,13 @@ kept; rows that share an id are one document with all their links.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.llm.common import materialise
@@ -38,9 +44,11 @@ from stepwise.llm.components import connected_components
 
 COORDINATES = 64
 MATCHES = 36
-BLOCK = 1500
+BLOCK = 4000
 CACHE_WORDS = 400_000
 PIVOT_ROUNDS = 3
+#: Sizes of one class differ by less than this factor; linked sets (80 % or more) are in one class or in neighbours.
+CLASS_RATIO = 1.26
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,7 +94,30 @@ def _digest(sh: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-SKETCH = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>"
+SKETCH = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig array<int>, z0 bigint, z1 bigint, z2 bigint, z3 bigint"
+NIBBLES = ["z0", "z1", "z2", "z3"]
+_SHIFTS = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def nibbles(sig: np.ndarray) -> list[int]:
+    """The lowest four bits of each coordinate, 16 to a signed 64-bit number."""
+    low = (sig & 15).astype(np.uint64).reshape(len(NIBBLES), -1)
+    return (low << _SHIFTS).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _agreement(a: str, b: str) -> Column:
+    """Number of equal nibbles of the sketches in the structs ``a`` and ``b``: no less than their equal coordinates."""
+    differ = F.lit(0)
+    for z in NIBBLES:
+        x = F.col(f"{a}.{z}").bitwiseXOR(F.col(f"{b}.{z}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(COORDINATES) - differ
+
+
+def _size_class(n: str) -> Column:
+    return F.floor(F.log(F.col(n)) / math.log(CLASS_RATIO)).cast("int")
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -95,15 +126,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, sig = [], [], [], []
+            n, d1, d2, sig, z = [], [], [], [], []
             for text in batch.column("_text").to_pylist():
                 sh = shingles(text, size)
                 a, b = _digest(sh) if len(sh) else (None, None)
                 n.append(len(sh)), d1.append(a), d2.append(b)
                 sig.append(signature(sh) if len(sh) else None)
+                z.append(nibbles(sig[-1]) if len(sh) else [None] * len(NIBBLES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array(sig, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "d1", "d2", "sig"])
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, d1, d2)), pa.array(sig, pa.list_(pa.int32())),
+                 *(pa.array([x[k] for x in z], pa.int64()) for k in range(len(NIBBLES)))],
+                names=["doc_id", "n_shingles", "d1", "d2", "sig", *NIBBLES])
 
     return rows.mapInArrow(run, SKETCH)
 
@@ -123,15 +156,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """``(doc_id, key)``: the rarest shared (coordinate, value) pairs of each class."""
-    every = classes.select("doc_id", F.posexplode("sig").alias("c", "v"))
-    every = every.select("doc_id", F.expr("shiftleft(cast(c as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("key"))
+    """``(doc_id, key, b)``: the rarest shared (coordinate, value) pairs of each class."""
+    every = classes.select("doc_id", "b", F.posexplode("sig").alias("c", "v"))
+    every = every.select("doc_id", "b", F.expr("shiftleft(cast(c as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("key"))
     often = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = every.join(often, "key").dropDuplicates(["doc_id", "key"])
+    shared = every.join(often, "key").dropDuplicates(["doc_id", "key", "b"])
     own = Window.partitionBy("doc_id")
     return (shared.withColumn("m", F.count(F.lit(1)).over(own))
             .withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
-            .where((F.col("m") >= matches) & (F.col("rank") <= F.col("m") - matches + 1)).select("doc_id", "key"))
+            .where((F.col("m") >= matches) & (F.col("rank") <= F.col("m") - matches + 1)).select("doc_id", "key", "b"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,25 +179,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("x", "y").distinct())
 
 
-def _open_lists(posts: DataFrame, comp: DataFrame) -> DataFrame:
-    """Posting lists that hold more than one component: ``(key, doc_id, comp)``."""
-    now = (posts.join(comp.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
-           .withColumn("comp", F.coalesce("comp", "doc_id")))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    return now.join(mixed.select("key", "n"), "key")
-
-
-def _pivot_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Each member of a list with the list's pivot, if in another component.
+def _pivot_pairs(posts: DataFrame, faces: DataFrame, comp: DataFrame, seed: int, matches: int, percent: int) -> DataFrame:
+    """Of the pivots of its lists that are in other components, each class's most alike one and one drawn at random.
 
     The first round has the same pivot in most lists of a group; later ones
-    draw one for each list, so a member meets as many as it has open lists.
+    draw one for each list.
     """
+    now = posts.select("key", "doc_id").join(_labelled(faces, comp), "doc_id")
+    me = F.struct("doc_id", "comp", "n", *NIBBLES)
     draw = F.xxhash64(F.lit(seed), "doc_id") if seed == 0 else F.xxhash64(F.lit(seed), "key", "doc_id")
-    pivot = (lists.groupBy("key").agg(F.min(F.struct(draw.alias("h"), "doc_id", "comp")).alias("p"))
-             .select("key", F.col("p.doc_id").alias("y"), F.col("p.comp").alias("pc")))
-    met = lists.join(pivot, "key").where("comp <> pc")
-    return met.select(F.least("doc_id", "y").alias("x"), F.greatest("doc_id", "y").alias("y")).distinct()
+    pivot = (now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                    F.min(F.struct(draw.alias("draw"), me.alias("p"))).alias("p"))
+             .where("lo <> hi").select("key", "p.p"))
+    met = now.select("key", me.alias("m")).join(pivot, "key").where("m.comp <> p.comp")
+    near = 100 * F.least("m.n", "p.n") >= percent * F.greatest("m.n", "p.n")
+    score = F.when(near, _agreement("m", "p")).otherwise(0)
+    met = met.select(F.col("m.doc_id").alias("a"), F.col("p.doc_id").alias("y"), score.alias("score"))
+    chance = F.xxhash64(F.lit(seed), "y")
+    two = met.groupBy("a").agg(F.max(F.struct("score", chance.alias("h"), "y")).alias("best"),
+                               F.max(F.when(F.col("score") >= matches, F.struct(chance.alias("h"), "y"))).alias("some"))
+    two = two.where(F.col("best.score") >= matches).select("a", F.explode(F.array("best.y", "some.y")).alias("y"))
+    return two.select(F.least("a", "y").alias("x"), F.greatest("a", "y").alias("y")).distinct()
+
+
+def _labelled(faces: DataFrame, comp: DataFrame) -> DataFrame:
+    return (faces.join(comp.select(F.col("id").alias("doc_id"), "comp"), "doc_id", "left")
+            .withColumn("comp", F.coalesce("comp", "doc_id")))
+
+
+def _open_windows(posts: DataFrame, faces: DataFrame, comp: DataFrame) -> DataFrame:
+    """Windows ``w`` (size classes w - 1 and w) of posting lists that hold more than one component,
+    and sets of class w: ``(key, w, doc_id, comp, members)``."""
+    now = posts.join(_labelled(faces, comp).select("doc_id", "comp").distinct(), "doc_id")
+    open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    now = now.join(open_, "key").withColumn("w", F.explode(F.array(F.col("b"), F.col("b") + 1)))
+    mixed = (now.groupBy("key", "w").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("b").alias("b"),
+                                         F.count(F.lit(1)).alias("members"))
+             .where("lo <> hi and b = w"))
+    return now.drop("b").join(mixed.select("key", "w", "members"), ["key", "w"])
 
 
 def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,33 +227,47 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int) -> DataFrame:
-    """Pairs of different components within a list that agree in ``matches`` coordinates.
+def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
+    """Pairs of different components within a window of a list that agree in ``matches`` coordinates.
 
-    Long lists are dealt to blocks; each pair of blocks is one group of rows,
-    so no task holds more than two blocks of a list at a time.
+    Long windows are dealt to blocks; each pair of blocks is one group of
+    rows, so no task holds more than two blocks at a time.  A pair is passed
+    on from the window of the larger set's class in the list of the first
+    coordinate that both posted (sets with mask 0: from every list).
     """
-    rows = lists.join(sigs, "doc_id").withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    rows = lists.join(sigs, "doc_id").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "doc_id", "comp", "sig")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "w", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "doc_id", "comp", "n", "b",
+                       "mask", "sig")
+    rows = rows.repartition("key", "w", "i", "j").sortWithinPartitions("key", "w", "i", "j")
+    bits = np.arange(COORDINATES, dtype=np.uint64)
 
     def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, comp = t.column("doc_id").to_numpy(), t.column("comp").to_numpy()
+        ids, comp, n, b = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "b"))
         s, i, j = (t.column(c).to_numpy() for c in ("s", "i", "j"))
-        sig = np.stack(t.column("sig").to_numpy()) if len(ids) else np.empty((0, 1), np.int32)
+        w, coordinate = t.column("w")[0].as_py(), t.column("key")[0].as_py() >> 32
+        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        posted = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
         left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
         same = len(left) and i[0] == j[0]
-        for lo in range(0, len(left), 512):
-            part = left[lo:lo + 512]
-            hit = (_collisions(sig[part], sig[right]) >= matches) & (comp[part][:, None] != comp[right][None, :])
+        for lo in range(0, len(left), 128):
+            part = left[lo:lo + 128]
+            hit = (comp[part][:, None] != comp[right][None, :]) & (np.maximum(b[part][:, None], b[right][None, :]) == w)
+            hit &= (100 * np.minimum(n[part][:, None], n[right][None, :])
+                    >= percent * np.maximum(n[part][:, None], n[right][None, :]))
             if same:
                 hit &= ids[part][:, None] < ids[right][None, :]
+            if not hit.any():
+                continue
+            hit &= _collisions(sig[part], sig[right]) >= matches
             p, q = np.nonzero(hit)
-            if len(p):
-                a, b = ids[part[p]], ids[right[q]]
-                yield np.minimum(a, b), np.maximum(a, b)
+            p, q = part[p], right[q]
+            shared = (sig[p] == sig[q]) & posted[p] & posted[q]
+            first = ~shared.any(axis=1) | (shared.argmax(axis=1) == coordinate)
+            if first.any():
+                x, y = ids[p[first]], ids[q[first]]
+                yield np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -216,7 +282,7 @@ def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j")])
+            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "w", "i", "j")])
             cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 if last is not None and tuple(group[:, lo]) != last:
@@ -235,21 +301,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = sk.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes, (some.d1 == classes.d1) & (some.d2 == classes.d2) & (some.doc_id == classes.rep)).select(
-        "doc_id", "sig")
+        "doc_id", F.col("n_shingles").alias("n"), _size_class("n_shingles").alias("b"), "sig", *NIBBLES)
     posts = materialise(postings(reps, matches), "postings")
-    ids = posts.select("doc_id").distinct()
-    sets = materialise(full_sets(docs, ids, id_col, text_col, shingle_words), "sets")
-    sigs = materialise(reps.join(ids, "doc_id", "left_semi"), "signatures")
+    masks = posts.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) & 63 as int)))").alias("mask"))
+    sets = materialise(full_sets(docs, masks.select("doc_id"), id_col, text_col, shingle_words), "sets")
     member = some.join(classes, ["d1", "d2"]).select("doc_id", "rep")
     # an id whose rows have different texts ties their classes together
     several = materialise(member.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y"), "tied")
     comp = several.select(F.col("x").alias("id"), F.col("x").alias("comp"))
     if not several.isEmpty():
         comp = connected_components(member.join(several.select("doc_id", "x"), "doc_id").select("x", F.col("rep").alias("y")))
+    # an id with several texts may have several signatures, so its postings do not tell what a signature posted
+    plain = F.when(F.col("x").isNull(), F.col("mask")).otherwise(F.lit(0).cast("bigint"))
+    sigs = materialise(reps.join(masks, "doc_id").join(several.select("doc_id", "x"), "doc_id", "left")
+                       .withColumn("mask", plain).drop("x").distinct(), "signatures")
+    faces = sigs.select("doc_id", "n", *NIBBLES)
     for seed in range(PIVOT_ROUNDS):
-        links = confirmed(_pivot_pairs(_open_lists(posts, comp), seed), sets, percent)
+        links = confirmed(_pivot_pairs(posts, faces, comp, seed, matches, percent), sets, percent)
         comp = connected_components(links, comp)
-    links = confirmed(_block_pairs(_open_lists(posts, comp), sigs, matches, block), sets, percent)
+    links = confirmed(_block_pairs(_open_windows(posts, faces, comp), sigs, matches, block, percent), sets, percent)
     comp = connected_components(links, comp)
     out = (sk.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
            .join(comp.withColumnRenamed("id", "rep"), "rep", "left"))
