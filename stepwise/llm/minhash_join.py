@@ -9,8 +9,8 @@
    ``m - MATCHES + 1`` rarest of the ``m`` values that any other class has,
    too: only that prefix is posted, and classes with too few shared values
    are skipped altogether.
-3. Posting lists are not expanded into pairs.  In three rounds every member
-   of a list meets one pivot of the list; of the pivots it met, a member is
+3. Posting lists are not expanded into pairs.  In rounds, as long as they find
+   links, every member of a list meets one pivot of the list; of the pivots it met, a member is
    held against the one whose 4-bit sketch agrees most and one drawn at
    random, so a round confirms two pairs a class at most.  Links are confirmed
    on the full sets and joined into components.
@@ -46,7 +46,9 @@ COORDINATES = 64
 MATCHES = 36
 BLOCK = 4000
 CACHE_WORDS = 400_000
-PIVOT_ROUNDS = 3
+#: Rounds go on while one finds at least this share of the first round's links; what they leave open, the blocks settle.
+ROUND_SHARE = 0.02
+PIVOT_ROUNDS = 10
 #: Sizes of one class differ by less than this factor; linked sets (80 % or more) are in one class or in neighbours.
 CLASS_RATIO = 1.26
 
@@ -316,9 +318,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = materialise(reps.join(masks, "doc_id").join(several.select("doc_id", "x"), "doc_id", "left")
                        .withColumn("mask", plain).drop("x").distinct(), "signatures")
     faces = sigs.select("doc_id", "n", *NIBBLES)
+    first = 0
     for seed in range(PIVOT_ROUNDS):
-        links = confirmed(_pivot_pairs(posts, faces, comp, seed, matches, percent), sets, percent)
-        comp = connected_components(links, comp)
+        links = materialise(confirmed(_pivot_pairs(posts, faces, comp, seed, matches, percent), sets, percent), "links")
+        found = links.count()
+        first = found if seed == 0 else first
+        if found:
+            comp = connected_components(links, comp)
+        if found <= ROUND_SHARE * first:
+            break
     links = confirmed(_block_pairs(_open_windows(posts, faces, comp), sigs, matches, block, percent), sets, percent)
     comp = connected_components(links, comp)
     out = (sk.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
