@@ -17,10 +17,10 @@
 4. Lists that still hold several components are split into windows of two
    neighbouring size classes (sets that differ more in size cannot be linked)
    and merged in blocks: a task counts the collisions of the signatures of two
-   blocks and passes on those pairs of different components with ``MATCHES``
-   or more, each from the first list they share, to be confirmed on the full
-   sets.  So no link between components is lost, and a group of copies costs
-   about its size.
+   blocks and confirms those pairs of different components with ``MATCHES`` or
+   more on the full sets, each in the first list they share; it passes on one
+   link for each two components that it joins.  So no link between components
+   is lost, and a group of copies passes on no more than its size.
 
 Defined results: a text without words (or null) has an empty set, n_shingles
 0, and is its own component; rows with a null id have null component and are
@@ -45,6 +45,8 @@ from stepwise.llm.components import connected_components
 COORDINATES = 64
 MATCHES = 36
 BLOCK = 4000
+#: Most bytes of sets in a block; a size class bounds its sets.
+BLOCK_BYTES = 32 << 20
 CACHE_WORDS = 400_000
 #: Rounds go on while one finds at least this share of the first round's links; what they leave open, the blocks settle.
 ROUND_SHARE = 0.02
@@ -229,33 +231,41 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
-    """Pairs of different components within a window of a list that agree in ``matches`` coordinates.
+def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
+    """Links that join different components within a window of a list.
 
     Long windows are dealt to blocks; each pair of blocks is one group of
-    rows, so no task holds more than two blocks at a time.  A pair is passed
-    on from the window of the larger set's class in the list of the first
-    coordinate that both posted (sets with mask 0: from every list).
+    rows, so no task holds more than two blocks at a time.  Pairs that agree
+    in ``matches`` coordinates are confirmed on their sets, in the window of
+    the larger set's class and the list of the first coordinate that both
+    posted (sets with mask 0: in every list), unless links found before in the
+    same group already join them.
     """
-    rows = lists.join(sigs, "doc_id").withColumn("nb", F.ceil(F.col("members") / block).cast("int"))
+    most = F.floor(F.lit(BLOCK_BYTES / 8) / F.pow(F.lit(CLASS_RATIO), F.col("w") + 1))
+    fits = F.greatest(F.lit(1), F.least(F.lit(block), most))
+    rows = lists.join(sigs, "doc_id").join(sets, "doc_id").withColumn("nb", F.ceil(F.col("members") / fits).cast("int"))
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", "w", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "doc_id", "comp", "n", "b",
-                       "mask", "sig")
+                       "mask", "sig", "sh")
     rows = rows.repartition("key", "w", "i", "j").sortWithinPartitions("key", "w", "i", "j")
     bits = np.arange(COORDINATES, dtype=np.uint64)
 
-    def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
         ids, comp, n, b = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "b"))
         s, i, j = (t.column(c).to_numpy() for c in ("s", "i", "j"))
         w, coordinate = t.column("w")[0].as_py(), t.column("key")[0].as_py() >> 32
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         posted = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
+        sh = t.column("sh").combine_chunks()
+        at, values = sh.offsets.to_numpy(), sh.values.to_numpy().view(np.uint64)
+        size = np.diff(at)
+        label = comp.copy()
         left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
         same = len(left) and i[0] == j[0]
         for lo in range(0, len(left), 128):
             part = left[lo:lo + 128]
-            hit = (comp[part][:, None] != comp[right][None, :]) & (np.maximum(b[part][:, None], b[right][None, :]) == w)
+            hit = (label[part][:, None] != label[right][None, :]) & (np.maximum(b[part][:, None], b[right][None, :]) == w)
             hit &= (100 * np.minimum(n[part][:, None], n[right][None, :])
                     >= percent * np.maximum(n[part][:, None], n[right][None, :]))
             if same:
@@ -267,9 +277,19 @@ def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int, pe
             p, q = part[p], right[q]
             shared = (sig[p] == sig[q]) & posted[p] & posted[q]
             first = ~shared.any(axis=1) | (shared.argmax(axis=1) == coordinate)
-            if first.any():
-                x, y = ids[p[first]], ids[q[first]]
-                yield np.minimum(x, y), np.maximum(x, y)
+            p, q = p[first], q[first]
+            for x in np.unique(p).tolist():
+                y = q[p == x]
+                y = y[label[y] != label[x]]
+                if not len(y):
+                    continue
+                own, others = values[at[x]:at[x + 1]], np.concatenate([values[at[k]:at[k + 1]] for k in y.tolist()])
+                found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                inter = np.add.reduceat(found.astype(np.int64), np.cumsum(size[y]) - size[y])
+                for k in y[100 * inter >= percent * (len(own) + size[y] - inter)].tolist():
+                    if label[k] != label[x]:
+                        label[label == label[k]] = label[x]
+                        yield min(ids[x], ids[k]), max(ids[x], ids[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -277,8 +297,9 @@ def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int, pe
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                for x, y in pairs_of(pa.concat_tables(held).combine_chunks()):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+                found = list(links_of(pa.concat_tables(held).combine_chunks()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
                 held.clear()
 
         for batch in batches:
@@ -293,7 +314,7 @@ def _block_pairs(lists: DataFrame, sigs: DataFrame, matches: int, block: int, pe
                 held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
         yield from done()
 
-    return rows.mapInArrow(run, "x bigint, y bigint").distinct()
+    return rows.mapInArrow(run, "x bigint, y bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -327,8 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comp = connected_components(links, comp)
         if found <= ROUND_SHARE * first:
             break
-    links = confirmed(_block_pairs(_open_windows(posts, faces, comp), sigs, matches, block, percent), sets, percent)
-    comp = connected_components(links, comp)
+    comp = connected_components(_block_links(_open_windows(posts, faces, comp), sigs, sets, matches, block, percent), comp)
     out = (sk.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
            .join(comp.withColumnRenamed("id", "rep"), "rep", "left"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
