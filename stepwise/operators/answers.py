@@ -38,19 +38,21 @@ KIND_STRING = "string fallback"
 def keep_last(df: DataFrame, key: str, order_col: str | None = None) -> DataFrame:
     """One row per non-null key: the row with the largest ``order_col``.
 
-    ``order_col`` is the input order (file position, sequence number);
-    without it the key is assumed unique.  ``max_by`` is a partial +
-    final aggregation, so a hot key is folded map-side.
+    ``order_col`` is the input order (file position, sequence number).
+    Without it the rows' present order counts, which is the file's order when
+    ``df`` reads one unsplit file; pass a column for anything else.
+    ``max_by`` is a partial + final aggregation, so a hot key is folded
+    map-side.
     """
     cols = [c for c in df.columns if c != key]
     src = df.where(F.col(key).isNotNull())
     if not cols:
         return src.select(key).distinct()
     payload = F.struct(*[F.col(c) for c in cols])
-    if order_col is None:
-        agg = src.groupBy(key).agg(F.max_by(payload, F.struct(*[F.col(c) for c in cols])).alias("_r"))
-    else:
-        agg = src.groupBy(key).agg(F.max_by(payload, F.col(order_col)).alias("_r"))
+    order = F.col(order_col) if order_col else F.col("_at")
+    if not order_col:
+        src = src.withColumn("_at", F.monotonically_increasing_id())
+    agg = src.groupBy(key).agg(F.max_by(payload, order).alias("_r"))
     return agg.select(key, *[F.col("_r")[c].alias(c) for c in cols])
 
 

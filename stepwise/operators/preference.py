@@ -178,8 +178,8 @@ def preference_loss(df: DataFrame, loss_type: str = "sigmoid", beta: float = DEF
     else:  # sft
         if batch_nll is None:
             raise ValueError("sft loss needs batch_nll")
-        out = join_summary(df, batch_nll.select(batch_col, F.col("nll_loss").alias("_nll")), [batch_col])
-        loss = F.col("_nll")
+        out = join_summary(df, batch_nll.select(batch_col, F.col("nll_loss").alias("_nll")), [batch_col], "left")
+        loss = F.coalesce("_nll", F.lit(float("nan")))   # mean over no tokens
     return (out.withColumn("loss", loss)
                .withColumn("chosen_reward", cr)
                .withColumn("rejected_reward", rr_)
@@ -221,10 +221,10 @@ def weighted_losses(df: DataFrame, loss_types: Sequence[str], weights: Sequence[
             sum((F.col(f"_c{i}") for i in range(n)), F.lit(0.0)).alias("chosen_reward"),
             sum((F.col(f"_r{i}") for i in range(n)), F.lit(0.0)).alias("rejected_reward"))
     if rpo_alpha is not None:
-        out = join_summary(out, batch_nll.select(batch_col, "nll_loss"), [batch_col]) \
-                 .withColumn("loss", F.col("loss") + rpo_alpha * F.col("nll_loss")).drop("nll_loss")
+        out = join_summary(out, batch_nll.select(batch_col, "nll_loss"), [batch_col], "left") \
+                 .withColumn("loss", F.col("loss") + rpo_alpha * F.coalesce("nll_loss", F.lit(float("nan")))).drop("nll_loss")
     if policy_weights is not None:
-        out = out.join(policy_weights.select(key_col, "policy_weight"), key_col) \
+        out = out.join(policy_weights.select(key_col, "policy_weight"), key_col, "left") \
                  .withColumn("loss", F.col("loss") * F.col("policy_weight")).drop("policy_weight")
     if aux_coef is not None and "aux_loss" in df.columns:
         out = out.withColumn("loss", F.col("loss") + aux_coef * F.col("aux_loss"))
@@ -326,7 +326,8 @@ def attach_reference(policy: DataFrame, reference: DataFrame, key_col: str = "pa
     """Use precomputed reference log-probs: an equi-join on the pair key.
 
     Skipped when the policy table already carries both reference columns.
+    Pairs without reference values stay, with null log-probs.
     """
     if RC in policy.columns and RR in policy.columns:
         return policy
-    return policy.join(reference.select(key_col, RC, RR), key_col)
+    return policy.join(reference.select(key_col, RC, RR), key_col, "left")

@@ -188,7 +188,8 @@ ScorerFn = Callable[[pd.Series], pd.Series]         # prompt series -> list of g
 def generate_candidates(pending_samples: DataFrame, generator: GeneratorFn) -> DataFrame:
     """Run a generator over pending samples; candidates are stripped, empties dropped.
 
-    Only ``id`` and the rendered prompt cross into Python.
+    The id, problem, steps and rendered prompt cross into Python.  A generator
+    may be random, so write the result once before using it twice.
     """
     prompts = C.render_policy_prompt(pending_samples).select("id", "problem", "steps", "prompt")
 
@@ -196,10 +197,14 @@ def generate_candidates(pending_samples: DataFrame, generator: GeneratorFn) -> D
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "candidates": generator(pdf)})
 
-    out = prompts.mapInPandas(run, "id long, candidates array<string>")
+    out = prompts.mapInPandas(run, f"id {_id_type(pending_samples, 'id')}, candidates array<string>")
     return C.clean_candidates(out)
 
 
+def _id_type(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
 def score_candidates(samples: DataFrame, scorer: ScorerFn, wide: bool = False) -> DataFrame:
     """Verifier generations for every candidate.
 
@@ -216,31 +221,42 @@ def score_candidates(samples: DataFrame, scorer: ScorerFn, wide: bool = False) -
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "candidate_idx": pdf["candidate_idx"],
                                 "outputs": outs})
 
-    scored = prompts.mapInPandas(run, "sample_id long, candidate_idx int, outputs array<string>")
+    scored = prompts.mapInPandas(run, f"sample_id {_id_type(samples, 'id')}, candidate_idx int, outputs array<string>")
     if wide:
         return scored
     return scored.select("sample_id", "candidate_idx", F.posexplode("outputs").alias("gen_idx", "output"))
 
 
+def resume_state(problems: DataFrame, gen: DataFrame | None = None, disc: DataFrame | None = None) -> DataFrame:
+    """Search state from parsed buffers; problems that neither buffer holds start afresh."""
+    state = init_buffer(problems)
+    if gen is None and disc is None:
+        return state
+    held = merge_buffers(*(b if b is not None else other.where("false") for b, other in ((gen, disc), (disc, gen))))
+    return state.join(held.select("id"), "id", "left_anti").unionByName(held.select(*state.columns))
+
+
 def search_loop(spark: SparkSession, problems: DataFrame, generator: GeneratorFn, scorer: ScorerFn,
-                max_rounds: int = 30) -> DataFrame:
+                max_rounds: int = 30, gen: DataFrame | None = None, disc: DataFrame | None = None) -> DataFrame:
     """Greedy best-of-N: generate -> score -> select -> check, until all answered.
 
-    Each round works on the pending samples only; answered rows are frozen.
-    The state is checkpointed to the shared checkpoint folder after every
-    round so lineage stays one round deep and lost executors recompute from
-    the last checkpoint.
+    Starts afresh or from parsed buffers (``gen``, ``disc``).  Each round
+    works on the pending samples only; answered rows are frozen.  Candidates
+    and their rewards are written once a round, so that what is selected has
+    been scored even if the generator is random.  The state is checkpointed to
+    the shared checkpoint folder after every round so lineage stays one round
+    deep and lost executors recompute from the last checkpoint.  Samples left
+    at the round limit have ``has_answer`` false.
     """
     ensure_checkpoint_dir(spark)
-    state = init_buffer(problems).checkpoint()
+    state = resume_state(problems, gen, disc).checkpoint()
     for _ in range(max_rounds):
         todo = pending(state)
         if todo.isEmpty():
             break
-        cands = generate_candidates(todo, generator)
-        work = todo.drop("candidates").join(cands, "id")
+        work = todo.join(generate_candidates(todo, generator), "id").checkpoint()
         # generations stay an array per candidate: voting is a narrow projection
-        results = V.vote_counted_wide(score_candidates(work, scorer, wide=True))
+        results = V.vote_counted_wide(score_candidates(work, scorer, wide=True)).checkpoint()
         best = best_candidates(results, work.select("id", "candidates"))
         state = apply_selection(state, best).checkpoint()
     return state

@@ -184,11 +184,13 @@ def q_candidate_answer_check(spark, sf):
     return S.candidate_answer_check(fc, gold).select("id", "candidate_idx", "extracted", "gold", "match")
 
 
-@register("search_loop")
+@register("search_loop", with_fixtures("""
+select distinct id, 3 as n_steps, true as has_answer, cast(id % 97 as varchar) as answer from f_chain
+""", "f_chain"))
 def q_search_loop(spark, sf):
-    """Driver loop with the deterministic stub generator and verifier."""
+    """Driver loop with the deterministic stubs: a boxed answer is offered in round 3 and wins every vote."""
     problems = fixture(spark, sf, "f_chain").select("id", F.col("question").alias("problem")).distinct()
-    state = S.search_loop(spark, problems, S.stub_generator, S.stub_scorer, max_rounds=4)
+    state = S.search_loop(spark, problems, S.stub_generator, S.stub_scorer)
     return state.select("id", F.size("steps").alias("n_steps"), "has_answer", "answer")
 
 

@@ -3,8 +3,8 @@
 Results arrive over time: step scores are appended batch by batch (the
 reference rewrote its result file after every batch), metrics are kept per
 event-time window and the running reward mean is a running mean over
-window means.  Checkpoints live under the session's shared checkpoint
-folder, so a restarted query resumes exactly once.
+window means.  The checkpoint of a table sink lies beside the table, so a job
+started again on the same table goes on where it stopped, exactly once.
 """
 
 from __future__ import annotations
@@ -39,6 +39,15 @@ def _run(query) -> None:
         raise query.exception()
 
 
+def _append(spark: SparkSession, rows: DataFrame, out_path: str) -> DataFrame:
+    """Run to the end of the available input, appending to a parquet table (its checkpoint is ``<out_path>.checkpoint``)."""
+    out_path = out_path.rstrip("/")
+    q = (rows.writeStream.format("parquet").outputMode("append").option("path", out_path)
+         .option("checkpointLocation", f"{out_path}.checkpoint").trigger(availableNow=True).start())
+    _run(q)
+    return spark.read.schema(rows.schema).parquet(out_path)
+
+
 def score_stream(events: DataFrame) -> DataFrame:
     """Events as scored steps: an error event is an erroneous step, ``value`` its reward."""
     steps = events.select(F.col("event_id").alias("original_id"), F.lit(1).alias("step_id"),
@@ -48,12 +57,7 @@ def score_stream(events: DataFrame) -> DataFrame:
 
 def append_scores(spark: SparkSession, events: DataFrame, out_path: str | None = None) -> DataFrame:
     """Append judgments to a parquet sink (exactly once) and return the sink as a table."""
-    out_path = out_path or scratch_path(spark, "scores")
-    q = (score_stream(events).writeStream.format("parquet").outputMode("append")
-         .option("path", out_path).option("checkpointLocation", scratch_path(spark, "scores-ckpt"))
-         .trigger(availableNow=True).start())
-    _run(q)
-    return spark.read.parquet(out_path)
+    return _append(spark, score_stream(events), out_path or scratch_path(spark, "scores"))
 
 
 def window_metrics(events: DataFrame, window: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
@@ -65,17 +69,21 @@ def window_metrics(events: DataFrame, window: str = "1 hour", watermark: str = "
 
 
 def _complete_to_parquet(spark: SparkSession, agg: DataFrame, name: str) -> DataFrame:
-    """Run a complete-mode aggregation; each epoch rewrites the (small) result table."""
+    """Run a complete-mode aggregation; each epoch writes its whole (small) result to a folder of its own."""
     out_path = scratch_path(spark, name)
+    epochs: list[int] = []
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/{epoch_id}")
+        epochs.append(epoch_id)
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt"))
+         .option("checkpointLocation", f"{out_path}.checkpoint")
          .trigger(availableNow=True).start())
     _run(q)
-    return spark.read.parquet(out_path)
+    if not epochs:
+        return spark.createDataFrame([], agg.schema)
+    return spark.read.parquet(f"{out_path}/{max(epochs)}")
 
 
 def log_window_metrics(spark: SparkSession, events: DataFrame, window: str = "1 hour",
@@ -91,12 +99,7 @@ def log_window_metrics(spark: SparkSession, events: DataFrame, window: str = "1
     if mode == "complete":
         res = _complete_to_parquet(spark, agg, "window-metrics")
     elif mode == "append":
-        out_path = out_path or scratch_path(spark, "window-metrics")
-        q = (agg.writeStream.format("parquet").outputMode("append").option("path", out_path)
-             .option("checkpointLocation", scratch_path(spark, "window-metrics-ckpt"))
-             .trigger(availableNow=True).start())
-        _run(q)
-        res = spark.read.parquet(out_path)
+        res = _append(spark, agg, out_path or scratch_path(spark, "window-metrics"))
     else:
         raise ValueError(f"unknown output mode {mode}")
     return res.select(F.col("w.start").cast("long").alias("window_start"), "event_type", "n_events",

@@ -106,3 +106,9 @@ def test_answer_values_and_report_sink(spark, tmp_path):
     s_path, r_path = write_report(answer_summary(recs, pred, pred), recs, str(tmp_path / "report"))
     assert spark.read.json(s_path).collect()[0]["matched_samples"] == 1
     assert spark.read.json(r_path).count() == 1
+
+
+def test_keep_last_without_an_order_keeps_the_last_row(spark):
+    from stepwise.operators.answers import keep_last
+    df = spark.createDataFrame([("a", "9"), ("b", "1"), ("a", "3"), (None, "7")], "id string, answer string").coalesce(1)
+    assert sorted(map(tuple, keep_last(df, "id").collect())) == [("a", "3"), ("b", "1")]

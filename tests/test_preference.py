@@ -41,3 +41,16 @@ def test_stable_log_sigmoid_extremes(spark):
                                "rejected_logps double, ref_chosen_logps double, ref_rejected_logps double")
     r = P.preference_loss(df, "sigmoid", beta=1.0).collect()[0]
     assert r["loss"] == 0.0 or r["loss"] < 1e-300
+
+
+def test_pairs_without_reference_or_nll_stay(spark):
+    import math
+    from stepwise.operators import preference as P
+    pairs = spark.createDataFrame([(1, 0, -1.0, -2.0, -1.5, -1.8), (2, 1, -1.0, -2.0, -1.5, -1.8)],
+                                  ["pair_id", "batch_id", P.C, P.R, P.RC, P.RR])
+    nll = spark.createDataFrame([(0, 0.5)], "batch_id long, nll_loss double")
+    for out in (P.preference_loss(pairs, "sft", batch_nll=nll), P.weighted_losses(pairs, ["sigmoid"], rpo_alpha=1.0, batch_nll=nll)):
+        got = {r["pair_id"]: r["loss"] for r in out.collect()}
+        assert len(got) == 2 and not math.isnan(got[1]) and math.isnan(got[2])
+    some = P.attach_reference(pairs.drop(P.RC, P.RR), pairs.where("pair_id = 1"))
+    assert some.count() == 2 and some.where(f"{P.RC} is null").count() == 1

@@ -83,3 +83,38 @@ def test_init_or_resume(spark, tmp_path):
     buf.write_text('[{"id": 1, "problem": "p1", "steps": ["s"], "answer": "3"}]')
     resumed = S.init_or_resume(spark, str(buf), problems).collect()
     assert len(resumed) == 1 and resumed[0]["has_answer"] and resumed[0]["steps"] == ["s"]
+
+
+def test_search_loop_scores_what_it_selects(spark, tmp_path):
+    """A random generator runs once per sample and round, string ids pass, and every appended step was scored."""
+    import os
+    import pandas as pd
+    calls, scored = tmp_path / "calls", tmp_path / "scored"
+    calls.mkdir(), scored.mkdir()
+
+    def generator(pdf):
+        import uuid
+        for i in pdf["id"]:
+            (calls / f"{i}-{uuid.uuid4().hex}").touch()
+        return pd.Series([[f"step {uuid.uuid4().hex}" for _ in range(3)] for _ in pdf["id"]])
+
+    def scorer(prompts):
+        for p in prompts:
+            (scored / p.rsplit("step ", 1)[1][:32]).touch()
+        return S.stub_scorer(prompts)
+
+    problems = spark.createDataFrame([(f"gsm8k-{i}", f"problem {i}") for i in range(5)], "id string, problem string")
+    out = S.search_loop(spark, problems, generator, scorer, max_rounds=2).collect()
+    assert len(os.listdir(calls)) == 10 and not any(r["has_answer"] for r in out)
+    assert all(len(r["steps"]) == 2 for r in out)
+    assert {s.removeprefix("step ") for r in out for s in r["steps"]} <= set(os.listdir(scored))
+
+
+def test_search_loop_resumes_from_buffers(spark):
+    problems = spark.createDataFrame([(i, f"problem {i}") for i in range(4)], "id long, problem string")
+    g = _buf(spark, ['{"id":0,"problem":"problem 0","steps":["a","b"]}', '{"id":1,"problem":"problem 1","steps":["x"],"answer":"5"}'])
+    d = _buf(spark, ['{"id":2,"problem":"problem 2","answer":"6","candidates":["y"]}'])
+    out = {r["id"]: r for r in S.search_loop(spark, problems, S.stub_generator, S.stub_scorer, gen=g, disc=d).collect()}
+    assert sorted(out) == [0, 1, 2, 3] and all(r["has_answer"] for r in out.values())
+    assert out[0]["steps"][:2] == ["a", "b"] and len(out[0]["steps"]) == 3 and len(out[3]["steps"]) == 3
+    assert out[1]["answer"] == "5" and out[1]["steps"] == ["x"] and out[2]["answer"] == "6"

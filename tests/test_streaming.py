@@ -21,3 +21,17 @@ def test_append_mode_emits_subset_of_complete(spark, sf):
     assert len(appended) <= len(complete)
     for r in appended:   # closed windows are final and equal the complete result
         assert complete[(r["window_start"], r["event_type"])] == r["n_events"]
+
+
+def test_scores_resume_into_the_same_table(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "event_id long, event_type string, value double"
+
+    def add(lo, hi):
+        rows = [(i, "error" if i % 3 else "view", i / hi) for i in range(lo, hi)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        return J.append_scores(spark, spark.readStream.schema(schema).parquet(source), out).count()
+
+    assert add(0, 1000) == 1000 and add(1000, 1100) == 1100
+    ids = spark.read.parquet(out).select("original_id")
+    assert ids.distinct().count() == ids.count() == 1100
