@@ -46,25 +46,27 @@ def _extract_if(s: Column, pattern: str, needs: str) -> Column:
                 .otherwise(x))
 
 
-def strip_wrappers_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
-    """Add ``dst`` = the answer with markdown/LaTeX wrappers removed.
+def strip_wrappers(s: Column) -> Column:
+    """The answer with markdown/LaTeX wrappers removed.
 
     Order: strip; unicode minus and full-width comma; strip spaces; drop
     '$'; unwrap \\boxed{..}; drop \\left / \\right; take the body of
     ``##answer: .. ##`` then of ``#answer#: ..``; the right side of
     ``name = ..``; drop trailing periods; strip.
     """
-    s = F.col(src).cast("string")
-    a = py_strip(s)
+    a = py_strip(s.cast("string"))
     a = F.replace(F.replace(a, F.lit(UNICODE_MINUS), F.lit("-")), F.lit(FULLWIDTH_COMMA), F.lit(","))
     a = F.regexp_replace(a, "^ +| +$", "")
     a = F.regexp_replace(F.replace(a, F.lit("$"), F.lit("")), BOXED_WRAPPER, "$1")
     a = F.replace(F.replace(a, F.lit("\\left"), F.lit("")), F.lit("\\right"), F.lit(""))
-    df = df.withColumn(dst, a)
-    df = df.withColumn(dst, _extract_if(F.col(dst), ANSWER_HASH, "#"))
-    df = df.withColumn(dst, _extract_if(F.col(dst), ANSWER_TAG, "#"))
-    df = df.withColumn(dst, _extract_if(F.col(dst), "(?d)" + ASSIGNMENT, "="))
-    return df.withColumn(dst, py_strip(F.regexp_replace(F.col(dst), TRAILING_PERIODS, "")))
+    a = _extract_if(_extract_if(a, ANSWER_HASH, "#"), ANSWER_TAG, "#")
+    a = _extract_if(a, "(?d)" + ASSIGNMENT, "=")
+    return py_strip(F.regexp_replace(a, TRAILING_PERIODS, ""))
+
+
+def strip_wrappers_steps(df: DataFrame, src: str, dst: str) -> DataFrame:
+    """Add ``dst`` = ``src`` with its wrappers removed."""
+    return df.withColumn(dst, strip_wrappers(F.col(src)))
 
 
 def fractions_to_plain(s: Column) -> Column:
@@ -81,9 +83,9 @@ def fractions_to_plain(s: Column) -> Column:
     return bind(s, body)
 
 
-def _light_norm(s: Column) -> Column:
-    """What normalisation still changes after a trailing '%' is cut off."""
-    return py_strip(F.regexp_replace(py_strip(s), TRAILING_PERIODS, ""))
+def _normalised(s: Column) -> Column:
+    """The whole normalisation, done again after each trailing '%' that is cut off."""
+    return F.replace(fractions_to_plain(strip_wrappers(s)), F.lit(" "), F.lit(""))
 
 
 def number_from_normalised(df: DataFrame, norm: str, dst: str, src: str | None = None,
@@ -106,7 +108,7 @@ def number_from_normalised(df: DataFrame, norm: str, dst: str, src: str | None =
         start = F.struct(x.alias("s"), F.lit(0).alias("n"))
         loop = F.aggregate(F.sequence(F.lit(1), k), start, lambda acc, _: F.when(
             acc["s"].endswith("%"),
-            F.struct(_light_norm(acc["s"].substr(F.lit(1), F.length(acc["s"]) - 1)).alias("s"),
+            F.struct(_normalised(acc["s"].substr(F.lit(1), F.length(acc["s"]) - 1)).alias("s"),
                      (acc["n"] + 1).alias("n"))).otherwise(acc))
         return F.when(F.instr(x, "%") > 0, F.when(k > 0, loop).otherwise(start)).otherwise(start)
 
@@ -218,15 +220,15 @@ def strip_wrappers_sql(expr: str) -> str:
 
 def fractions_to_plain_sql(expr: str) -> str:
     return _bind(expr, "fr", f"list_reduce(range((length(fr) - length(replace(fr, 'frac', ''))) // 4), "
-                             f"lambda acc, i: regexp_replace(acc, {_sq(LATEX_FRACTION)}, '(\\1)/(\\2)', 'g'), fr)")
+                             f"lambda fa, fi: regexp_replace(fa, {_sq(LATEX_FRACTION)}, '(\\1)/(\\2)', 'g'), fr)")
 
 
 def simple_number_sql(expr: str) -> str:
     t = f"replace({fractions_to_plain_sql(strip_wrappers_sql(expr))}, ' ', '')"
     cut = "substr(acc.s, 1, length(acc.s) - 1)"
-    light = py_strip_sql(f"regexp_replace({py_strip_sql(cut)}, {_sq(TRAILING_PERIODS)}, '')")
+    again = f"replace({fractions_to_plain_sql(strip_wrappers_sql(cut))}, ' ', '')"
     loop = _bind(t, "tt", f"list_reduce(range(length(tt) - length(replace(tt, '%', ''))), lambda acc, i: "
-                          f"case when ends_with(acc.s, '%') then {{'s': {light}, 'n': acc.n + 1}} else acc end, "
+                          f"case when ends_with(acc.s, '%') then {{'s': {again}, 'n': acc.n + 1}} else acc end, "
                           f"{{'s': tt, 'n': 0}})")
     c = "st.s"
     base = (f"case when {c} = '' then null "

@@ -15,53 +15,68 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepwise.operators.joins import join_summary
 from stepwise.session import ensure_checkpoint_dir
 
 
-# Largest group a single task may sort for a plain window.
-MAX_WINDOW_GROUP_ROWS = 5_000_000
+def _in_order(df: DataFrame, keys: Sequence[str], num_partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys``, with partition ``_pid`` and place ``_mid``.
+
+    Written once (reliable checkpoint in the shared folder): what is counted
+    and what is numbered read the very same partitions, and a lost executor
+    recomputes from the checkpoint, not from a new sampling.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return (parted.withColumn("_pid", F.spark_partition_id())
+                  .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
 
 
 def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                      out: str = "rn", num_partitions: int | None = None,
-                      max_group_rows: int | None = MAX_WINDOW_GROUP_ROWS) -> DataFrame:
+                      out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """1-based row number of each row within its group, in ``order_cols`` order.
 
     ``order_cols`` should make the order total (ties receive distinct
-    numbers in an arbitrary but consistent order).  The size of the largest
-    group is measured first (a partial aggregate); when it is within
-    ``max_group_rows`` a plain window does the numbering, otherwise the
-    range-partitioned path below spreads every group over many tasks.
+    numbers in an arbitrary but consistent order).  Groups of every size
+    take the same path; pass only the columns that are needed.
     """
-    if group_cols and max_group_rows is not None:
-        largest = df.groupBy(*group_cols).count().agg(F.max("count")).collect()[0][0]
-        if largest is None or largest <= max_group_rows:
-            w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-            return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    return _row_number_distributed(df, group_cols, order_cols, out, num_partitions)
-
-
-def _row_number_distributed(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                            out: str, num_partitions: int | None) -> DataFrame:
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group_cols, *order_cols]
-    parted = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    # Materialised once (reliable checkpoint in the shared folder): the
-    # counts and the rows below read the very same partitions, and a lost
-    # executor recomputes from the checkpoint, not from a new sampling.
-    tagged = (parted.withColumn("_pid", F.spark_partition_id())
-                    .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
+    tagged = _in_order(df, [*group_cols, *order_cols], num_partitions)
     stats = tagged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"),
                                                      F.min("_mid").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     # stats has one row per (partition, group) pair: at most partitions + groups
-    from stepwise.operators.joins import join_summary
-    joined = join_summary(tagged, stats.select("_pid", *group_cols, "_first", "_off"), ["_pid", *group_cols])
+    summary = stats.select("_pid", *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group_cols)), "_first", "_off")
+    same = F.lit(True)
+    for i, g in enumerate(group_cols):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    summary = summary.withColumnRenamed("_pid", "_part").checkpoint(eager=True)
+    joined = tagged.join(summary, (F.col("_pid") == F.col("_part")) & same)
     return (joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first") + 1).cast("bigint"))
-                  .drop("_pid", "_mid", "_first", "_off"))
+                  .drop("_pid", "_mid", "_first", "_off", "_part", *(f"_g{i}" for i in range(len(group_cols)))))
+
+
+def running_mean(df: DataFrame, order_cols: Sequence[str], value: str, out: str = "running_mean",
+                 num_partitions: int | None = None) -> DataFrame:
+    """Mean of ``value`` over each row and all before it, as a two-level prefix sum.
+
+    Every range partition sums its own rows in order; the sums of the
+    partitions before it (one row a partition) are added.  Nulls do not
+    count; rows before the first value get null.
+    """
+    tagged = _in_order(df, order_cols, num_partitions)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tagged.groupBy("_pid").agg(F.sum(value).alias("_sum"), F.count(value).alias("_cnt"))
+    # one row a partition
+    parts = parts.select("_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_sum"),
+                         F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_cnt"))
+    upto = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (tagged.withColumn("_s", F.coalesce(F.sum(value).over(upto), F.lit(0.0)))
+             .withColumn("_n", F.count(value).over(upto)))
+    mean = F.try_divide(F.col("_sum") + F.col("_s"), F.col("_cnt") + F.col("_n"))
+    return join_summary(local, parts, ["_pid"]).withColumn(out, mean).drop("_pid", "_mid", "_s", "_n", "_sum", "_cnt")
 
 
 def assign_batches(df: DataFrame, order_cols: Sequence[str], batch_size: int,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stepwise.functions.numeric import capped_exp, log_sigmoid, relu, sigmoid, softplus
 from stepwise.operators.joins import join_summary
-from stepwise.operators.ordering import row_number_within
+from stepwise.operators.ordering import row_number_within, running_mean
 
 LOSS_TYPES = ("sigmoid", "robust", "exo_pair", "hinge", "ipo", "bco_pair", "sppo_hard", "nca_pair",
               "aot_pair", "aot", "apo_zero", "apo_down", "discopop", "sft", "cmcl")
@@ -73,8 +73,7 @@ def _running_delta(df: DataFrame, beta: float, batch_col: str) -> DataFrame:
     cr, rr_ = rewards(beta)
     per_batch = df.groupBy(batch_col).agg(((F.sum(cr) + F.sum(rr_)) / (2 * F.count(F.lit(1)))).alias("batch_mean"))
     # one row per batch; the running mean gives every batch equal weight
-    upto = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_batch.withColumn("running_mean", F.avg("batch_mean").over(upto))
+    return running_mean(per_batch, [batch_col], "batch_mean")
 
 
 def running_reward_mean(df: DataFrame, beta: float = DEFAULT_BETA, batch_col: str = "batch_id") -> DataFrame:

@@ -72,15 +72,17 @@ select 'p' as side, o_orderkey as id,
             when 1 then concat('$', cast(o_orderkey % 20 as string), '$')
             when 2 then concat(chr(92), 'frac{{', cast(o_orderkey % 9 as string), '}}{{4}}')
             when 3 then concat('x = ', cast(o_orderkey % 20 as string), '.')
-            when 4 then '' else concat(cast(o_orderkey % 20 as string), '%') end as answer
+            when 4 then case o_orderkey % 4 when 0 then '' else concat('case ', cast(o_orderkey % 3 as string)) end
+            else concat(case when o_orderkey % 4 = 1 then 'x = y = ' else '' end, cast(o_orderkey % 20 as string), '%') end as answer
 from {orders} where o_orderkey % 10 <> 0
 union all
 select 'g', o_orderkey,
        case when o_orderkey % 6 = 2 then concat(cast(o_orderkey % 9 as string), '/4')
             when o_orderkey % 11 = 0 then null
+            when o_orderkey % 6 = 4 and o_orderkey % 4 <> 0 then concat('case ', cast(o_orderkey % 2 as string))
             when o_orderkey % 6 = 5 then concat(cast((o_orderkey % 20) as string), 'e-2')
             else cast(o_orderkey % 20 as string) end
-from {orders} where o_orderkey % 7 <> 0
+from {orders} where o_orderkey % 7 <> 0 or o_orderkey % 10 = 0
 """
 
 # generator (side = 'g') and discriminator (side = 'd') as raw JSON; answer may be absent, null or set
@@ -94,7 +96,7 @@ select 'd', o_orderkey,
        concat('{{"id":', cast(o_orderkey as string), ',"problem":"D', cast(o_orderkey as string), '"',
               case when o_orderkey % 8 = 3 then ',"answer":"7"' else '' end,
               case when o_orderkey % 3 = 0 then ',"candidates":[]' else ',"candidates":["a","b"]' end, '}}')
-from {orders} where o_orderkey % 5 <> 0
+from {orders} where o_orderkey % 5 <> 0 or o_orderkey % 6 = 0
 """
 
 # eight candidates per sample with tied rewards and zero, one or two boxed answers
@@ -135,12 +137,16 @@ where role = 'user' and next_role = 'assistant'
 
 # good document vs poor document of the same language, aligned by rank
 FIXTURE_SQL["f_pref"] = """
-select c.doc_id as pair_id, c.lang as prompt, c.text as chosen, r.text as rejected
-from (select d.doc_id, d.lang, d.text, row_number() over (partition by d.lang order by d.doc_id) as rk
-      from {documents} d join {labels} l on d.doc_id = l.doc_id where l.quality = 1) c
+select case when c.n_good >= c.n_poor then c.doc_id else r.doc_id end as pair_id,
+       c.lang as prompt, c.text as chosen, r.text as rejected
+from (select d.doc_id, d.lang, d.text, row_number() over (partition by d.lang order by d.doc_id) as rk, n_good, n_poor
+      from {documents} d join {labels} l on d.doc_id = l.doc_id join (
+           select e.lang, count(case when m.quality = 1 then 1 end) as n_good, count(case when m.quality = 0 then 1 end) as n_poor
+           from {documents} e join {labels} m on e.doc_id = m.doc_id group by e.lang) n on d.lang = n.lang
+      where l.quality = 1 and n_good > 0 and n_poor > 0) c
 join (select d.doc_id, d.lang, d.text, row_number() over (partition by d.lang order by d.doc_id) as rk
       from {documents} d join {labels} l on d.doc_id = l.doc_id where l.quality = 0) r
-  on c.lang = r.lang and c.rk = r.rk
+  on c.lang = r.lang and (c.rk - 1) % least(c.n_good, c.n_poor) = (r.rk - 1) % least(c.n_good, c.n_poor)
 """
 
 _FIELD = re.compile(r"(?<!\{)\{([a-z_]+)\}(?!\})")
@@ -178,18 +184,27 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _f_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-pref with the per-language rank computed without one task per language."""
+    """F-pref without one task per language: keys are ranked and paired, texts join last.
+
+    The smaller class of a language is used again and again until each
+    document of the larger one has its pair.
+    """
     from pyspark.sql import functions as F
 
     from stepwise.operators.ordering import row_number_within
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    lab = docs.join(labels, "doc_id")
-    good = row_number_within(lab.where("quality = 1").drop("quality"), ["lang"], ["doc_id"], "rk")
-    poor = row_number_within(lab.where("quality = 0").drop("quality"), ["lang"], ["doc_id"], "rk")
-    return (good.select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("prompt"), F.col("text").alias("chosen"),
-                        "lang", "rk")
-            .join(poor.select("lang", "rk", F.col("text").alias("rejected")), ["lang", "rk"])
+    lab = docs.drop("text").join(labels, "doc_id")
+    sizes = lab.groupBy("lang").agg(F.count_if(F.col("quality") == 1).alias("n_good"),
+                                    F.count_if(F.col("quality") == 0).alias("n_poor")).where("n_good > 0 and n_poor > 0")
+    ranked = (row_number_within(lab, ["lang", "quality"], ["doc_id"], "rk").join(sizes, "lang")
+              .withColumn("slot", (F.col("rk") - 1) % F.least("n_good", "n_poor")))
+    good = ranked.where("quality = 1").select("lang", "slot", "n_good", "n_poor", F.col("doc_id").alias("good_id"))
+    poor = ranked.where("quality = 0").select("lang", "slot", F.col("doc_id").alias("poor_id"))
+    pair = F.when(F.col("n_good") >= F.col("n_poor"), F.col("good_id")).otherwise(F.col("poor_id"))
+    return (good.join(poor, ["lang", "slot"]).select(pair.alias("pair_id"), F.col("lang").alias("prompt"), "good_id", "poor_id")
+            .join(docs.select(F.col("doc_id").alias("good_id"), F.col("text").alias("chosen")), "good_id")
+            .join(docs.select(F.col("doc_id").alias("poor_id"), F.col("text").alias("rejected")), "poor_id")
             .select("pair_id", "prompt", "chosen", "rejected"))
 
 

@@ -9,10 +9,11 @@ started again on the same table goes on where it stopped, exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.operators.evaluate import step_judgments
+from stepwise.operators.ordering import running_mean
 from stepwise.session import scratch_path
 
 
@@ -112,6 +113,4 @@ def running_window_mean(spark: SparkSession, events: DataFrame, window: str = "1
            .agg(F.avg("value").alias("batch_mean")))
     res = _complete_to_parquet(spark, agg, "window-means")
     res = res.select(F.col("w.start").cast("long").alias("window_start"), "batch_mean")
-    # one row per window: the ordered frame runs over that small table
-    upto = Window.orderBy("window_start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return res.withColumn("running_mean", F.avg("batch_mean").over(upto))
+    return running_mean(res, ["window_start"], "batch_mean")

@@ -18,7 +18,7 @@ def _values(spark, texts):
 def test_wrappers_and_numbers(spark):
     got = _values(spark, ["x = 5.", "$\\boxed{12}$", "##answer: 7 ##", "#answer#: 3/4", "\\frac{1}{4}",
                           "\\dfrac{\\frac{1}{2}}{3}", "50%", "50%%", "1/0", "1,000", "1/-2", "(1)/(-2)",
-                          "−3", "NaN", " 1e-2 ", "", "abc", "5.%"])
+                          "−3", "NaN", " 1e-2 ", "", "abc", "5.%", "x = y = 50%", "$\\frac{1}{2}$%"])
     assert got["x = 5."] == ("5", 5.0)
     assert got["$\\boxed{12}$"][1] == 12.0
     assert got["##answer: 7 ##"] == ("7", 7.0)
@@ -36,6 +36,8 @@ def test_wrappers_and_numbers(spark):
     assert got[" 1e-2 "][1] == 0.01
     assert got[""][1] is None and got["abc"][1] is None
     assert math.isclose(got["5.%"][1], 0.05)
+    assert got["x = y = 50%"][1] == 0.5                         # stripped as a whole again after the sign is cut
+    assert math.isclose(got["$\\frac{1}{2}$%"][1], 0.005)
 
 
 def test_expression_fallback():
