@@ -201,24 +201,24 @@ def weighted_losses(df: DataFrame, loss_types: Sequence[str], weights: Sequence[
     aux = [c for c in ("aux_loss",) if c in df.columns]
     base = df.select(key_col, batch_col, C, R, RC, RR, *aux)
     cr, rr_ = rewards(kw.get("beta", DEFAULT_BETA))
-    n = len(loss_types)
     if not set(loss_types) & BATCH_LOSSES:
         # all row-wise: one projection, no join
         loss = sum((preference_loss_column(lt, **kw) * w for lt, w in zip(loss_types, weights)), F.lit(0.0))
         out = base.select(key_col, batch_col, C, R, RC, RR, *aux, loss.alias("loss"),
                           (cr * sum(weights)).alias("chosen_reward"), (rr_ * sum(weights)).alias("rejected_reward"))
     else:
-        total = None
-        for i, (lt, w) in enumerate(zip(loss_types, weights)):
-            part = preference_loss(base, lt, batch_nll=batch_nll, batch_col=batch_col, key_col=key_col, **kw)
-            part = part.select(key_col, batch_col, (F.col("loss") * w).alias(f"_l{i}"),
-                               (F.col("chosen_reward") * w).alias(f"_c{i}"), (F.col("rejected_reward") * w).alias(f"_r{i}"))
-            total = part if total is None else total.join(part, [key_col, batch_col])
-        out = base.join(total, [key_col, batch_col]).select(
-            key_col, batch_col, C, R, RC, RR, *aux,
-            sum((F.col(f"_l{i}") for i in range(n)), F.lit(0.0)).alias("loss"),
-            sum((F.col(f"_c{i}") for i in range(n)), F.lit(0.0)).alias("chosen_reward"),
-            sum((F.col(f"_r{i}") for i in range(n)), F.lit(0.0)).alias("rejected_reward"))
+        # the row-wise losses in one projection, one join for each loss of a batch
+        rows = [(lt, w) for lt, w in zip(loss_types, weights) if lt not in BATCH_LOSSES]
+        total = base.withColumn("_rows", sum((preference_loss_column(lt, **kw) * w for lt, w in rows), F.lit(0.0)))
+        terms = []
+        for lt, w in zip(loss_types, weights):
+            if lt in BATCH_LOSSES:
+                terms.append(f"_l{len(terms)}")
+                part = preference_loss(base, lt, batch_nll=batch_nll, batch_col=batch_col, key_col=key_col, **kw)
+                total = total.join(part.select(key_col, batch_col, (F.col("loss") * w).alias(terms[-1])), [key_col, batch_col])
+        out = total.select(
+            key_col, batch_col, C, R, RC, RR, *aux, sum((F.col(t) for t in terms), F.col("_rows")).alias("loss"),
+            (cr * sum(weights)).alias("chosen_reward"), (rr_ * sum(weights)).alias("rejected_reward"))
     if rpo_alpha is not None:
         out = join_summary(out, batch_nll.select(batch_col, "nll_loss"), [batch_col], "left") \
                  .withColumn("loss", F.col("loss") + rpo_alpha * F.coalesce("nll_loss", F.lit(float("nan")))).drop("nll_loss")

@@ -54,3 +54,23 @@ def test_pairs_without_reference_or_nll_stay(spark):
         assert len(got) == 2 and not math.isnan(got[1]) and math.isnan(got[2])
     some = P.attach_reference(pairs.drop(P.RC, P.RR), pairs.where("pair_id = 1"))
     assert some.count() == 2 and some.where(f"{P.RC} is null").count() == 1
+
+
+def test_mixed_losses_and_aux_term(spark):
+    random.seed(3)
+    rows = [(i, i // 5, *(random.uniform(-5, 0) for _ in range(4)), i / 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "pair_id long, batch_id long, chosen_logps double, rejected_logps double, "
+                                     "ref_chosen_logps double, ref_rejected_logps double, aux_loss double")
+
+    def by_pair(frame):
+        return {r["pair_id"]: r for r in frame.collect()}
+
+    sigmoid, hinge, aot = (by_pair(P.preference_loss(df, lt, beta=0.1)) for lt in ("sigmoid", "hinge", "aot"))
+    got = by_pair(P.weighted_losses(df, ["sigmoid", "aot", "hinge"], [1.0, 0.5, 2.0], aux_coef=0.3, beta=0.1))
+    plain = by_pair(P.weighted_losses(df, ["sigmoid"], aux_coef=0.3, beta=0.1))
+    assert len(got) == len(plain) == 20
+    for i in range(20):
+        want = sigmoid[i]["loss"] + 0.5 * aot[i]["loss"] + 2 * hinge[i]["loss"] + 0.3 * i / 10
+        assert abs(got[i]["loss"] - want) < 1e-9
+        assert abs(got[i]["chosen_reward"] - 3.5 * sigmoid[i]["chosen_reward"]) < 1e-9
+        assert abs(plain[i]["loss"] - sigmoid[i]["loss"] - 0.3 * i / 10) < 1e-9
