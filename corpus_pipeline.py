@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepwise.llm import decision_lists, minhash_join, packing, q_text, suffix_dedup
+from stepwise.llm import decision_lists, minhash_join, packing, passages, q_text
 from stepwise.llm.common import materialise, table
 
 # SQL cannot express the learned and byte-level stages.
@@ -54,10 +54,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes or more that occur elsewhere; ``n_chars`` follows the text."""
+    """Cuts passages of over 50 words that occur elsewhere; ``n_chars`` follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     slim = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
-    out = suffix_dedup.remove_repeats(slim, as_text=True)
+    out = passages.remove_passages(slim)
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     out = out.select("doc_id", text.alias("text"), *(F.col(f"_rest.`{c}`").alias(c) for c in rest), F.col("n_removed").alias("_cut"))
     if "n_chars" in rest:

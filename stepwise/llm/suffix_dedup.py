@@ -28,7 +28,8 @@ ordinary id.  Nothing whole passes through the driver or one task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,16 @@ BUFFER = 1 << 21
 SHARD_BYTES = 2_000_000
 SHARD_SPANS = 3000
 
+
+class Symbols(NamedTuple):
+    """What texts are strings of; lengths and places count symbols."""
+
+    dtype: type
+    encode: Callable[[str], bytes]
+
+
+BYTES = Symbols(np.uint8, str.encode)
+
 _rng = np.random.default_rng(7)
 _VALUES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASE = [int(x) * 2 + 1 for x in _rng.integers(1 << 40, 1 << 62, 2)]
@@ -69,11 +80,12 @@ def _power_tables(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
-    """64-bit hash of every ``length``-byte gram of ``data``."""
+    """64-bit hash of every gram of ``length`` symbols of ``data`` (bytes, or 64-bit hashes)."""
     n = len(data)
     up, down = _power_tables(which, n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUES[which][data] * up[:n], out=sums[1:])
+    values = _VALUES[which][data] if data.dtype == np.uint8 else data
+    np.cumsum(values * up[:n], out=sums[1:])
     h = (sums[length:] - sums[:n + 1 - length]) * down[:n + 1 - length]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -120,9 +132,11 @@ def _key_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 ANCHORS = "h bigint, s bigint, len int, did bigint, th bigint, lo bigint"
 
 
-def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def anchors(docs: DataFrame, length: int, gram: int, symbols: Symbols = BYTES) -> DataFrame:
     """One row per span of ``docs(_did, _th, _text)``: gram hash, hash and bytes of the span, where it starts."""
     rows = docs.select("_did", "_th", "_text").where(F.octet_length("_text") >= length)
+    item = np.dtype(symbols.dtype).itemsize
+    most = max(BUFFER // item, 2 * length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,12 +145,12 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
             def found() -> pa.RecordBatch:
                 raw = b"".join(parts)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                text, lo, n, h = spans_of(np.frombuffer(raw, np.uint8), bounds, length, gram)
+                bounds = np.concatenate([[0], np.cumsum([len(x) // item for x in parts])])
+                text, lo, n, h = spans_of(np.frombuffer(raw, symbols.dtype), bounds, length, gram)
                 view = memoryview(raw)
                 blake = hashlib.blake2b
                 s = np.frombuffer(b"".join([blake(view[a:a + k], digest_size=8).digest()
-                                            for a, k in zip(lo.tolist(), n.tolist())]), "<i8")
+                                            for a, k in zip((lo * item).tolist(), (n * item).tolist())]), "<i8")
                 row = np.array(owner)[text]
                 start = lo - bounds[text] + np.array(base)[text]
                 return pa.RecordBatch.from_arrays(
@@ -144,14 +158,14 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
                      pa.array(start.astype(np.int64))], names=["h", "s", "len", "did", "th", "lo"])
 
             for i, t in enumerate(batch.column("_text")):
-                raw = t.as_py().encode()
-                for at in range(0, len(raw) - length + 1, BUFFER - length + 1):  # windows of a long text fall into one part each
-                    part = raw[at:at + BUFFER]
-                    if size + len(part) > BUFFER and parts:
+                raw = symbols.encode(t.as_py())
+                for at in range(0, len(raw) // item - length + 1, most - length + 1):  # windows of a long text fall into one part each
+                    part = raw[at * item:(at + most) * item]
+                    if size + len(part) // item > most and parts:
                         yield found()
                         parts, owner, base, size = [], [], [], 0
                     parts.append(part), owner.append(i), base.append(at)
-                    size += len(part)
+                    size += len(part) // item
             if parts:
                 yield found()
 
@@ -159,18 +173,21 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every suffix by its first ``length`` bytes or more (equal ranks: equal so far).
+    """Rank of every suffix by its first ``length`` symbols or more (equal ranks: equal so far).
 
     Larsson-Sadakane refinement: suffixes are sorted by 8 bytes, then the
-    depth doubles; only groups that are not yet single are sorted again, by
+    depth in symbols doubles; only groups that are not yet single are sorted again, by
     the rank of the suffix a depth further on.
     """
     n = len(data)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = data
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k:k + n]
+    depth = 8 // data.dtype.itemsize
+    word = data
+    if depth > 1:
+        padded = np.zeros(n + 8, np.uint64)
+        padded[:n] = data
+        word = np.zeros(n, np.uint64)
+        for k in range(8):
+            word = (word << np.uint64(8)) | padded[k:k + n]
     order = np.argsort(word, kind="stable")
     sorted_words = word[order]
     new = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
@@ -180,7 +197,6 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     rank[order] = head
     size = np.diff(np.concatenate([np.flatnonzero(new), [n]]))
     open_ = order[np.repeat(size, size) > 1]
-    depth = 8
     while depth < length and len(open_):
         step = min(depth, length - depth)
         key = rank[open_] * np.int64(n + 2) + rank[np.minimum(open_ + step, n)] + 1
@@ -234,15 +250,16 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated_windows(texts: list[bytes], length: int, times: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], length: int, times: np.ndarray | None = None,
+                     symbols: Symbols = BYTES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For a shard's texts, each occurring ``times`` times: which windows are repeated.
 
-    Windows that share ``length`` bytes with their neighbour in suffix order
+    Windows that share ``length`` symbols with their neighbour in suffix order
     are one class; it is repeated if its texts occur twice or more in all.
     Returns the flags by text, and of one window of each class: (text, start).
     """
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), symbols.dtype)
+    size = np.array([len(t) for t in texts], np.int64) // data.dtype.itemsize
     ends = np.cumsum(size)
     starts = ends - size
     rank = suffix_ranks(data, length)
@@ -291,11 +308,12 @@ def _by_group(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _fetch(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The bytes of spans from one document each: ``(shard, split, n, h, s, len, raw)``."""
+def _fetch(docs: DataFrame, spans: DataFrame, symbols: Symbols = BYTES) -> DataFrame:
+    """The symbols of spans from one document each: ``(shard, split, n, h, s, len, raw)``."""
     wanted = spans.groupBy(F.col("did").alias("_did"), F.col("th").alias("_th")).agg(
         F.collect_list(F.struct("shard", "split", "n", "h", "s", "len", "lo")).alias("w"))
     rows = docs.select("_did", "_th", "_text").join(wanted, ["_did", "_th"])
+    item = np.dtype(symbols.dtype).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "split", "n", "h", "s", "len"]
@@ -305,19 +323,19 @@ def _fetch(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 256)
                 out, raws = [[] for _ in names], []
                 for text, want in zip(part.column("_text").to_pylist(), part.column("w").to_pylist()):
-                    raw = text.encode()
+                    raw = symbols.encode(text)
                     for w in want:
                         for k, name in enumerate(names):
                             out[k].append(w[name])
-                        raws.append(raw[w["lo"]:w["lo"] + w["len"]])
+                        raws.append(raw[w["lo"] * item:(w["lo"] + w["len"]) * item])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types)), pa.array(raws, pa.binary())],
                                                  names=[*names, "raw"])
 
     return rows.mapInArrow(run, "shard bigint, split boolean, n bigint, h bigint, s bigint, len int, raw binary")
 
 
-def _sort_shards(spans: DataFrame, length: int) -> DataFrame:
-    """Per shard: byte ranges ``[a, b)`` of repeated windows, and digests of window classes of split grams
+def _sort_shards(spans: DataFrame, length: int, symbols: Symbols = BYTES) -> DataFrame:
+    """Per shard: ranges ``[a, b)`` of repeated windows, and digests of window classes of split grams
     (``a`` the window's start, ``b`` null)."""
     rows = spans.repartition("shard").sortWithinPartitions("shard")
 
@@ -326,7 +344,7 @@ def _sort_shards(spans: DataFrame, length: int) -> DataFrame:
             key = [t.column(c).to_numpy() for c in SPAN_KEY]
             n, split = t.column("n").to_numpy(), t.column("split").to_numpy()
             raws = t.column("raw").to_pylist()
-            flags, text, start = repeated_windows(raws, length, n)
+            flags, text, start = repeated_windows(raws, length, n, symbols)
             out: list[list] = [[] for _ in range(7)]
             for i, hit in enumerate(flags):
                 for a, b in _runs(hit):
@@ -334,8 +352,8 @@ def _sort_shards(spans: DataFrame, length: int) -> DataFrame:
                         c.append(v)
             posted = split[text]
             if posted.any():
-                whole = np.frombuffer(b"".join(raws), np.uint8)
-                base = np.cumsum([0, *map(len, raws)])
+                whole = np.frombuffer(b"".join(raws), symbols.dtype)
+                base = np.cumsum([0, *map(len, raws)]) // whole.dtype.itemsize
                 at = base[text[posted]] + start[posted]
                 d = [gram_hashes(whole, length, w)[at].view(np.int64) for w in (0, 1)]
                 for k in range(3):
@@ -373,9 +391,9 @@ def _merge_shards(posted: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES,
-                    shard_spans: int = SHARD_SPANS) -> DataFrame:
-    """``(did, th, ranges)``: repeated byte ranges of the documents ``docs(_did, _th, _text)``."""
-    marks = materialise(anchors(docs, length, gram), "anchors")
+                    shard_spans: int = SHARD_SPANS, symbols: Symbols = BYTES) -> DataFrame:
+    """``(did, th, ranges)``: repeated ranges of symbols of the documents ``docs(_did, _th, _text)``."""
+    marks = materialise(anchors(docs, length, gram, symbols), "anchors")
     merged = marks.groupBy(*SPAN_KEY).agg(F.count(F.lit(1)).alias("n"), F.first("did").alias("did"),
                                           F.first("th").alias("th"), F.first("lo").alias("lo"))
     grams = merged.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
@@ -386,7 +404,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     spans = (spans.withColumn("split", parts > 1)
              .withColumn("shard", F.when(parts > 1, F.xxhash64("h", F.pmod("s", parts)))
                          .otherwise(F.pmod(F.xxhash64("h"), F.lit(n_shards)))))
-    found = materialise(_sort_shards(_fetch(docs, spans), length), "repeats")
+    found = materialise(_sort_shards(_fetch(docs, spans, symbols), length, symbols), "repeats")
     ranges = found.where("b is not null").select(*SPAN_KEY, "a", "b")
     posted = found.where("b is null")
     if not posted.isEmpty():

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stepwise.llm import (decision_lists, language_id, merkle, minhash_join, packing, pieces, quality_ordinal,  # noqa: E402
+import corpus_pipeline  # noqa: E402
+from stepwise.llm import (decision_lists, language_id, merkle, minhash_join, packing, passages, pieces, quality_ordinal,  # noqa: E402
                           suffix_dedup, tool_calls, url_filters)
 
 EDGE = [(1, "One two three. Four five!\nsix", "en"), (1, "One two three. Four five!\nsix", "en"), (2, None, None), (3, "", "fr"),
@@ -265,6 +266,55 @@ def test_suffix_dedup_equals_brute_force(spark, sizes):
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
 
 
+def _brute_passages(texts, n):
+    words = [t.split() for t in texts]
+    c = collections.Counter(tuple(w[i:i + n]) for w in words for i in range(len(w) - n + 1))
+    for w in words:
+        gone = {j for i in range(len(w) - n + 1) if c[tuple(w[i:i + n])] > 1 for j in range(i, i + n)}
+        yield [x for j, x in enumerate(w) if j not in gone], len(gone)
+
+
+def _planted_passages():
+    """Passages of 40 to 64 short and long words in two to five documents each, spaced in several ways."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdéß漢") for _ in range(rng.randint(1, 9)))
+    docs = [[word() for _ in range(rng.randint(0, 90))] for _ in range(60)]
+    for n in [*range(40, 65), 50, 51, 51]:
+        passage = [word() for _ in range(n)]
+        for d in rng.sample(docs, rng.randint(2, 5)):
+            at = rng.randint(0, len(d))
+            d[at:at] = passage
+    texts = [rng.choice(["", " ", "\n"]) + "".join(w + rng.choice([" ", " ", "\n\n", "\u3000", "\x85"]) for w in d) for d in docs]
+    rows = list(enumerate(texts))
+    return [*rows, (3, texts[3]), (100, None), (None, "a " * 70), (101, ""), (102, "x" * 3000 + " y" * 49), (103, "x" * 3000 + " y" * 49)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_spans": 3, "shard_words": 200}])
+def test_passages_equal_brute_force(spark, sizes, monkeypatch):
+    docs = _planted_passages()
+    monkeypatch.setattr(passages, "BLOCK", 100)
+    for _, t in docs:
+        starts, ends, ids = passages.words_of(t or "")
+        assert [t[a:b] for a, b in zip(starts, ends)] == (t or "").split()
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("kept", F.lit(3))
+    got = passages.remove_passages(df, **sizes).collect()
+    want = collections.Counter((d, " ".join(w), n) for (d, _), (w, n) in zip(docs, _brute_passages([t or "" for _, t in docs], 51)))
+    assert collections.Counter((r.doc_id, " ".join(r.kept.split()), r.n_removed) for r in got) == want
+    assert all(r.kept == (r.text or "") for r in got if not r.n_removed)
+    assert passages.remove_passages(df.where("false")).count() == 0
+
+
+def test_pipeline_cuts_passages_of_over_fifty_words(spark, sf):
+    docs = [(d, "en", t, len(t)) for d, t in _planted_passages() if d is not None and t]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string, n_chars long")
+    got = corpus_pipeline.suffix_array_dedup(spark, df, sf)
+    want = collections.Counter((r[0], " ".join(w)) for r, (w, _) in zip(docs, _brute_passages([r[2] for r in docs], 51)))
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert collections.Counter((r.doc_id, " ".join(r.text.split())) for r in rows) == want
+    assert all(r.n_chars == len(r.text) for r in rows)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(300)]
