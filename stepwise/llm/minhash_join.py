@@ -5,7 +5,7 @@
    its smallest id; only classes go on.
 2. Classes are posted under their (coordinate, value) pairs.  Two sets that
    reach the threshold agree in at least ``MATCHES`` coordinates (but for a
-   chance near 1e-6 at exactly 0.8, and less above), so they share one of the
+   chance of 3.2e-7 at exactly 0.8, 9.8e-8 at 0.81, 2.9e-10 at 0.85), so they share one of the
    ``m - MATCHES + 1`` rarest of the ``m`` values that any other class has,
    too: only that prefix is posted, and classes with too few shared values
    are skipped altogether.
@@ -43,7 +43,7 @@ from stepwise.llm.common import materialise
 from stepwise.llm.components import connected_components
 
 COORDINATES = 64
-MATCHES = 36
+MATCHES = 34
 BLOCK = 4000
 #: Most bytes of sets in a block; a size class bounds its sets.
 BLOCK_BYTES = 32 << 20

@@ -352,6 +352,17 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash_join.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("agree, words", [(34, [845, 1928, 665, 1717, 690, 2231, 486, 3149, 2139, 3454]),
+                                          (35, [2125, 3204, 1871, 1610, 2040, 3225, 2151, 621, 1162, 102])])
+def test_near_duplicates_link_unlikely_signatures(spark, agree, words):
+    w = [f"w{i}" for i in words]
+    docs = [(1, " ".join(w[:9])), (2, " ".join(w[:8] + w[9:]))]  # 8 of 10 words shared: exactly 0.8
+    sigs = [minhash_join.signature(minhash_join.shingles(t, 1)) for _, t in docs]
+    assert int((sigs[0] == sigs[1]).sum()) == agree
+    rows = minhash_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=1).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (2, 1, False)]
+
+
 def test_url_rules_and_cascade(spark):
     rng = random.Random(7)
     universe = [f"h{i}.example.org" for i in range(3000)] + ["", None]
