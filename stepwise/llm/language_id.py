@@ -4,8 +4,8 @@ Each text is read as UTF-8 bytes in windows of 128; a forward and a backward
 gated recurrent layer (numpy; update gate and candidate with softsign
 activations) label every byte, and a document's probability
 of a language is the mean over all its bytes.  Training is backpropagation
-through time on a bounded sample: at most ``rows_per_lang`` texts a language
-(``max_langs`` most frequent ones), one window of 512 characters each.
+through time on a bounded sample: about ``rows_per_lang`` texts of every
+language (fewer, but one at least, where all would exceed ``budget``), one window of 512 characters each.
 
 Defined results: a text that is null or has no letter is ``und`` with score
 0; so is every text if there is nothing to learn from.  Rows with null text
@@ -28,7 +28,7 @@ WINDOW = 128
 HIDDEN = 8
 BATCH = 2048
 ROWS_PER_LANG = 400
-MAX_LANGS = 64
+BUDGET = 25_600
 SEED = 17
 
 
@@ -230,24 +230,25 @@ class Labeller:
         return total / size[:, None]
 
 
-def training_sample(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, max_langs: int = MAX_LANGS) -> list[tuple[str, str]]:
-    """About ``rows_per_lang`` (snippet, lang) pairs a language, at most ``rows_per_lang * max_langs`` in all.
+def training_sample(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, budget: int = BUDGET) -> list[tuple[str, str]]:
+    """About ``rows_per_lang`` (snippet, lang) pairs of every language, about ``budget`` in all.
+
+    With more languages than fit, each has fewer, but one at least.
 
     ``rows(doc_id, text, lang)``; snippets are 512 characters at a hashed
     place, so the driver's share is bounded whatever the texts' length.
     """
     rows = rows.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in
-              rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(1_000_000 * min(1.0, rows_per_lang / n)) + 1))
+    each = max(1, min(rows_per_lang, budget // len(counts)))
+    below = {r["lang"]: max(int(1_000_000 * min(1.0, each / r["n"])), r["least"]) + 1 for r in counts}
+    chosen = draw < F.element_at(F.map_from_arrays(F.lit(list(below)), F.lit(list(below.values()))), F.col("lang"))
     place = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.lit(1), F.char_length("text") - 512)) + 1
     snippet = F.substring(F.col("text"), place.cast("int"), F.lit(512))
-    got = rows.where(chosen).select(snippet.alias("s"), "lang", "doc_id").limit(rows_per_lang * max_langs).collect()
+    got = rows.where(chosen).select(snippet.alias("s"), "lang", "doc_id").limit(2 * max(budget, len(counts))).collect()
     got.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["s"]))
     return [(r["s"], r["lang"]) for r in got]
 

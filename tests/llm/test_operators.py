@@ -67,6 +67,15 @@ def test_language_accuracy_and_edges(spark, sf, edge, none):
     assert {r.lang_pred for r in language_id.identify(edge, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_sample_holds_every_language(spark):
+    rows = [(70 * i + k, f"text {i}", f"l{k:02}") for k in range(70) for i in range(40 if k < 69 else 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = {f"l{k:02}" for k in range(70)}
+    assert collections.Counter(c for _, c in language_id.training_sample(df)) == collections.Counter(r[2] for r in rows)
+    small = language_id.training_sample(df, budget=70)
+    assert {c for _, c in small} == langs and len(small) <= 140
+
+
 def test_ordinal_quality(spark, edge, none):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(60)]
