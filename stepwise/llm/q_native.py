@@ -89,7 +89,7 @@ r as (select conv_id, 'call-' || conv_id || '-' || (turn - 1) as call_id, count(
       from conversations where role = 'assistant' group by all),
 j as (
   select coalesce(c1.conv_id, r.conv_id) as conv_id, coalesce(c1.call_id, r.call_id) as call_id,
-         c1.c.turn as turn, c1.c.name as name, c1.c.turn as topo_turn, case when c1.c.turn is not null then 0 end as topo_depth,
+         c1.c.turn as turn, c1.c.name as name, c1.c.turn as topo_turn, case when c1.c.turn is not null then 0::bigint end as topo_depth,
          coalesce(n_calls, 0) as n_calls, coalesce(n_results, 0) as n_results, c1.c.text as text, c1.c.n as n,
          c1.c.dep as dep, r.r.content as content
   from c1 full join r on c1.conv_id = r.conv_id and c1.call_id = r.call_id),
