@@ -38,12 +38,14 @@ KIND_STRING = "string fallback"
 def keep_last(df: DataFrame, key: str, order_col: str | None = None) -> DataFrame:
     """One row per non-null key: the row with the largest ``order_col``.
 
-    ``order_col`` is the input order (file position, sequence number).
-    Without it the rows' present order counts, which is the file's order when
-    ``df`` reads one unsplit file; pass a column for anything else.
+    ``order_col`` is the input order (a sequence number, or the readers'
+    ``position``, which is taken if no column is named).  Without either the
+    rows' present order counts, which nothing keeps through a shuffle.
     ``max_by`` is a partial + final aggregation, so a hot key is folded
     map-side.
     """
+    if order_col is None and "position" in df.columns:
+        order_col = "position"
     cols = [c for c in df.columns if c != key]
     src = df.where(F.col(key).isNotNull())
     if not cols:

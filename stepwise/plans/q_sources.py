@@ -6,10 +6,13 @@ shared checkpoint location and reads it back through the source under test.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stepwise.operators import chains as C
 from stepwise.operators import search as S
+from stepwise.operators.answers import keep_last
 from stepwise.plans.fixtures import fixture, with_fixtures
 from stepwise.plans.registry import register, rounded
 from stepwise.session import scratch_path
@@ -56,6 +59,44 @@ def q_scan_class_dir(spark, sf):
                             F.col("source_class").alias("classification"), F.col("reward").cast("double")))
 
 
+def _write_arrays(df, path, file_col, order, pretty):
+    """One JSON array per value of ``file_col``, its rows in ``order``."""
+    one_file = Window.partitionBy(file_col).orderBy(*order)
+    record = F.to_json(F.struct(*[c for c in df.columns if c != file_col]), {"pretty": "true"} if pretty else {})
+    opener = F.when(F.row_number().over(one_file) == 1, "[").otherwise(",")
+    closer = F.when(F.lead(F.lit(1)).over(one_file).isNull(), "]").otherwise("")
+    text = df.select(file_col, F.concat(opener, record, closer).alias("value"))
+    text.write.option("lineSep", "\n" if pretty else " ").partitionBy(file_col).text(path)
+
+
+@register("scan_json_arrays", with_fixtures("""
+select original_id, step_id, is_error, classification, round(reward, 6) as reward from f_prm
+""", "f_prm"))
+def q_scan_json_arrays(spark, sf):
+    """A folder that mixes pretty arrays, compact arrays and JSON lines, each file split over tasks."""
+    src = fixture(spark, sf, "f_prm")
+    path = scratch_path(spark, "arrays")
+    chunk = src.withColumn("chunk", F.floor(F.col("original_id") / 4000))
+    for layout, pretty in ((0, True), (1, False)):
+        _write_arrays(chunk.where(F.col("original_id") % 3 == layout), f"{path}/layout={layout}", "chunk",
+                      ("original_id", "step_id"), pretty)
+    chunk.where("original_id % 3 = 2").write.partitionBy("chunk").json(f"{path}/layout=2")
+    schema = "original_id bigint, step_id int, is_error boolean, classification string, reward double"
+    return rounded(RS.read_json_records(spark, path, schema=StructType.fromDDL(schema)))
+
+
+@register("answers_last_in_file", with_fixtures("""
+select cast(id % 997 as varchar) as id, answer from f_answer where side = 'p'
+qualify row_number() over (partition by id % 997 order by id desc) = 1
+""", "f_answer"))
+def q_answers_last_in_file(spark, sf):
+    """Ids repeat in the files; the last row of an id counts, although the rows are shuffled in between."""
+    src = fixture(spark, sf, "f_answer").where("side = 'p'").withColumn("ord", F.col("id")).withColumn("id", F.col("id") % 997)
+    path = RS.write_records(src.select("id", "answer", "ord"), scratch_path(spark, "answers"), order_by=("ord",))
+    read = RS.read_answer_records(spark, path).repartition("answer").select(F.col("id_text").alias("id"), "answer", "position")
+    return keep_last(read, "id").select("id", "answer")
+
+
 @register("sft_scan_head", with_fixtures("""
 select conv_id, turn, instruction, output from f_sft order by conv_id, turn limit 100
 """, "f_sft"))

@@ -95,3 +95,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stepwise-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df, name: str):
+    """``df`` written once to the shared checkpoint folder and read back, so that what follows starts from the files."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,19 +1,24 @@
 """Record files: JSON arrays, JSON lines and parquet folders.
 
-JSON lines and parquet are splittable and are the formats to use at scale;
-a JSON *array* file can only be parsed as a whole, one task per file, so it
-is supported for compatibility with small hand-off files.
+Every reader says where a record stood (``position``: file, split, row in
+the split, item), so that the order of the input survives shuffles.  JSON
+array files split like line files (see ``stepwise.sources.arrays``).
 Buffers whose semantics depend on key presence are read as raw JSON text
 per record (see ``stepwise.operators.search.parse_buffer``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-RAW_SCHEMA = StructType([StructField("raw", StringType())])
+from stepwise.session import scratch_path, written
+from stepwise.sources.arrays import POSITION, array_records, file_place, position
 
 
 def strict_json(c) -> "F.Column":
@@ -33,84 +38,126 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def _first_char(spark: SparkSession, path: str) -> str | None:
-    """First non-blank character of the text at ``path`` (one small job)."""
-    head = (spark.read.text(path).select(F.ltrim(F.regexp_replace("value", r"^\s+", "")).alias("v"))
-            .where(F.length("v") > 0).limit(1).collect())
-    return head[0]["v"][0] if head else None
+def survey(spark: SparkSession, paths: str | Sequence[str], validate: bool = False, glob: str | None = None,
+           recursive: bool = False) -> DataFrame:
+    """One row per split: ``file, block, lines, first, head, bad``, in one pass that moves no text.
+
+    ``head`` is the first non-blank character; ``bad`` (with ``validate``) the
+    place of the first non-blank line that is not JSON.
+    """
+    reader = spark.read.option("recursiveFileLookup", recursive)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = reader.text([paths] if isinstance(paths, str) else list(paths)).select(*file_place(), "value")
+    char = F.regexp_extract("value", r"(\S)", 1)
+    wrong = (char != "") & ~strict_json(F.col("value")) if validate else F.lit(False)
+    return lines.groupBy("file", "block").agg(
+        F.count(F.lit(1)).alias("lines"), F.min("row").alias("first"),
+        F.min_by(F.when(char != "", char), F.when(char != "", F.col("row"))).alias("head"),
+        F.min(F.when(wrong, F.col("row"))).alias("bad"))
+
+
+def _heads(splits: DataFrame) -> dict[str, str]:
+    """First non-blank character of each file that has one (one row a file, like the file listing itself)."""
+    heads = splits.where("head is not null").groupBy("file").agg(F.min_by("head", "block").alias("head"))
+    return {unquote(r["file"]): r["head"] for r in heads.toLocalIterator()}
+
+
+def _bad_line(splits: DataFrame) -> tuple[str, int] | None:
+    """(file, 1-based number) of the first bad line: the lines of the splits before, and the place in its own."""
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = splits.withColumn("line", F.coalesce(F.sum("lines").over(before), F.lit(0)) + F.col("bad") - F.col("first") + 1)
+    bad = numbered.where("bad is not null").orderBy("file", "line").limit(1).collect()
+    return (unquote(bad[0]["file"]), int(bad[0]["line"])) if bad else None
 
 
 def first_bad_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
-    """(file, 1-based line number) of the first non-blank line that is not JSON, else None.
+    """(file, 1-based line number) of the first non-blank line that is not JSON, else None."""
+    return _bad_line(survey(spark, path, validate=True))
 
-    Lines are numbered exactly per file (file splits are read in order;
-    ``row_number_within`` turns split position + offset into line numbers).
-    """
-    from stepwise.operators.ordering import row_number_within
-    lines = (spark.read.text(path)
-             .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("pos"), "value"))
-    numbered = row_number_within(lines, ["file"], ["block", "pos"], "line")
-    bad = (numbered.where((F.length(F.trim("value")) > 0) & ~strict_json(F.col("value")))
-           .groupBy("file").agg(F.min("line").alias("line")).orderBy("file").limit(1).collect())
-    return (bad[0]["file"], int(bad[0]["line"])) if bad else None
+
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``(raw, position)`` of the non-blank lines of line files."""
+    lines = spark.read.text(list(paths)).select(*file_place(), F.col("value").alias("raw"))
+    return lines.where(F.length(F.trim("raw")) > 0).select("raw", position())
+
+
+def _records_of(spark: SparkSession, heads: dict[str, str]) -> DataFrame:
+    """``(raw, position)`` of all records; a file that starts with ``[`` is an array, any other holds lines."""
+    arrays, lines = ([f for f, h in sorted(heads.items()) if (h == "[") == kind] for kind in (True, False))
+    parts = [read(spark, files) for read, files in ((array_records, arrays), (_lines, lines)) if files]
+    if not parts:
+        return spark.createDataFrame([], f"raw string, position {POSITION}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _typed(spark: SparkSession, records: DataFrame, schema: StructType | None) -> DataFrame:
+    """Records parsed to columns, beside ``position``; a record that does not parse fails the job."""
+    if schema is None:
+        path = scratch_path(spark, "records-to-infer")
+        records.select("raw").write.text(path)
+        schema = spark.read.option("mode", "FAILFAST").json(path).schema
+    parsed = records.select(F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("_r"), "position")
+    return parsed.select("_r.*", "position")
 
 
 def read_json_records(spark: SparkSession, path: str, schema: StructType | None = None,
-                      validate: bool = False) -> DataFrame:
-    """A JSON array file or JSON lines, told apart by the first non-blank character.
+                      validate: bool = False, with_position: bool = False) -> DataFrame:
+    """JSON array files or JSON lines, told apart file by file by the first non-blank character.
 
     Malformed input fails the job (FAILFAST); blank lines are skipped.  With
-    ``validate`` a JSON-lines input is checked first and the error names the
-    file and line number of the first malformed line (one extra pass).
+    ``validate`` JSON-lines input is checked first and the error names the
+    file and line number of the first malformed line.  ``with_position`` adds
+    the place of each record in the files.
     """
-    reader = spark.read.option("mode", "FAILFAST")
-    if schema is not None:
-        reader = reader.schema(schema)
-    if _first_char(spark, path) == "[":
-        return reader.option("multiLine", True).json(path)
+    splits = written(survey(spark, path, validate), "survey")
+    heads = _heads(splits)
     if validate:
-        bad = first_bad_line(spark, path)
+        bad = _bad_line(splits.where(~F.col("file").isin([f for f, h in heads.items() if h == "["])))
         if bad:
             raise ValueError(f"Failed to parse line {bad[1]} in {bad[0]} as JSON")
-    return reader.json(path)
+    if "[" not in heads.values() and not with_position:
+        reader = spark.read.option("mode", "FAILFAST")
+        return (reader.schema(schema) if schema is not None else reader).json(path)
+    out = _typed(spark, _records_of(spark, heads), schema)
+    return out if with_position else out.drop("position")
 
 
 def raw_json_records(spark: SparkSession, path: str) -> DataFrame:
-    """Each record as raw JSON text (``raw``), keeping explicit nulls apart from absent keys.
+    """Each record as raw JSON text (``raw``), keeping explicit nulls apart from absent keys, with its ``position``.
 
     JSON lines: one record per non-blank line.  A JSON array file: its
-    elements.  A single object file: one record.
+    elements, read in many tasks; where it is no well-formed array, a record
+    that is no JSON, so that validation sees it.
     """
-    first = _first_char(spark, path)
-    if first == "[":
-        whole = spark.read.text(path, wholetext=True)
-        # an unparsable array stays one (invalid) record so validation sees it
-        return whole.select(F.explode(F.coalesce(F.from_json("value", "array<string>"),
-                                                 F.array(F.col("value")))).alias("raw"))
-    lines = spark.read.text(path).select(F.col("value").alias("raw")).where(F.length(F.trim("raw")) > 0)
-    return lines
+    return _records_of(spark, _heads(survey(spark, path)))
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """One record a file (an object spread over several lines)."""
+    return spark.read.text(path, wholetext=True).select(*file_place(), F.trim("value").alias("raw")).select("raw", position())
 
 
 def read_buffer(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Search buffer as raw records.
+    """Search buffer as raw records with their ``position``.
 
     Lenient (default): a missing, empty, non-object or corrupt buffer is an
     empty table.  Strict: a missing file or an unparsable record raises; an
     empty file is an empty table.
     """
-    empty = spark.createDataFrame([], RAW_SCHEMA)
+    empty = spark.createDataFrame([], f"raw string, position {POSITION}")
     if not _path_exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
         return empty
-    if _first_char(spark, path) is None:
+    heads = _heads(survey(spark, path))
+    if not heads:
         return empty
-    raw = raw_json_records(spark, path)
+    raw = _records_of(spark, heads)
     bad = raw.where(~strict_json(F.col("raw")) | F.json_object_keys("raw").isNull()).limit(1).count()
     if bad:
         # one object spread over several lines is a valid one-record buffer
-        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("raw"))
+        whole = _whole(spark, path)
         if whole.where(~strict_json(F.col("raw")) | F.json_object_keys("raw").isNull()).limit(1).count() == 0:
             return whole
         if strict:
@@ -121,7 +168,7 @@ def read_buffer(spark: SparkSession, path: str, strict: bool = False) -> DataFra
 
 def read_answer_records(spark: SparkSession, path: str, id_key: str = "id",
                         answer_key: str = "answer") -> DataFrame:
-    """Prediction or gold answers: objects only, id and answer as text.
+    """Prediction or gold answers: objects only, id and answer as text, with their ``position``.
 
     ``id`` stays null when the key is absent; ``answer`` is the scalar's
     JSON text (strings unquoted).
@@ -129,7 +176,7 @@ def read_answer_records(spark: SparkSession, path: str, id_key: str = "id",
     raw = raw_json_records(spark, path)
     if raw.where(~strict_json(F.col("raw"))).limit(1).count():
         # not JSON lines: either one object spread over several lines, or an error
-        whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("raw"))
+        whole = _whole(spark, path)
         # wrapped in brackets, anything after the first value (a second object,
         # trailing garbage) becomes a syntax error: strict whole-text parsing
         if whole.where(~strict_json(F.col("raw"))).limit(1).count() == 0:
@@ -140,42 +187,29 @@ def read_answer_records(spark: SparkSession, path: str, id_key: str = "id",
     obj = raw.where(F.json_object_keys("raw").isNotNull())   # non-object elements are dropped
     return obj.select(F.get_json_object("raw", f"$.{id_key}").alias("id_text"),
                       F.get_json_object("raw", f"$.{answer_key}").alias("answer"),
-                      F.col("raw"))
+                      F.col("raw"), F.col("position"))
 
 
-def read_record_dir(spark: SparkSession, path: str, class_pattern: str | None = None) -> DataFrame:
-    """Every ``.json`` / ``.jsonl`` file under a folder, concatenated.
+def read_record_dir(spark: SparkSession, path: str, class_pattern: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """Every ``.json`` / ``.jsonl`` file under a folder, concatenated in the order of their names.
 
-    ``source_file`` names the file of each row; with ``class_pattern`` (a
-    regex with one group over the file path) a ``source_class`` column is
-    derived from it.  Column sets may differ between files.
+    Each file's own first character says whether it is an array (pretty or
+    compact, read in many tasks) or JSON lines.  ``source_file`` names the file
+    of each row and ``position`` its place; with ``class_pattern`` (a regex
+    with one group over the file path) a ``source_class`` column is derived
+    from it.  Column sets may differ between files; with ``schema`` nothing is
+    read to find them.
     """
-    parts = []
-    base = spark.read.option("recursiveFileLookup", True)
-    for ext in ("*.jsonl", "*.json"):
-        try:
-            df = (base.option("pathGlobFilter", ext).option("mode", "PERMISSIVE")
-                  .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-        except Exception as e:  # noqa: BLE001 - no file of this kind
-            if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
-                continue
-            raise
-        if "_corrupt_record" in df.columns:
-            broken = df.select("_corrupt_record", F.col("_metadata.file_path").alias("_f")) \
-                       .where(F.col("_corrupt_record").isNotNull()).limit(1).count()
-            if broken and ext == "*.json":
-                # pretty-printed JSON arrays: parse each file as a whole
-                df = base.option("pathGlobFilter", ext).option("multiLine", True).option("mode", "FAILFAST").json(path)
-            elif broken:
-                raise ValueError(f"malformed JSON line under {path}")
-            else:
-                df = df.drop("_corrupt_record")
-        parts.append(df.withColumn("source_file", F.col("_metadata.file_path")))
-    if not parts:
+    splits = written(survey(spark, path, validate=True, glob="*.{json,jsonl}", recursive=True), "survey")
+    heads = _heads(splits)
+    if splits.isEmpty():
         raise ValueError(f"no .json/.jsonl files under {path}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+    arrays = [f for f, h in heads.items() if h == "["]
+    bad = _bad_line(splits.where(~F.col("file").isin(arrays)))
+    if bad:
+        raise ValueError(f"malformed JSON line {bad[1]} in {bad[0]}")
+    out = _typed(spark, _records_of(spark, heads), schema)
+    out = out.withColumn("source_file", F.col("position.file"))
     if class_pattern:
         out = out.withColumn("source_class", F.regexp_extract("source_file", class_pattern, 1))
     return out

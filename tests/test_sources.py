@@ -1,11 +1,17 @@
 """Record sources: array vs lines detection, bad-line numbers, lenient buffers, class folders."""
 
+import json
 import os
+import random
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from stepwise.operators.answers import keep_last
 from stepwise.sources import records as RS
+from stepwise.sources.arrays import array_records
 
 
 def _write(d, name, text):
@@ -76,3 +82,81 @@ def test_answer_records(spark):
     broken = _write(d, "c.jsonl", '{"id": 1}\n{"id": \n')
     with pytest.raises(ValueError, match="line 2"):
         RS.read_answer_records(spark, broken)
+
+
+def _odd(rng, i):
+    """Records whose texts hold brackets, quotes and escapes."""
+    return {"id": i, "q": rng.choice(["a}b", '{"x"', 'say "hi\\"', "[,]", "é😀", "back\\", "new\nline", ""]),
+            "n": {"k": [{"z": i}, [1, {"y": "}"}]]}, "s": [rng.choice(["}", "{", "]"])] * rng.randint(0, 3)}
+
+
+@pytest.mark.parametrize("layout", [dict(indent=2), dict(separators=(",", ":")), dict(indent=1, ensure_ascii=False)])
+def test_array_file_in_many_tasks(spark, layout):
+    rng = random.Random(1)
+    rows = [_odd(rng, i) for i in range(3000)]
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    path = _write(d, "big.json", " \n" + json.dumps(rows, **layout) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 * 1024))
+        records = array_records(spark, [path]).orderBy("position").collect()
+        assert len({r.position.block for r in records}) > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [json.loads(r.raw) for r in records] == rows
+
+
+def test_array_elements_that_are_no_objects(spark):
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    path = _write(d, "m.json", '[1, "a}b", {"a":1}, [2,{"b":3}], {"c":[{"d":1}]}, null, "x"]')
+    got = [json.loads(r.raw) for r in array_records(spark, [path]).orderBy("position").collect()]
+    assert got == [1, "a}b", {"a": 1}, [2, {"b": 3}], {"c": [{"d": 1}]}, None, "x"]
+    for text in ("[]", " [ \n] "):
+        assert array_records(spark, [_write(d, "e.json", text)]).collect() == []
+
+
+MALFORMED = ['[{"a":1}', '[{"a":1} {"b":2}]', '[{"a":1}] junk', '[{"a":1},', '[{"a":"x}', '[{"a":1},]', '[,{"a":1}]', '[{"a":1}]]',
+             '[1 2]', '[{"a":1}, [5']
+
+
+def test_malformed_arrays_are_seen(spark):
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    paths = [_write(d, f"bad{i}.json", text) for i, text in enumerate(MALFORMED)]
+    raw = RS.raw_json_records(spark, d)
+    bad = raw.where(~RS.strict_json(F.col("raw"))).select("position.file").distinct().collect()
+    assert {os.path.basename(r.file) for r in bad} == {os.path.basename(p) for p in paths}
+    assert RS.read_buffer(spark, paths[0]).count() == 0
+    with pytest.raises(ValueError):
+        RS.read_buffer(spark, paths[5], strict=True)
+    with pytest.raises(Exception, match="MALFORMED|parse"):
+        RS.read_json_records(spark, paths[2], schema=StructType([StructField("a", LongType())])).collect()
+
+
+def test_folder_of_mixed_layouts(spark):
+    rng = random.Random(2)
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    rows = {name: [_odd(rng, 100 * k + i) for i in range(50)] for k, name in enumerate(["a.json", "b c.json", "c.jsonl", "d.json"])}
+    _write(d, "a.json", json.dumps(rows["a.json"], indent=4))
+    _write(d, "b c.json", json.dumps(rows["b c.json"]))
+    _write(d, "c.jsonl", "\n\n".join(map(json.dumps, rows["c.jsonl"])))
+    _write(d, "d.json", "\n".join(map(json.dumps, rows["d.json"])))          # lines by content, whatever the suffix
+    _write(d, "notes.txt", "{not read")
+    df = RS.read_record_dir(spark, d, class_pattern=r"/([^/]+)\.jsonl?$")
+    got = df.orderBy("position").collect()
+    assert [r.id for r in got] == [r["id"] for name in sorted(rows) for r in rows[name]]
+    assert [r.q for r in got] == [r["q"] for name in sorted(rows) for r in rows[name]]
+    schema = StructType([StructField("id", LongType())])
+    assert RS.read_record_dir(spark, d, schema=schema).agg(F.sum("id")).first()[0] == sum(r["id"] for v in rows.values() for r in v)
+    _write(d, "e.jsonl", '{"id": 1}\n{"id": \n')
+    with pytest.raises(ValueError, match="line 2"):
+        RS.read_record_dir(spark, d)
+
+
+def test_last_in_file_wins_after_a_shuffle(spark):
+    d = tempfile.mkdtemp(prefix="stepwise-src-")
+    rows = [{"id": i % 7, "answer": str(i)} for i in range(500)]
+    for name, text in (("a.json", json.dumps(rows, indent=1)), ("a.jsonl", "\n".join(map(json.dumps, rows)))):
+        path = _write(d, name, text)
+        ans = RS.read_answer_records(spark, path).repartition(13, "answer")
+        got = {r.id_text: r.answer for r in keep_last(ans, "id_text").collect()}
+        assert got == {str(r["id"]): r["answer"] for r in rows}
