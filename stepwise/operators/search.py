@@ -9,7 +9,7 @@ explicit null from an absent key).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,54 +18,59 @@ from pyspark.sql import functions as F
 from stepwise.functions.answers import light_normalise, single_boxed
 from stepwise.operators import chains as C
 from stepwise.operators import votes as V
-from stepwise.session import ensure_checkpoint_dir
+from stepwise.session import ensure_checkpoint_dir, path_exists, scratch_path, written
 
-BUFFER_KEYS = ("id", "problem", "steps", "answer", "candidates")
+EVALUATIONS = "array<struct<candidate_idx: int, reward: double, analysis_labels: array<string>, analysis_outputs: array<string>>>"
+#: Fields of a buffer that jobs read, and their types.
+BUFFER_FIELDS = {"problem": "string", "steps": "array<string>", "answer": "string", "candidates": "array<string>",
+                 "candidate_evaluations": EVALUATIONS}
 
 
 def parse_buffer(raw: DataFrame, raw_col: str = "raw", id_type: str = "bigint") -> DataFrame:
     """Raw JSON sample -> typed columns plus ``has_<key>`` presence flags.
 
-    ``id`` is taken from the record unless the table already has that column.
+    ``id`` is taken from the record, as ``id_type``, unless the table already has that column.
     """
     keys = F.json_object_keys(F.col(raw_col))
     out = raw
     if "id" not in raw.columns:
         out = out.withColumn("id", F.get_json_object(raw_col, "$.id").cast(id_type))
-    for k in BUFFER_KEYS:
-        out = out.withColumn(f"has_{k}", F.coalesce(F.array_contains(keys, k), F.lit(False)))
-    return (out
-            .withColumn("problem", F.get_json_object(raw_col, "$.problem"))
-            .withColumn("answer", F.get_json_object(raw_col, "$.answer"))
-            .withColumn("steps", F.from_json(F.get_json_object(raw_col, "$.steps"), "array<string>"))
-            .withColumn("candidates", F.from_json(F.get_json_object(raw_col, "$.candidates"), "array<string>")))
+    out = out.withColumns({f"has_{k}": F.coalesce(F.array_contains(keys, k), F.lit(False)) for k in ("id", *BUFFER_FIELDS)})
+    value = lambda k: F.get_json_object(raw_col, f"$.{k}")
+    return out.withColumns({k: value(k) if t == "string" else F.from_json(value(k), t) for k, t in BUFFER_FIELDS.items()})
+
+
+def _side(buffer: DataFrame, side: str) -> DataFrame:
+    """A buffer's rows with their order, their fields and what is present, in one shape for both sides."""
+    have = set(buffer.columns)
+    order = F.col("position") if "position" in have else F.struct(
+        F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("item"))
+    fields = [(F.col(k) if k in have else F.lit(None)).cast(t).alias(k) for k, t in BUFFER_FIELDS.items()]
+    present = [(F.coalesce(F.col(f"has_{k}"), F.lit(False)) if f"has_{k}" in have else F.lit(False)).alias(f"has_{k}") for k in BUFFER_FIELDS]
+    return buffer.select("id", F.lit(side).alias("side"), order.alias("at"), F.struct(*fields, *present).alias("row"))
 
 
 def merge_buffers(gen: DataFrame, disc: DataFrame) -> DataFrame:
-    """Full-outer merge of parsed buffers with per-field precedence.
+    """Merge of parsed buffers: the last row of an id on either side, then per-field precedence.
 
     ``problem`` and ``steps`` come from the generator when it has the key,
     else from the discriminator; ``answer`` from whichever has the key,
-    generator first; everything else (candidates) from the discriminator.
+    generator first; candidates and their evaluations from the discriminator.
+    One aggregate with map-side combine takes the last row of both sides;
+    a row's order is its ``position`` in the files, if it has one.
     """
-    g = gen.select(F.col("id"), *[F.col(c).alias(f"g_{c}") for c in
-                                  ("problem", "steps", "answer", "has_problem", "has_steps", "has_answer")],
-                   F.lit(True).alias("_ing"))
-    d = disc.select(F.col("id"), *[F.col(c).alias(f"d_{c}") for c in
-                                   ("problem", "steps", "answer", "candidates", "has_problem", "has_steps",
-                                    "has_answer", "has_candidates")], F.lit(True).alias("_ind"))
-    j = g.join(d, "id", "full_outer")
-    gh = lambda k: F.coalesce(F.col(f"g_has_{k}"), F.lit(False))
-    dh = lambda k: F.coalesce(F.col(f"d_has_{k}"), F.lit(False))
-    return j.select(
-        "id",
-        F.when(gh("problem"), F.col("g_problem")).otherwise(F.col("d_problem")).alias("problem"),
-        F.when(gh("steps"), F.col("g_steps")).when(dh("steps"), F.col("d_steps"))
-         .otherwise(F.array().cast("array<string>")).alias("steps"),
-        (gh("answer") | dh("answer")).alias("has_answer"),
-        F.when(gh("answer"), F.col("g_answer")).when(dh("answer"), F.col("d_answer")).alias("answer"),
-        F.when(dh("candidates"), F.col("d_candidates")).alias("candidates"),
-        dh("candidates").alias("has_candidates"))
+    both = _side(gen, "g").unionByName(_side(disc, "d"))
+    last = lambda side: F.max_by(F.when(F.col("side") == side, F.col("row")), F.when(F.col("side") == side, F.col("at")))
+    one = both.groupBy("id").agg(last("g").alias("g"), last("d").alias("d"))
+    has = lambda side, k: F.coalesce(F.col(f"{side}.has_{k}"), F.lit(False))
+    first = lambda k: F.when(has("g", k), F.col(f"g.{k}")).when(has("d", k), F.col(f"d.{k}"))
+    own = lambda k: F.when(has("d", k), F.col(f"d.{k}")).alias(k)
+    return one.select(
+        "id", first("problem").alias("problem"),
+        F.when(has("g", "steps") | has("d", "steps"), first("steps")).otherwise(F.array().cast("array<string>")).alias("steps"),
+        (has("g", "answer") | has("d", "answer")).alias("has_answer"), first("answer").alias("answer"),
+        own("candidates"), has("d", "candidates").alias("has_candidates"),
+        own("candidate_evaluations"), has("d", "candidate_evaluations").alias("has_candidate_evaluations"))
 
 
 def pending(merged: DataFrame) -> DataFrame:
@@ -102,13 +107,27 @@ def init_buffer(problems: DataFrame, id_col: str = "id", problem_col: str = "pro
                            F.lit(False).alias("has_answer"), F.lit(None).cast("string").alias("answer"))
 
 
-def init_or_resume(spark: SparkSession, buffer_path: str, problems: DataFrame) -> DataFrame:
-    """Resume from a non-empty buffer file, else start every problem afresh."""
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error if it has no row."""
+    if df.isEmpty():
+        raise ValueError(f"{what}: no rows")
+    return df
+
+
+def init_or_resume(spark: SparkSession, buffer_path: str, problems: DataFrame, id_col: str = "id",
+                   problem_col: str = "problem") -> DataFrame:
+    """Resume from a non-empty buffer file, else start every problem afresh; one schema either way.
+
+    Ids of the file are read as the type they have in ``problems``; the last
+    row of an id counts.  Without a buffer, ``problems`` must have rows.
+    """
     from stepwise.sources.records import read_buffer
+    fresh = init_buffer(problems, id_col, problem_col)
     existing = read_buffer(spark, buffer_path)
-    if not existing.isEmpty():
-        return parse_buffer(existing)
-    return init_buffer(problems)
+    if existing.isEmpty():
+        return require_rows(fresh, "problems to search")
+    held = parse_buffer(existing, id_type=_id_type(fresh, "id"))
+    return merge_buffers(held, held.where("false")).select(*fresh.columns)
 
 
 # Exit codes of the progress check: stop, continue, unreadable buffer.
@@ -121,7 +140,7 @@ def check_progress(spark: SparkSession, buffer_path: str) -> tuple[int, int, int
     missing or not a list/dict of objects.  One small aggregate."""
     from stepwise.sources.records import read_buffer
     try:
-        buf = parse_buffer(read_buffer(spark, buffer_path, strict=True))
+        buf = parse_buffer(read_buffer(spark, buffer_path, strict=True), id_type="string")
     except (FileNotFoundError, ValueError):
         return CHECK_INVALID, 0, 0
     row = progress(buf).collect()
@@ -185,19 +204,22 @@ GeneratorFn = Callable[[pd.DataFrame], pd.Series]   # prompts frame -> list of c
 ScorerFn = Callable[[pd.Series], pd.Series]         # prompt series -> list of generation texts per row
 
 
-def generate_candidates(pending_samples: DataFrame, generator: GeneratorFn) -> DataFrame:
+def generate_candidates(pending_samples: DataFrame, generator: GeneratorFn, carry: Sequence[str] = ()) -> DataFrame:
     """Run a generator over pending samples; candidates are stripped, empties dropped.
 
-    The id, problem, steps and rendered prompt cross into Python.  A generator
+    The id, problem, steps and rendered prompt cross into Python, and the
+    columns ``carry`` among them come back beside the candidates.  A generator
     may be random, so write the result once before using it twice.
     """
     prompts = C.render_policy_prompt(pending_samples).select("id", "problem", "steps", "prompt")
+    names = ["id", *carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "candidates": generator(pdf)})
+            yield pdf[names].assign(candidates=generator(pdf))
 
-    out = prompts.mapInPandas(run, f"id {_id_type(pending_samples, 'id')}, candidates array<string>")
+    types = ", ".join(f"{c} {_id_type(prompts, c)}" for c in names)
+    out = prompts.mapInPandas(run, f"{types}, candidates array<string>")
     return C.clean_candidates(out)
 
 
@@ -236,30 +258,58 @@ def resume_state(problems: DataFrame, gen: DataFrame | None = None, disc: DataFr
     return state.join(held.select("id"), "id", "left_anti").unionByName(held.select(*state.columns))
 
 
+def state_of(start: DataFrame, log: DataFrame | None) -> DataFrame:
+    """Search state as a view: the start, and what the step log says since.
+
+    ``log`` has ``id, round, step, answer``: chosen steps in the order of
+    their rounds; the answer of the last round that found one counts.
+    """
+    if log is None:
+        return start
+    since = log.groupBy("id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("round", "step"))), lambda s: s["step"]).alias("_steps"),  # at most one a round
+        F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("round"))).alias("_answer"))
+    none = F.array().cast("array<string>")
+    return (start.join(since, "id", "left")
+            .withColumn("steps", F.concat(F.coalesce("steps", none), F.coalesce("_steps", none)))
+            .withColumn("answer", F.coalesce("_answer", "answer"))
+            .withColumn("has_answer", F.col("has_answer") | F.col("_answer").isNotNull())
+            .drop("_steps", "_answer"))
+
+
 def search_loop(spark: SparkSession, problems: DataFrame, generator: GeneratorFn, scorer: ScorerFn,
-                max_rounds: int = 30, gen: DataFrame | None = None, disc: DataFrame | None = None) -> DataFrame:
+                max_rounds: int = 30, gen: DataFrame | None = None, disc: DataFrame | None = None,
+                log_path: str | None = None) -> DataFrame:
     """Greedy best-of-N: generate -> score -> select -> check, until all answered.
 
-    Starts afresh or from parsed buffers (``gen``, ``disc``).  Each round
-    works on the pending samples only; answered rows are frozen.  Candidates
-    and their rewards are written once a round, so that what is selected has
-    been scored even if the generator is random.  The state is checkpointed to
-    the shared checkpoint folder after every round so lineage stays one round
-    deep and lost executors recompute from the last checkpoint.  Samples left
-    at the round limit have ``has_answer`` false.
+    Starts afresh or from parsed buffers (``gen``, ``disc``).  The state is an
+    append-only step log: a round writes the chosen step (and answer) of the
+    samples pending in it under ``log_path/round=k`` and touches no other
+    row, so a run costs as much as its steps, however many samples are done;
+    the state itself is a view over the start and the log.  A round that is
+    on the log is not run again, so a broken run goes on with its last round
+    when it is started again with the same ``log_path``.  Candidates and their
+    rewards are written once a round, so that what is selected has been scored
+    even if the generator is random.  Samples left at the round limit have
+    ``has_answer`` false; no sample at all is an error.
     """
     ensure_checkpoint_dir(spark)
-    state = resume_state(problems, gen, disc).checkpoint()
-    for _ in range(max_rounds):
-        todo = pending(state)
-        if todo.isEmpty():
-            break
-        work = todo.join(generate_candidates(todo, generator), "id").checkpoint()
-        # generations stay an array per candidate: voting is a narrow projection
-        results = V.vote_counted_wide(score_candidates(work, scorer, wide=True)).checkpoint()
-        best = best_candidates(results, work.select("id", "candidates"))
-        state = apply_selection(state, best).checkpoint()
-    return state
+    start = require_rows(written(resume_state(problems, gen, disc), "search-start"), "samples to search")
+    log_path = log_path or scratch_path(spark, "search-log")
+    schema = f"id {_id_type(start, 'id')}, step string, answer string, round int"
+    log = None
+    for k in range(max_rounds):
+        part = f"{log_path}/round={k}"
+        if not path_exists(spark, f"{part}/_SUCCESS"):
+            work = generate_candidates(pending(state_of(start, log)), generator, ("problem", "steps")).checkpoint()
+            if work.isEmpty():
+                break
+            # generations stay an array per candidate: voting is a narrow projection
+            results = V.vote_counted_wide(score_candidates(work, scorer, wide=True)).checkpoint()
+            best = best_candidates(results, work.select("id", "candidates"))
+            best.select("id", F.col("best_candidate").alias("step"), "answer").write.mode("overwrite").parquet(part)
+        log = spark.read.schema(schema).parquet(log_path)
+    return state_of(start, log)
 
 
 def stub_generator(pdf: pd.DataFrame) -> pd.Series:

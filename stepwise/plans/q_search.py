@@ -11,6 +11,8 @@ from stepwise.operators import search as S
 from stepwise.operators.answers import gold_answer_map
 from stepwise.plans.fixtures import fixture, with_fixtures
 from stepwise.plans.registry import register, rounded
+from stepwise.session import scratch_path
+from stepwise.sources.records import read_buffer
 
 
 def _buffers(spark, sf):
@@ -51,6 +53,40 @@ def q_buffer_merge(spark, sf):
                     F.when(F.col("has_candidates"), F.size("candidates")).alias("n_candidates"))
 
 
+# ids repeat in both buffers, in the order of the file; some discriminator rows carry evaluations
+_REPEATED = """
+, r as (select side, id as ord, id % 1000 as id,
+               case when side = 'd' and id % 2 = 0 then concat(left(raw, length(raw) - 1),
+                    ',"candidate_evaluations":[{"candidate_idx":0,"reward":', cast(id % 5 as varchar), '.5,"analysis_labels":["Yes"],"analysis_outputs":[]}]}')
+                    else raw end as raw
+        from f_buffer),
+l as (select * from r qualify row_number() over (partition by side, id order by ord desc) = 1),
+"""
+
+
+@register("buffer_merge_repeats", with_fixtures(_REPEATED + _PARSED.lstrip().removeprefix(",").replace("f_buffer", "l").replace(
+    "end as n_candidates", f"""end as n_candidates,
+        case when {_has('draw', 'candidate_evaluations')} then json_extract_string(draw, '$.candidate_evaluations[0].reward')::double end as first_reward""")
+    + "select * from m", "f_buffer"))
+def q_buffer_merge_repeats(spark, sf):
+    """Buffers whose ids repeat, read from files: the last row of a side counts, evaluations stay."""
+    fb = fixture(spark, sf, "f_buffer")
+    more = F.concat(F.lit(',"candidate_evaluations":[{"candidate_idx":0,"reward":'), (F.col("id") % 5).cast("string"),
+                    F.lit('.5,"analysis_labels":["Yes"],"analysis_outputs":[]}]}'))
+    with_more = (F.col("side") == "d") & (F.col("id") % 2 == 0)
+    rows = fb.withColumn("raw", F.when(with_more, F.concat(F.expr("left(raw, length(raw) - 1)"), more)).otherwise(F.col("raw")))
+    rows = rows.withColumn("raw", F.regexp_replace("raw", r'"id":\d+', F.concat(F.lit('"id":'), (F.col("id") % 1000).cast("string"))))
+    sides = []
+    for side in ("g", "d"):
+        path = scratch_path(spark, f"buffer-{side}")
+        rows.where(F.col("side") == side).orderBy("id").select("raw").write.text(path)
+        sides.append(S.parse_buffer(read_buffer(spark, path)))
+    m = S.merge_buffers(*sides)
+    return m.select("id", "problem", F.size("steps").alias("n_steps"), "has_answer", "answer",
+                    F.when(F.col("has_candidates"), F.size("candidates")).alias("n_candidates"),
+                    F.get("candidate_evaluations", F.lit(0))["reward"].alias("first_reward"))
+
+
 @register("search_pending", with_fixtures(_PARSED + "select id, problem, n_steps from m where not has_answer", "f_buffer"))
 def q_search_pending(spark, sf):
     return S.pending(_merged(spark, sf)).select("id", "problem", F.size("steps").alias("n_steps"))

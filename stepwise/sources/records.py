@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stepwise.session import scratch_path, written
+from stepwise.session import path_exists, scratch_path, written
 from stepwise.sources.arrays import POSITION, array_records, file_place, position
 
 
@@ -31,13 +31,6 @@ def strict_json(c) -> "F.Column":
     return F.coalesce(F.try_parse_json(wrapped).isNotNull() & (F.json_array_length(wrapped) == 1), F.lit(False))
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jpath)
-
-
 def survey(spark: SparkSession, paths: str | Sequence[str], validate: bool = False, glob: str | None = None,
            recursive: bool = False) -> DataFrame:
     """One row per split: ``file, block, lines, first, head, bad``, in one pass that moves no text.
@@ -146,7 +139,7 @@ def read_buffer(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     empty file is an empty table.
     """
     empty = spark.createDataFrame([], f"raw string, position {POSITION}")
-    if not _path_exists(spark, path):
+    if not path_exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
         return empty

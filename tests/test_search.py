@@ -118,3 +118,61 @@ def test_search_loop_resumes_from_buffers(spark):
     assert sorted(out) == [0, 1, 2, 3] and all(r["has_answer"] for r in out.values())
     assert out[0]["steps"][:2] == ["a", "b"] and len(out[0]["steps"]) == 3 and len(out[3]["steps"]) == 3
     assert out[1]["answer"] == "5" and out[1]["steps"] == ["x"] and out[2]["answer"] == "6"
+
+
+def test_merge_takes_the_last_row_of_an_id(spark, tmp_path):
+    """2 x 2 rows of one id are one sample; evaluations survive; string and missing ids pass."""
+    from stepwise.sources.records import read_buffer
+    ev = '[{"candidate_idx":1,"reward":0.5,"analysis_labels":["Yes","No"],"analysis_outputs":["a","b"]}]'
+    (tmp_path / "g.jsonl").write_text('{"id":"m-1","problem":"old","answer":"1"}\n{"id":"m-2","problem":"P2"}\n{"problem":"no id"}\n'
+                                      '{"id":"m-1","problem":"new","steps":["s"]}\n')
+    (tmp_path / "d.json").write_text('[{"id":"m-1","problem":"D1","candidates":["x"]},\n {"id":"m-1","candidates":["y","z"],'
+                                     f'"candidate_evaluations":{ev}}}]')
+    g, d = (S.parse_buffer(read_buffer(spark, str(tmp_path / f)), id_type="string").repartition(5, "problem") for f in ("g.jsonl", "d.json"))
+    m = {r["id"]: r for r in S.merge_buffers(g, d).collect()}
+    assert set(m) == {"m-1", "m-2", None} and m[None]["problem"] == "no id"
+    one = m["m-1"]
+    assert one["problem"] == "new" and one["steps"] == ["s"] and not one["has_answer"] and one["answer"] is None
+    assert one["candidates"] == ["y", "z"] and one["has_candidate_evaluations"]
+    assert one["candidate_evaluations"][0].asDict() == {"candidate_idx": 1, "reward": 0.5, "analysis_labels": ["Yes", "No"],
+                                                        "analysis_outputs": ["a", "b"]}
+    assert not m["m-2"]["has_candidate_evaluations"] and m["m-2"]["steps"] == []
+
+
+def test_resume_keeps_id_type_and_schema(spark, tmp_path):
+    import pytest
+    problems = spark.createDataFrame([("gsm8k-0", "p0"), ("gsm8k-1", "p1")], "id string, problem string")
+    fresh = S.init_or_resume(spark, str(tmp_path / "none.json"), problems)
+    (tmp_path / "gen.json").write_text('[{"id":"gsm8k-0","problem":"p0","steps":[]},\n{"id":"gsm8k-0","problem":"p0","steps":["s"],"answer":"3"}]')
+    held = S.init_or_resume(spark, str(tmp_path / "gen.json"), problems)
+    assert [(f.name, f.dataType) for f in held.schema] == [(f.name, f.dataType) for f in fresh.schema]
+    assert [tuple(r) for r in held.collect()] == [("gsm8k-0", "p0", ["s"], True, "3")]
+    with pytest.raises(ValueError, match="no rows"):
+        S.init_or_resume(spark, str(tmp_path / "none.json"), problems.where("false"))
+    with pytest.raises(ValueError, match="no rows"):
+        S.search_loop(spark, problems.where("false"), S.stub_generator, S.stub_scorer)
+
+
+def test_step_log_holds_pending_rows_only(spark, tmp_path):
+    """Each round writes the samples pending in it; a run goes on from its log."""
+    import pandas as pd
+    problems = spark.createDataFrame([(i, f"problem {i}") for i in range(6)], "id long, problem string")
+
+    def generator(pdf):
+        # sample i offers its answer in round i // 2
+        return pd.Series([[f"step {len(s)}"] + ([f"\\boxed{{{i}}}"] if len(s) >= i // 2 else []) for i, s in zip(pdf["id"], pdf["steps"])])
+
+    log = str(tmp_path / "log")
+    half = S.search_loop(spark, problems, generator, S.stub_scorer, max_rounds=2, log_path=log)
+    assert half.where("has_answer").count() == 4
+
+    def counted(pdf):
+        (tmp_path / f"call-{pd.Timestamp.now().value}").touch()
+        assert all(len(s) == 2 for s in pdf["steps"])
+        return generator(pdf)
+
+    out = {r["id"]: r for r in S.search_loop(spark, problems, counted, S.stub_scorer, log_path=log).collect()}
+    rounds = {k: sorted(r["id"] for r in spark.read.parquet(f"{log}/round={k}").collect()) for k in range(3)}
+    assert rounds == {0: [0, 1, 2, 3, 4, 5], 1: [2, 3, 4, 5], 2: [4, 5]}
+    assert not (tmp_path / "log" / "round=3").exists()
+    assert all(out[i]["answer"] == str(i) and len(out[i]["steps"]) == i // 2 + 1 for i in range(6))
