@@ -2,23 +2,17 @@
 
 Plan shape: keep-last dedup of each side (hash aggregate on id with partial
 aggregation), one full-outer join on id, narrow projections for parsing.
-The symbolic fallback (a Python expression evaluator) only sees the
-*distinct* answers the native parser could not resolve.
+Numbers and, for what is no plain number, arithmetic expressions are parsed
+by Spark expressions; no Python stands in the plan.
 """
 
 from __future__ import annotations
 
-import ast
-import math
-import operator
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from stepwise.functions import answers as A
+from stepwise.functions.expressions import expression_value
 from stepwise.functions.text import py_strip
 
 # Status names and reasons of the comparison records.
@@ -58,86 +52,18 @@ def keep_last(df: DataFrame, key: str, order_col: str | None = None) -> DataFram
     return agg.select(key, *[F.col("_r")[c].alias(c) for c in cols])
 
 
-# --------------------------------------------------------------------------
-# Symbolic fallback (caller-side Python, Arrow batches, distinct inputs only)
-# --------------------------------------------------------------------------
-
-_ALLOWED_NAMES = {"pi", "e", "sqrt"}
-def _float_pow(a, b):
-    # floating-point power: bounded time for any operands (9**9**9**9 overflows
-    # instead of building a huge integer); overflow / complex results raise
-    return math.pow(float(a), float(b))
-
-
-_BINOPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul,
-           ast.Div: operator.truediv, ast.Pow: _float_pow, ast.Mod: operator.mod}
-_UNOPS = {ast.UAdd: operator.pos, ast.USub: operator.neg}
-
-
-def _eval_node(node):
-    if isinstance(node, ast.Expression):
-        return _eval_node(node.body)
-    if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return node.value
-    if isinstance(node, ast.BinOp) and type(node.op) in _BINOPS:
-        return _BINOPS[type(node.op)](_eval_node(node.left), _eval_node(node.right))
-    if isinstance(node, ast.UnaryOp) and type(node.op) in _UNOPS:
-        return _UNOPS[type(node.op)](_eval_node(node.operand))
-    if isinstance(node, ast.Name) and node.id == "pi":
-        return math.pi
-    if (isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "sqrt"
-            and len(node.args) == 1 and not node.keywords):
-        v = _eval_node(node.args[0])
-        if v < 0:
-            raise ValueError("complex")
-        return math.sqrt(v)
-    # any other name (notably a lone 'e') is a free symbol: no value
-    raise ValueError("unsupported")
-
-
-def expression_value(s: str | None) -> float | None:
-    """Value of an arithmetic answer such as ``2*sqrt(2)`` or ``3^2``.
-
-    Only digits, operators, parentheses, ``pi`` and ``sqrt`` are accepted;
-    other letters, free symbols, complex or non-finite results give None.
-    Input is the wrapper-stripped, fraction-rewritten answer.
-    """
-    if s is None:
-        return None
-    s = s.replace("^", "**")
-    if re.search(r"[a-zA-Z]", s) and any(t not in _ALLOWED_NAMES for t in re.findall(r"[a-zA-Z_]+", s)):
-        return None
-    try:
-        v = float(_eval_node(ast.parse(s.strip(), mode="eval")))
-    except Exception:  # noqa: BLE001 - any failure means "not a number"
-        return None
-    return v if math.isfinite(v) else None
-
-
-@F.pandas_udf(DoubleType())
-def expression_value_udf(s: pd.Series) -> pd.Series:
-    """Arrow batches; each distinct string of a batch is evaluated once, nulls skip."""
-    todo = s.dropna().unique()
-    if len(todo) == 0:
-        return pd.Series([None] * len(s), dtype="float64")
-    values = {x: expression_value(x) for x in todo}
-    return s.map(lambda x: values.get(x) if x is not None else None).astype("float64")
-
-
 def resolve_answers(df: DataFrame, src: str, prefix: str, fallback: bool = True) -> DataFrame:
     """Add ``{prefix}_norm`` (wrapper-stripped text) and ``{prefix}_value`` (number or null).
 
-    The answer is normalised once; the value comes from the native parser
-    and, for answers it leaves open, from the symbolic fallback.  The
-    fallback's input is null for every row the native parser resolved, so
-    only the unresolved strings are evaluated in Python.
+    The answer is normalised once; the value comes from the number parser
+    and, only for answers it leaves open, from the expression evaluator.
     """
     norm, val, frac = f"{prefix}_norm", f"{prefix}_value", f"_{prefix}_frac"
     df = A.strip_wrappers_steps(df, src, norm)
     df = A.number_from_normalised(df, norm, val, src, frac_col=frac)
     if fallback:
         open_ = F.col(val).isNull() & (F.length(py_strip(F.col(src).cast("string"))) > 0)
-        df = df.withColumn(val, F.coalesce(F.col(val), expression_value_udf(F.when(open_, F.col(frac)))))
+        df = df.withColumn(val, F.when(open_, expression_value(F.col(frac))).otherwise(F.col(val)))
     return df.drop(frac)
 
 
@@ -148,11 +74,11 @@ def answer_values(df: DataFrame, src: str, dst: str, fallback: bool = True) -> D
 
 
 def unresolved_expression_values(answers: DataFrame, col: str = "answer") -> DataFrame:
-    """Distinct answers the native parser leaves open, with the fallback value."""
+    """Distinct answers that are no plain numbers, with the value of the expression (null: none)."""
     df = A.simple_number_steps(answers.select(col), col, "_v")
     df = A.strip_wrappers_steps(df.where(F.col("_v").isNull() & (F.length(py_strip(F.col(col))) > 0)), col, "expr")
     df = df.select(A.fractions_to_plain(F.col("expr")).alias("expr")).distinct()
-    return df.select("expr", expression_value_udf(F.col("expr")).alias("value"))
+    return df.select("expr", expression_value(F.col("expr")).alias("value"))
 
 
 # --------------------------------------------------------------------------

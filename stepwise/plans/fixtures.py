@@ -85,6 +85,26 @@ select 'g', o_orderkey,
 from {orders} where o_orderkey % 7 <> 0 or o_orderkey % 10 = 0
 """
 
+# answers that are arithmetic expressions, an equivalent notation, the text left after normalising, and the value
+FIXTURE_SQL["f_expr"] = """
+select id, k,
+       case k when 0 then concat(a, '*sqrt(', b, ')') when 1 then concat('$', a, '^2$') when 2 then concat('pi/', d)
+              when 3 then concat('(', a, '+', b, ')/(', c, '-2)') when 4 then concat('-', a, '**2+', b) when 5 then concat('2^-', c, '^2')
+              when 6 then concat(chr(92), 'frac{{', chr(92), 'frac{{', a, '}}{{', d, '}}}}{{', d, '}}') else concat(a, 'x+', b) end as answer,
+       case k when 0 then concat('sqrt( ', b, ' ) * ', a) when 1 then concat(a, ' * ', a) when 2 then concat('2*pi/(', d, '+', d, ')')
+              when 3 then concat('(', b, '--', a, ')/-(2-', c, ')') when 4 then concat(b, '-', a, '*', a) when 5 then concat('1/2^(', c, '*', c, ')')
+              when 6 then concat(a, '/', d, '/', d) else concat(a, 'x+', b) end as same,
+       case k when 0 then concat(a, '*sqrt(', b, ')') when 1 then concat(a, '^2') when 2 then concat('pi/', d)
+              when 3 then concat('(', a, '+', b, ')/(', c, '-2)') when 4 then concat('-', a, '**2+', b) when 5 then concat('2^-', c, '^2')
+              when 6 then concat('((', a, ')/(', d, '))/(', d, ')') else concat(a, 'x+', b) end as expr,
+       case k when 0 then na * sqrt(cast(nb as double)) when 1 then cast(na * na as double) when 2 then pi() / nd
+              when 3 then case when nc <> 2 then cast(na + nb as double) / (nc - 2) end when 4 then cast(nb - na * na as double)
+              when 5 then power(cast(2 as double), -nc * nc) when 6 then cast(na as double) / nd / nd end as value
+from (select id, k, na, nb, nc, nd, cast(na as string) as a, cast(nb as string) as b, cast(nc as string) as c, cast(nd as string) as d
+      from (select o_orderkey as id, o_orderkey % 8 as k, o_custkey % 20 as na, o_custkey % 7 as nb, o_custkey % 3 as nc, o_custkey % 9 + 1 as nd
+            from {orders}) n) t
+"""
+
 # generator (side = 'g') and discriminator (side = 'd') as raw JSON; answer may be absent, null or set
 FIXTURE_SQL["f_buffer"] = """
 select 'g' as side, o_orderkey as id,

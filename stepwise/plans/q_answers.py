@@ -94,11 +94,28 @@ def q_gt_answer_map(spark, sf):
     return AN.gold_answer_map(g)
 
 
-@register("answer_expr_values")
+@register("answer_expr_values", with_fixtures(f"""
+select expr, round(value, 6) as value from (select distinct expr, value from f_expr) x
+union all
+select distinct {A.strip_wrappers_sql('answer')}, cast(null as double) from f_answer
+where not {_blank_sql('answer')} and {A.simple_number_sql('answer')} is null
+""", "f_answer", "f_expr"))
 def q_answer_expr_values(spark, sf):
-    """Symbolic fallback over the distinct answers the native parser leaves open."""
-    fa = fixture(spark, sf, "f_answer")
-    return AN.unresolved_expression_values(fa.where(F.col("answer").isNotNull()))
+    """Distinct answers that are no plain numbers, with their value as expressions."""
+    texts = fixture(spark, sf, "f_answer").select("answer").unionByName(fixture(spark, sf, "f_expr").select("answer"))
+    return rounded(AN.unresolved_expression_values(texts.where(F.col("answer").isNotNull())))
+
+
+@register("answer_expr_records", with_fixtures("""
+select id, 'compared' as status, k = 7 or value is not null as match,
+       round(case when k <> 7 then value end, 6) as pred_value, round(case when k <> 7 then value end, 6) as gt_value
+from f_expr
+""", "f_expr"))
+def q_answer_expr_records(spark, sf):
+    """Expressions compared with an equivalent notation; where there is no value, their texts are."""
+    fe = fixture(spark, sf, "f_expr")
+    out = AN.compare_answers(fe.select("id", "answer"), fe.select("id", F.col("same").alias("answer")))
+    return rounded(out.select("id", "status", "match", "pred_value", "gt_value"))
 
 
 _LI_ORDER = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",

@@ -1,11 +1,15 @@
 """Answer parsing, tolerant comparison, boxed extraction, symbolic fallback."""
 
+import ast
 import math
+import operator
+import random
 
 from pyspark.sql import functions as F
 
 from stepwise.functions import answers as A
-from stepwise.operators.answers import compare_answers, expression_value
+from stepwise.functions.expressions import expression_value
+from stepwise.operators.answers import compare_answers
 
 
 def _values(spark, texts):
@@ -40,15 +44,72 @@ def test_wrappers_and_numbers(spark):
     assert math.isclose(got["$\\frac{1}{2}$%"][1], 0.005)
 
 
-def test_expression_fallback():
-    assert expression_value("3**2") == 9.0
-    assert expression_value("2*sqrt(4)") == 4.0
-    assert math.isclose(expression_value("pi"), math.pi)
-    assert expression_value("e") is None          # a free symbol
-    assert expression_value("x+1") is None        # other letters
-    assert expression_value("1/0") is None
-    assert expression_value("sqrt(-1)") is None
-    assert expression_value("10**400") is None    # not finite
+_OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod,
+        ast.Pow: lambda a, b: math.pow(float(a), float(b)), ast.UAdd: operator.pos, ast.USub: operator.neg}
+
+
+def _node(n):
+    if isinstance(n, ast.Constant) and type(n.value) in (int, float):
+        return n.value
+    if isinstance(n, ast.BinOp):
+        return _OPS[type(n.op)](_node(n.left), _node(n.right))
+    if isinstance(n, ast.UnaryOp):
+        return _OPS[type(n.op)](_node(n.operand))
+    if isinstance(n, ast.Name) and n.id == "pi":
+        return math.pi
+    if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "sqrt" and len(n.args) == 1:
+        return math.sqrt(_node(n.args[0]))
+    raise ValueError
+
+
+def _by_python(s):
+    """The same grammar through Python's own parser."""
+    try:
+        v = float(_node(ast.parse(s.replace("^", "**").strip(), mode="eval").body))
+    except Exception:
+        return None
+    return v if math.isfinite(v) else None
+
+
+def _evaluated(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    return {r["a"]: r["v"] for r in df.select("a", expression_value(F.col("a")).alias("v")).collect()}
+
+
+def test_expression_values(spark):
+    want = {"3**2": 9.0, "2*sqrt(4)": 4.0, "pi": math.pi, "2^10": 1024.0, "-2**2": -4.0, "2**3**2": 512.0, "2**-1": 0.5, "7%-3": -2.0,
+            "-7%3": 2.0, "((2))": 2.0, "+-+3": -3.0, "2 ** 3": 8.0, ".5+1e-2": 0.51, "3.": 3.0, "2--3": 5.0}
+    none = ["e", "x+1", "1/0", "sqrt(-1)", "10**400", "1e400", "", "()", "2(3)", "1 2", "* 2", "sqrt 4", "sqrt()", "sqrt(4", "4)", "007+1", "2e",
+            "pi pi", "1//2", "0**-1", "(-8)**(1/3)", "9**9**9**9", "2*", None]
+    got = _evaluated(spark, [*want, *none])
+    assert all(got[k] is None for k in none)
+    assert all(math.isclose(got[k], v) for k, v in want.items())
+
+
+def test_expressions_equal_pythons_parser(spark):
+    rng = random.Random(4)
+
+    def expr(depth):
+        k = rng.random()
+        if depth == 0 or k < 0.25:
+            return rng.choice([str(rng.randint(0, 12)), f"{rng.randint(0, 99) / 10}", "pi", ".5", "1e-2", "3."])
+        if k < 0.4:
+            return f"({expr(depth - 1)})"
+        if k < 0.5:
+            return f"sqrt({expr(depth - 1)})"
+        if k < 0.6:
+            return rng.choice("+-") + expr(depth - 1)
+        return expr(depth - 1) + rng.choice(["+", "-", "*", "/", "%", "**", "^", " * ", "- "]) + expr(depth - 1)
+
+    texts = [expr(4) for _ in range(600)]
+    for t in rng.choices(texts, k=600):
+        i = rng.randrange(len(t))
+        texts.append(t[:i] + rng.choice("()+-*/ 12sp.e%") + t[i + 1:])
+    got = _evaluated(spark, texts)
+    for t in texts:
+        want = _by_python(t)
+        assert (want is None) == (got[t] is None), t
+        assert want is None or math.isclose(want, got[t], rel_tol=1e-9, abs_tol=1e-12), t
 
 
 def test_compare_answers(spark):
@@ -61,7 +122,7 @@ def test_compare_answers(spark):
     assert r[2]["match"]                                   # within 1e-9 tolerance
     assert r[3]["status"] == "pred_missing_answer"
     assert r[4]["match"] and r[4]["reason"].startswith("string fallback")
-    assert r[5]["match"]                                   # symbolic fallback: 2^3 = 8
+    assert r[5]["match"]                                   # expression: 2^3 = 8
     assert r[6]["status"] == "only_in_pred" and r[7]["status"] == "only_in_gt"
 
 
@@ -88,15 +149,6 @@ def test_boxed(spark):
     assert got == cases
 
 
-def test_expression_fallback_is_bounded():
-    import time
-    t = time.time()
-    assert expression_value("9**9**9**9") is None
-    assert expression_value("(-8)**(1/3)") is None       # complex in real arithmetic
-    assert expression_value("2^10") == 1024.0
-    assert time.time() - t < 1.0
-
-
 def test_answer_values_and_report_sink(spark, tmp_path):
     from stepwise.operators.answers import answer_summary, answer_values
     from stepwise.sources.records import write_report
