@@ -8,8 +8,10 @@ the corpus is removed (UTF-8 bytes; matches never cross documents).
    windows of one gram need comparing.  Neighbouring windows with the same
    minimiser form a span; equal spans are merged into one with the number of
    its occurrences, and grams that occur once are dropped.
-2. Shards: spans go to shards by their gram, bounded in size; the distinct
-   spans of one very frequent gram are dealt to several shards.  A shard
+2. A span that occurs twice or more is repeated as a whole.  Shards: the spans
+   of grams with a span that occurs once and other spans beside it go to
+   shards by their gram, bounded in size; the distinct spans of one very
+   frequent gram are dealt to several shards.  A shard
    sorts its suffixes by Larsson-Sadakane refinement (numpy), up to the
    length asked for, and gets the common prefixes of neighbours by Kasai's
    method over all spans at once; neighbouring windows that share 400 bytes
@@ -346,8 +348,8 @@ def _sort_shards(spans: DataFrame, length: int, symbols: Symbols = BYTES) -> Dat
             raws = t.column("raw").to_pylist()
             flags, text, start = repeated_windows(raws, length, n, symbols)
             out: list[list] = [[] for _ in range(7)]
-            for i, hit in enumerate(flags):
-                for a, b in _runs(hit):
+            for i in np.flatnonzero(n == 1).tolist():  # the others are known to be repeated
+                for a, b in _runs(flags[i]):
                     for c, v in zip(out, (*(int(k[i]) for k in key), a, b - 1 + length, None, None)):
                         c.append(v)
             posted = split[text]
@@ -396,8 +398,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     marks = materialise(anchors(docs, length, gram, symbols), "anchors")
     merged = marks.groupBy(*SPAN_KEY).agg(F.count(F.lit(1)).alias("n"), F.first("did").alias("did"),
                                           F.first("th").alias("th"), F.first("lo").alias("lo"))
-    grams = merged.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
+    grams = (merged.groupBy("h").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
+             .where("total > 1"))
     spans = materialise(merged.join(grams.drop("total"), "h"), "spans")
+    # all windows of a span that occurs again are repeated; suffix arrays are for those that occur once
+    known = spans.where("n > 1").select(*SPAN_KEY, F.lit(0).alias("a"), F.col("len").alias("b"))
+    spans = spans.where("least = 1").drop("least")
     size = spans.agg(F.sum("len")).first()[0] or 0
     n_shards = max(1, -(-size // shard_bytes))
     parts = F.ceil(F.col("kinds") / shard_spans).cast("bigint")
@@ -405,7 +411,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
              .withColumn("shard", F.when(parts > 1, F.xxhash64("h", F.pmod("s", parts)))
                          .otherwise(F.pmod(F.xxhash64("h"), F.lit(n_shards)))))
     found = materialise(_sort_shards(_fetch(docs, spans, symbols), length, symbols), "repeats")
-    ranges = found.where("b is not null").select(*SPAN_KEY, "a", "b")
+    ranges = found.where("b is not null").select(*SPAN_KEY, "a", "b").unionByName(known)
     posted = found.where("b is null")
     if not posted.isEmpty():
         ranges = ranges.unionByName(_merge_shards(posted, length))
