@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import materialise
+from stepwise.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -26,6 +26,9 @@ def connected_components(edges: DataFrame, start: DataFrame | None = None) -> Da
         step = label.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         up = label.select(F.col("id").alias("comp"), F.col("comp").alias("above"))
         new = materialise(step.join(up, "comp", "left").select("id", "was", F.least("comp", "above").alias("comp")), "labels")
+        discard(label)
         label = new.select("id", "comp")
+        label.scratch_path = new.scratch_path
         if new.where("was <> comp").isEmpty():
+            discard(pairs)
             return label

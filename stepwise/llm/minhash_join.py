@@ -15,8 +15,9 @@
    random, so a round confirms two pairs a class at most.  Links are confirmed
    on the full sets and joined into components.
 4. Lists that still hold several components are split into windows of two
-   neighbouring size classes (sets that differ more in size cannot be linked)
-   and merged in blocks: a task counts the collisions of the signatures of two
+   neighbouring size classes (sets that differ more in size cannot be linked);
+   lists of mostly the same members are joined, so a set travels about once a
+   group; they are merged in blocks: a task counts the collisions of the signatures of two
    blocks and confirms those pairs of different components with ``MATCHES`` or
    more on the full sets, each in the first list they share; it passes on one
    link for each two components that it joins.  So no link between components
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import materialise
+from stepwise.llm.common import discard, materialise
 from stepwise.llm.components import connected_components
 
 COORDINATES = 64
@@ -50,6 +51,8 @@ BLOCK_BYTES = 32 << 20
 CACHE_WORDS = 400_000
 #: Rounds go on while one finds at least this share of the first round's links; what they leave open, the blocks settle.
 ROUND_SHARE = 0.02
+#: A list joins a longer one that this share of its members are in; what it brings along is compared there, too.
+MERGE_SHARE = 0.8
 PIVOT_ROUNDS = 10
 #: Sizes of one class differ by less than this factor; linked sets (80 % or more) are in one class or in neighbours.
 CLASS_RATIO = 1.26
@@ -223,6 +226,30 @@ def _open_windows(posts: DataFrame, faces: DataFrame, comp: DataFrame) -> DataFr
     return now.drop("b").join(mixed.select("key", "w", "members"), ["key", "w"])
 
 
+def _merged(lists: DataFrame, share: float = MERGE_SHARE) -> DataFrame:
+    """Lists of a window that hold mostly the same members, joined: ``(key, w, doc_id, comp, coords, members)``.
+
+    Every class names the longest list that it is in.  A list goes to the one
+    that at least ``share`` of its members name (all, if it is contained in
+    it), and stays by itself otherwise.  A list goes as a whole, so two
+    classes that met in a list still meet; ``coords`` are the coordinates of
+    the lists that were joined.
+    """
+    longest = lists.groupBy("w", "doc_id").agg(F.max(F.struct("members", "key")).alias("top"))
+    named = lists.join(longest, ["w", "doc_id"]).groupBy("w", "key", "members", F.col("top.key").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    mode = named.groupBy("w", "key", "members").agg(F.max(F.struct("n", "to")).alias("m"))
+    home = materialise(mode.select("w", "key", F.when(F.col("m.n") >= share * F.col("members"), F.col("m.to")).otherwise(F.col("key")).alias("to")),
+                       "homes")
+    # a list may go to one that itself goes on; following once more keeps these together
+    further = home.select("w", F.col("key").alias("to"), F.col("to").alias("home"))
+    home = home.join(further, ["w", "to"]).select("w", "key", "home")
+    moved = lists.drop("members").join(home, ["w", "key"])
+    bit = F.expr("shiftleft(1L, cast(shiftright(key, 32) & 63 as int))")
+    groups = materialise(moved.groupBy("home", "w", "doc_id", "comp").agg(F.bit_or(bit).alias("coords")), "groups")
+    size = groups.groupBy("home", "w").agg(F.bit_or("coords").alias("coords"), F.count(F.lit(1)).alias("members"))
+    return groups.drop("coords").join(size, ["home", "w"]).withColumnRenamed("home", "key")
+
+
 def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Number of equal coordinates of the signatures ``a`` (n, K) and ``b`` (m, K)."""
     out = np.zeros((len(a), len(b)), np.uint8)
@@ -237,7 +264,7 @@ def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: in
     Long windows are dealt to blocks; each pair of blocks is one group of
     rows, so no task holds more than two blocks at a time.  Pairs that agree
     in ``matches`` coordinates are confirmed on their sets, in the window of
-    the larger set's class and the list of the first coordinate that both
+    the larger set's class and a list that holds the first coordinate that both
     posted (sets with mask 0: in every list), unless links found before in the
     same group already join them.
     """
@@ -247,14 +274,15 @@ def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: in
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     rows = rows.select("key", "w", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "doc_id", "comp", "n", "b",
-                       "mask", "sig", "sh")
+                       "mask", "coords", "sig", "sh")
     rows = rows.repartition("key", "w", "i", "j").sortWithinPartitions("key", "w", "i", "j")
     bits = np.arange(COORDINATES, dtype=np.uint64)
 
     def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
         ids, comp, n, b = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "b"))
         s, i, j = (t.column(c).to_numpy() for c in ("s", "i", "j"))
-        w, coordinate = t.column("w")[0].as_py(), t.column("key")[0].as_py() >> 32
+        w = t.column("w")[0].as_py()
+        own = (t.column("coords").to_numpy()[:1].view(np.uint64) >> bits & np.uint64(1)).astype(bool)
         sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         posted = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
         sh = t.column("sh").combine_chunks()
@@ -276,17 +304,17 @@ def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: in
             p, q = np.nonzero(hit)
             p, q = part[p], right[q]
             shared = (sig[p] == sig[q]) & posted[p] & posted[q]
-            first = ~shared.any(axis=1) | (shared.argmax(axis=1) == coordinate)
+            first = ~shared.any(axis=1) | own[shared.argmax(axis=1)]
             p, q = p[first], q[first]
             for x in np.unique(p).tolist():
                 y = q[p == x]
                 y = y[label[y] != label[x]]
                 if not len(y):
                     continue
-                own, others = values[at[x]:at[x + 1]], np.concatenate([values[at[k]:at[k + 1]] for k in y.tolist()])
-                found = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+                mine, others = values[at[x]:at[x + 1]], np.concatenate([values[at[k]:at[k + 1]] for k in y.tolist()])
+                found = mine[np.minimum(np.searchsorted(mine, others), len(mine) - 1)] == others
                 inter = np.add.reduceat(found.astype(np.int64), np.cumsum(size[y]) - size[y])
-                for k in y[100 * inter >= percent * (len(own) + size[y] - inter)].tolist():
+                for k in y[100 * inter >= percent * (len(mine) + size[y] - inter)].tolist():
                     if label[k] != label[x]:
                         label[label == label[k]] = label[x]
                         yield min(ids[x], ids[k]), max(ids[x], ids[k])
@@ -345,10 +373,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = links.count()
         first = found if seed == 0 else first
         if found:
-            comp = connected_components(links, comp)
+            before, comp = comp, connected_components(links, comp)
+            discard(before)
+        discard(links)
         if found <= ROUND_SHARE * first:
             break
-    comp = connected_components(_block_links(_open_windows(posts, faces, comp), sigs, sets, matches, block, percent), comp)
+    lists = materialise(_open_windows(posts, faces, comp), "lists")
+    links = materialise(_block_links(_merged(lists), sigs, sets, matches, block, percent), "links")
+    discard(lists, posts, sets, sigs)
+    before, comp = comp, connected_components(links, comp)
+    discard(before, links)
     out = (sk.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
            .join(comp.withColumnRenamed("id", "rep"), "rep", "left"))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
