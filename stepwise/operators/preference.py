@@ -224,7 +224,7 @@ def weighted_losses(df: DataFrame, loss_types: Sequence[str], weights: Sequence[
                  .withColumn("loss", F.col("loss") + rpo_alpha * F.coalesce("nll_loss", F.lit(float("nan")))).drop("nll_loss")
     if policy_weights is not None:
         out = out.join(policy_weights.select(key_col, "policy_weight"), key_col, "left") \
-                 .withColumn("loss", F.col("loss") * F.col("policy_weight")).drop("policy_weight")
+                 .withColumn("loss", F.col("loss") * F.coalesce("policy_weight", F.lit(float("nan")))).drop("policy_weight")
     if aux_coef is not None and "aux_loss" in df.columns:
         out = out.withColumn("loss", F.col("loss") + aux_coef * F.col("aux_loss"))
     return out
@@ -277,6 +277,49 @@ def sequence_logps(tokens: DataFrame, normalize: bool = False) -> DataFrame:
     return agg
 
 
+#: Losses whose sequence log-probabilities are means over the loss tokens.
+NORMALISED_LOSSES = {"ipo", "cmcl"}
+
+
+def pair_logps(tokens: DataFrame, loss_types: Sequence[str], keep: Sequence[str] = (), ld_alpha: float | None = None,
+               weighting: bool = False, key_col: str = "pair_id") -> DataFrame:
+    """Token log-probabilities (``side`` 0 chosen, 1 rejected) to the pair table of the losses, in one aggregate.
+
+    ``chosen_logps`` and ``rejected_logps`` are sums over the loss tokens, or
+    means if a loss of ``loss_types`` asks for them; ``n_chosen`` and
+    ``n_rejected`` count the tokens.  With ``ld_alpha`` they are the
+    length-desensitised sums instead: tokens at or beyond the shorter side's
+    number weigh ``ld_alpha``, those beyond the side's own are left out
+    (positions count from the start of the sequence).  ``weighting`` adds
+    ``policy_weight`` (see ``policy_weights``).  ``keep`` names columns that
+    are equal for all tokens of a pair.  A side without loss tokens has sum 0
+    and no mean.
+    """
+    il = F.col("in_loss")
+    aggs = []
+    for k, name in ((0, "chosen"), (1, "rejected")):
+        own = il & (F.col("side") == k)
+        aggs += [F.sum(F.when(own, F.col("logp")).otherwise(0.0)).alias(f"_s_{name}"), F.count_if(own).alias(f"n_{name}")]
+        if weighting:
+            aggs.append(F.avg(F.when(own, F.col("logp") - F.col("lse2"))).alias(f"_w_{name}"))
+        if ld_alpha is not None:
+            # bounded by the length of a sequence
+            aggs.append(F.collect_list(F.when(own, F.struct("pos", "logp"))).alias(f"_t_{name}"))
+    out = tokens.groupBy(key_col, *keep).agg(*aggs)
+    public = F.least("n_chosen", "n_rejected")
+    logps = []
+    for name in ("chosen", "rejected"):
+        total, n = F.col(f"_s_{name}"), F.col(f"n_{name}")
+        if ld_alpha is not None:
+            part = lambda t: F.when(t["pos"] < public, t["logp"]).when(t["pos"] < n, ld_alpha * t["logp"]).otherwise(0.0)  # noqa: B023, E731
+            total = F.aggregate(F.array_sort(f"_t_{name}"), F.lit(0.0), lambda a, t: a + part(t))  # noqa: B023
+        elif NORMALISED_LOSSES & set(loss_types):
+            total = F.try_divide(total, n.cast("double"))
+        logps.append(total.alias(f"{name}_logps"))
+    weight = [F.least(F.exp(F.col("_w_chosen") + F.col("_w_rejected")), F.lit(1.0)).alias("policy_weight")] if weighting else []
+    return out.select(key_col, *keep, *logps, "n_chosen", "n_rejected", *weight)
+
+
 def length_desensitised_logps(tokens: DataFrame, ld_alpha: float) -> DataFrame:
     """Per (pair, side): tokens before the shorter completion length weigh 1, later ones ``ld_alpha``.
 

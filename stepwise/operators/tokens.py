@@ -162,32 +162,35 @@ def implicit_prompt(df: DataFrame, chosen_col: str = "chosen", rejected_col: str
     (at position 0 that looks at the *last* character, as negative indexing
     does); with no difference the cut is at ``min_len - 1``.
     """
-    chars = lambda c: F.regexp_extract_all(F.col(c), F.lit("(?s)."), F.lit(0))  # noqa: E731  code points
-    out = df.withColumn("_c", chars(chosen_col)).withColumn("_r", chars(rejected_col))
-    m = F.least(F.size("_c"), F.size("_r"))
-    eq = F.zip_with(F.slice("_c", F.lit(1), m), F.slice("_r", F.lit(1), m), lambda a, b: a == b)
-    out = out.withColumn("_m", m).withColumn("_k", F.array_position(eq, False).cast("int"))
-    before = F.when(F.col("_k") >= 2, F.get(F.col("_c"), F.col("_k") - 2)).otherwise(F.get(F.col("_c"), F.size("_c") - 1))
+    c, r = F.col(chosen_col), F.col(rejected_col)
+    out = df.withColumn("_m", F.least(F.char_length(c), F.char_length(r)))
+    out = out.withColumn("_l", common_prefix_length(c, r))
+    before = F.when(F.col("_l") >= 1, F.substring(c, F.col("_l"), F.lit(1))).otherwise(F.right(c, F.lit(1)))
     idx = (F.when(F.col("_m") == 0, F.lit(0))
-           .when(F.col("_k") == 0, F.col("_m") - 1)
-           .when(before == " ", F.col("_k") - 2)
-           .otherwise(F.col("_k") - 1))
+           .when(F.col("_l") == F.col("_m"), F.col("_m") - 1)
+           .when(before == " ", F.col("_l") - 1)
+           .otherwise(F.col("_l")))
     out = out.withColumn("_idx", idx)
-
-    def py_slice_from(arr: str, i: Column) -> Column:
-        # s[i:] with Python semantics for i = -1
-        return F.when(i >= 0, F.array_join(F.slice(F.col(arr), i + 1, F.size(arr)), "")) \
-                .otherwise(F.array_join(F.slice(F.col(arr), F.size(arr), 1), ""))
-
-    def py_slice_to(arr: str, i: Column) -> Column:
-        return F.when(i >= 0, F.array_join(F.slice(F.col(arr), F.lit(1), i), "")) \
-                .otherwise(F.array_join(F.slice(F.col(arr), F.lit(1), F.greatest(F.size(arr) - 1, F.lit(0))), ""))
-
     i = F.col("_idx")
-    return (out.withColumn("prompt", py_slice_to("_c", i))
-               .withColumn(chosen_col, py_slice_from("_c", i))
-               .withColumn(rejected_col, py_slice_from("_r", i))
-               .drop("_c", "_r", "_m", "_k", "_idx"))
+    # s[i:] and s[:i] as Python has them for i = -1
+    since = lambda t: F.when(i >= 0, F.substring(t, i + 1, F.char_length(t))).otherwise(F.right(t, F.lit(1)))
+    until = F.substring(c, F.lit(1), F.when(i >= 0, i).otherwise(F.greatest(F.char_length(c) - 1, F.lit(0))))
+    return (out.withColumns({"prompt": until, chosen_col: since(c), rejected_col: since(r)})
+               .drop("_m", "_l", "_idx"))
+
+
+def common_prefix_length(a: Column, b: Column) -> Column:
+    """Number of leading characters that two texts share, by binary search over equality of prefixes."""
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
+        narrower = F.when(same, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(
+            F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi")))
+        return F.when(s["lo"] < s["hi"], narrower).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("lo"), F.least(F.char_length(a), F.char_length(b)).alias("hi"))
+    # a text has fewer than 2 ** 31 characters
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step, lambda s: s["lo"])
 
 
 def render_chat(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn",

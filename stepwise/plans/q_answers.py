@@ -9,6 +9,8 @@ from stepwise.functions.text import py_strip_sql
 from stepwise.operators import answers as AN
 from stepwise.plans.fixtures import fixture, read_table, with_fixtures
 from stepwise.plans.registry import register, rounded
+from stepwise.session import scratch_path, written
+from stepwise.sources.records import read_report, write_records, write_report
 
 
 def _sides(spark, sf):
@@ -74,6 +76,21 @@ def q_answer_summary(spark, sf):
     return rounded(AN.answer_summary(AN.compare_answers(p, g), p, g), 12)
 
 
+@register("answer_report", with_fixtures(_RECORDS + """
+select id, pred_answer, gt_answer, status, match, reason, round(pred_value, 6) as pred_value, round(gt_value, 6) as gt_value from r
+where status <> 'compared' or not match
+""", "f_answer"))
+def q_answer_report(spark, sf):
+    """A report written as one version and read back; a version without a marker is not seen."""
+    p, g = _sides(spark, sf)
+    records = written(rounded(AN.compare_answers(p, g)), "answer-records")
+    path = scratch_path(spark, "report")
+    wrong = records.where("status <> 'compared' or not match")
+    write_report(AN.answer_summary(records, p, g), records, path, wrong=wrong)
+    write_records(records, f"{path}/versions/broken-off/wrong")
+    return read_report(spark, path, "wrong", schema=records.schema)
+
+
 @register("answer_id_sets", with_fixtures("""
 , p as (select distinct id from f_answer where side = 'p' and id is not null),
 g as (select distinct id from f_answer where side = 'g' and id is not null)

@@ -275,6 +275,69 @@ def q_seq_logps_ld(spark, sf):
                               F.col("len_rejected").cast("bigint")))
 
 
+def _token_pairs_sql(policy, ref):
+    """Pair table over f_toklogp; ``policy`` and ``ref`` aggregate one side's tokens."""
+    side = lambda e, k: e.replace("SIDE", f"in_loss and side = {k}")
+    return f"""
+, pt as (select pair_id, pair_id % 64 as batch_id, {side(policy, 0)} as chosen_logps, {side(policy, 1)} as rejected_logps,
+                {side(ref, 0)} as ref_chosen_logps, {side(ref, 1)} as ref_rejected_logps,
+                least(exp({side('avg(logp - lse2) filter (where SIDE)', 0)} + {side('avg(logp - lse2) filter (where SIDE)', 1)}), 1.0) as weight
+         from f_toklogp group by pair_id)
+"""
+
+
+_REF = "logp - cast(token_id % 3 as double) / 8"
+_SUMS = _token_pairs_sql("sum(logp) filter (where SIDE)", f"sum({_REF}) filter (where SIDE)")
+_MEANS = _token_pairs_sql("avg(logp) filter (where SIDE)", f"avg({_REF}) filter (where SIDE)")
+
+
+def _from_tokens(spark, sf, losses, **kw):
+    """Policy and reference tokens to pair tables, joined, to losses."""
+    tokens = _tokens(spark, sf)
+    ref = tokens.withColumn("logp", F.col("logp") - F.col("token_id") % 3 / 8)
+    policy = P.pair_logps(tokens, losses, keep=("batch_id",), **kw)
+    reference = P.pair_logps(ref, losses).select("pair_id", F.col("chosen_logps").alias("ref_chosen_logps"),
+                                                 F.col("rejected_logps").alias("ref_rejected_logps"))
+    return P.attach_reference(policy, reference)
+
+
+@register("loss_ipo_tokens", with_fixtures(_MEANS + f"""
+select pair_id, batch_id, round(pow({Z} - 1 / (2 * {BETA}), 2), 6) as loss, {REW} from pt
+""", "f_toklogp"))
+def q_loss_ipo_tokens(spark, sf):
+    return _out(P.preference_loss(_from_tokens(spark, sf, ["ipo"]), "ipo", beta=BETA))
+
+
+@register("loss_cmcl_tokens", with_fixtures(_MEANS + f"""
+select pair_id, batch_id, round(-1.0 * {CL} + 1.0 * {RL} + (30.0 / 2.0) * pow({CL}, 2) + (60.0 / 2.0) * pow({RL}, 2), 6) as loss, {REW} from pt
+""", "f_toklogp"))
+def q_loss_cmcl_tokens(spark, sf):
+    return _out(P.preference_loss(_from_tokens(spark, sf, ["cmcl"]), "cmcl", beta=BETA, cmcl=CMCL_RUN))
+
+
+@register("loss_wpo_tokens", with_fixtures(_SUMS + f"""
+select pair_id, batch_id, round(-{_ls(f'{BETA} * {Z}')} * weight, 6) as loss, {REW} from pt
+""", "f_toklogp"))
+def q_loss_wpo_tokens(spark, sf):
+    pairs = _from_tokens(spark, sf, ["sigmoid"], weighting=True)
+    return _out(P.weighted_losses(pairs, ["sigmoid"], policy_weights=pairs.select("pair_id", "policy_weight"), beta=BETA))
+
+
+@register("pair_logps_ld", with_fixtures("""
+, t as (select *, sum(case when in_loss and side = 0 then 1 else 0 end) over (partition by pair_id) as len_c,
+                  sum(case when in_loss and side = 1 then 1 else 0 end) over (partition by pair_id) as len_r
+        from f_toklogp),
+w as (select pair_id, side, case when not in_loss then 0.0 when pos < least(len_c, len_r) then logp
+                                 when pos < (case when side = 0 then len_c else len_r end) then 0.5 * logp else 0.0 end as x, len_c, len_r from t)
+select pair_id, round(sum(case when side = 0 then x else 0.0 end), 6) as chosen_logps,
+       round(sum(case when side = 1 then x else 0.0 end), 6) as rejected_logps,
+       cast(min(len_c) as bigint) as n_chosen, cast(min(len_r) as bigint) as n_rejected
+from w group by pair_id
+""", "f_toklogp"))
+def q_pair_logps_ld(spark, sf):
+    return rounded(P.pair_logps(fixture(spark, sf, "f_toklogp"), ["sigmoid"], ld_alpha=0.5))
+
+
 @register("ref_logps_attach", with_fixtures("""
 select pair_id, round(chosen_logps, 6) as chosen_logps, round(rejected_logps, 6) as rejected_logps,
        round(ref_chosen_logps, 6) as ref_chosen_logps, round(ref_rejected_logps, 6) as ref_rejected_logps from f_pairlogp

@@ -9,6 +9,7 @@ per record (see ``stepwise.operators.search.parse_buffer``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -246,7 +247,42 @@ def write_records(df: DataFrame, path: str, fmt: str = "json", partition_by: tup
     return path
 
 
-def write_report(summary: DataFrame, records: DataFrame, path: str) -> tuple[str, str]:
-    """Report sink: the one-row summary and the record table side by side."""
-    return (write_records(summary.coalesce(1), f"{path}/summary"),
-            write_records(records, f"{path}/records"))
+def write_report(summary: DataFrame, records: DataFrame, path: str, id_col: str = "id", fmt: str = "json",
+                 **others: DataFrame) -> tuple[str, ...]:
+    """Report sink: the one-row summary, the records and further tables (wrong, ignored) as one version.
+
+    All parts are written to a fresh folder, sorted by ``id_col`` where they
+    have it; one marker, made last, then names the folder.  Readers go by the
+    latest marker, so a write that breaks off leaves the report as it was.
+    Returns the folders of the parts.
+    """
+    spark = summary.sparkSession
+    version = uuid.uuid4().hex
+    parts = {"summary": summary.coalesce(1), "records": records, **others}
+    folders = tuple(write_records(df, f"{path}/versions/{version}/{name}", fmt, order_by=(id_col,) if id_col in df.columns else ())
+                    for name, df in parts.items())
+    fs, folder = _file_system(spark, f"{path}/commits")
+    fs.mkdirs(folder)
+    latest = _latest_commit(spark, path)
+    number = int(latest.split("-")[0]) + 1 if latest else 0
+    fs.mkdirs(_file_system(spark, f"{path}/commits/{number:08d}-{version}")[1])
+    return folders
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _latest_commit(spark: SparkSession, path: str) -> str | None:
+    fs, folder = _file_system(spark, f"{path}/commits")
+    return max((f.getPath().getName() for f in fs.listStatus(folder)), default=None) if fs.exists(folder) else None
+
+
+def read_report(spark: SparkSession, path: str, part: str = "records", schema: StructType | str | None = None, fmt: str = "json") -> DataFrame:
+    """One part of the report that was committed last."""
+    latest = _latest_commit(spark, path)
+    if latest is None:
+        raise FileNotFoundError(f"no committed report under {path}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return getattr(reader, fmt)(f"{path}/versions/{latest.split('-')[1]}/{part}")

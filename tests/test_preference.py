@@ -74,3 +74,25 @@ def test_mixed_losses_and_aux_term(spark):
         assert abs(got[i]["loss"] - want) < 1e-9
         assert abs(got[i]["chosen_reward"] - 3.5 * sigmoid[i]["chosen_reward"]) < 1e-9
         assert abs(plain[i]["loss"] - sigmoid[i]["loss"] - 0.3 * i / 10) < 1e-9
+
+
+def test_pair_table_from_tokens(spark):
+    """One aggregate gives what the sums per side and the windowed length weighting give."""
+    from stepwise.operators import preference as P
+    rows = [(p, s, k, -0.25 * ((p * 7 + k * 3 + s) % 11), -0.125, k >= 2, p % 2) for p in range(6) for s in (0, 1) for k in range(3 + (p * (s + 1)) % 5)]
+    rows.append((9, 0, 0, -1.0, 0.0, False, 1))                               # a side without loss tokens, the other without any
+    tok = spark.createDataFrame(rows, "pair_id long, side int, pos int, logp double, lse2 double, in_loss boolean, batch_id int")
+    sums = {(r["pair_id"], r["side"]): r for r in P.sequence_logps(tok, normalize=True).collect()}
+    weights = {r["pair_id"]: r["policy_weight"] for r in P.policy_weights(tok.where("pair_id < 9")).collect()}
+    desens = {(r["pair_id"], r["side"]): r["logps"] for r in P.length_desensitised_logps(tok, 0.5).collect()}
+    plain = {r["pair_id"]: r for r in P.pair_logps(tok, ["sigmoid"], ("batch_id",), weighting=True).collect()}
+    means = {r["pair_id"]: r for r in P.pair_logps(tok, ["sigmoid", "ipo"]).collect()}
+    ld = {r["pair_id"]: r for r in P.pair_logps(tok, ["ipo"], ld_alpha=0.5).collect()}
+    for p in range(6):
+        for s, name in ((0, "chosen"), (1, "rejected")):
+            assert abs(plain[p][f"{name}_logps"] - sums[p, s]["logps_sum"]) < 1e-12
+            assert abs(means[p][f"{name}_logps"] - sums[p, s]["logps"]) < 1e-12
+            assert abs(ld[p][f"{name}_logps"] - desens[p, s]) < 1e-12
+            assert plain[p][f"n_{name}"] == sums[p, s]["n_loss_tokens"]
+        assert abs(plain[p]["policy_weight"] - weights[p]) < 1e-12
+    assert plain[9]["chosen_logps"] == 0.0 and means[9]["chosen_logps"] is None

@@ -160,3 +160,22 @@ def test_last_in_file_wins_after_a_shuffle(spark):
         ans = RS.read_answer_records(spark, path).repartition(13, "answer")
         got = {r.id_text: r.answer for r in keep_last(ans, "id_text").collect()}
         assert got == {str(r["id"]): r["answer"] for r in rows}
+
+
+def test_report_is_written_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "report")
+    summary = spark.createDataFrame([(2,)], "n int")
+    records = spark.createDataFrame([(i, f"r{i}") for i in (5, 1, 3)], "id int, text string")
+    with pytest.raises(FileNotFoundError):
+        RS.read_report(spark, path)
+    folders = RS.write_report(summary, records, path, wrong=records.where("id = 3"))
+    assert len(folders) == 3
+    files = sorted(f for f in os.listdir(folders[1]) if f.startswith("part-"))
+    ids = [json.loads(line)["id"] for f in files for line in open(f"{folders[1]}/{f}", encoding="utf-8")]
+    assert ids == [1, 3, 5]                                                   # sorted by id at the sink
+    broken = records.withColumn("text", F.raise_error(F.lit("broken off")).cast("string"))
+    with pytest.raises(Exception, match="broken off"):
+        RS.write_report(summary, records.limit(1), path, wrong=broken)
+    assert RS.read_report(spark, path).count() == 3 and RS.read_report(spark, path, "wrong").first().text == "r3"
+    RS.write_report(summary, records.limit(2), path)
+    assert RS.read_report(spark, path, schema="id int, text string").count() == 2

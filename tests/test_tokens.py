@@ -76,3 +76,33 @@ def test_shift_and_roll(spark):
                      TK.roll(F.col("ids"), -1).alias("rm1")).collect()
     assert (rows[0]["s"], rows[0]["r1"], rows[0]["rm1"]) == ([9, 5, 6], [7, 5, 6], [6, 7, 5])
     assert (rows[1]["s"], rows[1]["r1"], rows[1]["rm1"]) == ([], [], [])
+
+
+def _split_by_hand(chosen, rejected):
+    """The shared prefix as the prompt, character by character."""
+    k, least = 0, min(len(chosen), len(rejected))
+    for k in range(least):
+        if chosen[k] != rejected[k]:
+            if chosen[k - 1] == " ":
+                k -= 1
+            break
+    return chosen[:k], chosen[k:], rejected[k:]
+
+
+def test_implicit_prompt_by_prefix_search(spark):
+    import random
+
+    from stepwise.operators.tokens import common_prefix_length, implicit_prompt
+    rng = random.Random(3)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("a", "b"), (" a", " b"), ("same", "same"), ("ab c", "ab d"), ("é😀 x", "é😀 y"), ("b ", "c "),
+             ("x" * 1_000_000 + "a tail", "x" * 1_000_000 + "b tail")]
+    for _ in range(200):
+        p = "".join(rng.choices("ab é😀", k=rng.randint(0, 12)))
+        pairs.append((p + "".join(rng.choices("ab é", k=rng.randint(0, 5))), p + "".join(rng.choices("ab é", k=rng.randint(0, 5)))))
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, chosen string, rejected string")
+    got = {r["i"]: (r["prompt"], r["chosen"], r["rejected"]) for r in implicit_prompt(df).collect()}
+    for i, (c, r) in enumerate(pairs):
+        assert got[i] == _split_by_hand(c, r), (c[:20], r[:20])
+    n = df.select("i", common_prefix_length(F.col("chosen"), F.col("rejected")).alias("n")).collect()
+    import os
+    assert all(r["n"] == len(os.path.commonprefix(pairs[r["i"]])) for r in n)
