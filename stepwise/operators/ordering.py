@@ -80,7 +80,19 @@ def running_mean(df: DataFrame, order_cols: Sequence[str], value: str, out: str
 
 
 def assign_batches(df: DataFrame, order_cols: Sequence[str], batch_size: int,
-                   out: str = "batch_id") -> DataFrame:
-    """Consecutive chunks of ``batch_size`` rows in ``order_cols`` order."""
-    numbered = row_number_within(df, [], order_cols, out="_rn")
-    return numbered.withColumn(out, F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")).drop("_rn")
+                   out: str = "batch_id", unique: bool = False) -> DataFrame:
+    """Consecutive chunks of ``batch_size`` rows in ``order_cols`` order.
+
+    Where ``order_cols`` tell every row apart (``unique``), only they are
+    range-partitioned, written and numbered, and the batch is joined back: the
+    other columns (texts, token arrays) move once and are computed once.
+    """
+    if not unique:
+        numbered = row_number_within(df, [], order_cols, out="_rn")
+        return numbered.withColumn(out, F.floor((F.col("_rn") - 1) / batch_size).cast("bigint")).drop("_rn")
+    keys = assign_batches(df.select(*order_cols), order_cols, batch_size, out)
+    keys = keys.select(out, *(F.col(c).alias(f"_k{i}") for i, c in enumerate(order_cols)))
+    same = F.lit(True)
+    for i, c in enumerate(order_cols):
+        same = same & df[c].eqNullSafe(F.col(f"_k{i}"))
+    return df.join(keys, same).drop(*(f"_k{i}" for i in range(len(order_cols))))

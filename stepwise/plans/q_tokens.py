@@ -70,7 +70,7 @@ def q_assign_batches(spark, sf):
 
 
 def _sft_batched(spark, sf):
-    return assign_batches(_sft(spark, sf), ["conv_id", "turn"], SFT_BATCH)
+    return assign_batches(_sft(spark, sf), ["conv_id", "turn"], SFT_BATCH, unique=True)
 
 
 @register("sft_collate", with_fixtures(_SFT_SQL + _BATCH_SQL + """
@@ -140,7 +140,7 @@ _PREF_BATCH_SQL = f"""
 
 
 def _pref_batched(spark, sf):
-    return assign_batches(_pref(spark, sf), ["pair_id"], PREF_BATCH)
+    return assign_batches(_pref(spark, sf), ["pair_id"], PREF_BATCH, unique=True)
 
 
 @register("pref_collate", with_fixtures(_PREF_SQL + _PREF_BATCH_SQL + """

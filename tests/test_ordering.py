@@ -41,3 +41,11 @@ def test_running_mean_matches_window(spark):
 
 def test_running_mean_of_nothing(spark):
     assert running_mean(spark.range(0).select("id", F.col("id").cast("double").alias("v")), ["id"], "v").count() == 0
+
+
+def test_batches_of_unique_keys_equal_batches_of_rows(spark):
+    rows = [(None if i == 7 else i * 37 % 501, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    plain = {r["t"]: r["batch_id"] for r in assign_batches(df, ["k"], 64).collect()}
+    joined = {r["t"]: r["batch_id"] for r in assign_batches(df, ["k"], 64, unique=True).collect()}
+    assert plain == joined and len(joined) == 500
