@@ -51,6 +51,8 @@ BLOCK_BYTES = 32 << 20
 CACHE_WORDS = 400_000
 #: Rounds go on while one finds at least this share of the first round's links; what they leave open, the blocks settle.
 ROUND_SHARE = 0.02
+#: Pairs of a round, or ids, that are broadcast: at most 16 MB.
+SMALL_PAIRS = 1_000_000
 #: A list joins a longer one that this share of its members are in; what it brings along is compared there, too.
 MERGE_SHARE = 0.8
 PIVOT_ROUNDS = 10
@@ -149,7 +151,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(doc_id, sh)``: the shingle sets of the documents in ``ids(doc_id)``."""
+    """``(doc_id, sh)``: the shingle sets of the documents in ``ids(doc_id)``; up to ``SMALL_PAIRS`` ids go to the documents."""
+    if ids.limit(SMALL_PAIRS + 1).count() <= SMALL_PAIRS:
+        ids = F.broadcast(ids)
     rows = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("_text"))
             .join(ids, "doc_id", "left_semi"))
 
@@ -174,13 +178,23 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
             .where((F.col("m") >= matches) & (F.col("rank") <= F.col("m") - matches + 1)).select("doc_id", "key", "b"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``(x, y)`` whose full sets reach the similarity."""
-    a = sets.select(F.col("doc_id").alias("x"), F.col("sh").alias("a"))
-    b = sets.select(F.col("doc_id").alias("y"), F.col("sh").alias("b"))
-    both = pairs.join(a, "x").join(b, "y")
-    small, large = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
-    both = both.where(100 * small >= percent * large)
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, small: int = SMALL_PAIRS) -> DataFrame:
+    """The ``(x, y)`` whose full sets reach the similarity.
+
+    Up to ``small`` pairs (16 bytes each) go to the sets, so that only sets of
+    pairs travel; more are shuffled with them.
+    """
+    if pairs.limit(small + 1).count() <= small:
+        near = F.broadcast(pairs)
+        a = sets.select(F.col("doc_id").alias("x"), F.col("sh").alias("a")).join(near, "x")
+        b = sets.select(F.col("doc_id").alias("y"), F.col("sh").alias("b")).join(near, "y")
+        both = a.join(b, ["x", "y"])
+    else:
+        a = sets.select(F.col("doc_id").alias("x"), F.col("sh").alias("a"))
+        b = sets.select(F.col("doc_id").alias("y"), F.col("sh").alias("b"))
+        both = pairs.join(a, "x").join(b, "y")
+    low, high = F.least(F.size("a"), F.size("b")), F.greatest(F.size("a"), F.size("b"))
+    both = both.where(100 * low >= percent * high)
     inter = F.size(F.array_intersect("a", "b"))
     return (both.select("x", "y", inter.alias("i"), (F.size("a") + F.size("b")).alias("t"))
             .where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("x", "y").distinct())
@@ -258,54 +272,112 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
-    """Links that join different components within a window of a list.
+def _dealt(lists: DataFrame, payload: DataFrame, block: int) -> DataFrame:
+    """Rows of the lists with their payload, dealt to pairs of blocks and sorted by them.
 
-    Long windows are dealt to blocks; each pair of blocks is one group of
-    rows, so no task holds more than two blocks at a time.  Pairs that agree
-    in ``matches`` coordinates are confirmed on their sets, in the window of
-    the larger set's class and a list that holds the first coordinate that both
-    posted (sets with mask 0: in every list), unless links found before in the
-    same group already join them.
+    Long windows fall into several blocks; each pair of blocks is one group
+    of rows, so no task holds more than two blocks at a time.
     """
     most = F.floor(F.lit(BLOCK_BYTES / 8) / F.pow(F.lit(CLASS_RATIO), F.col("w") + 1))
     fits = F.greatest(F.lit(1), F.least(F.lit(block), most))
-    rows = lists.join(sigs, "doc_id").join(sets, "doc_id").withColumn("nb", F.ceil(F.col("members") / fits).cast("int"))
+    rows = lists.join(payload, "doc_id").withColumn("nb", F.ceil(F.col("members") / fits).cast("int"))
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    rows = rows.select("key", "w", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "doc_id", "comp", "n", "b",
-                       "mask", "coords", "sig", "sh")
-    rows = rows.repartition("key", "w", "i", "j").sortWithinPartitions("key", "w", "i", "j")
-    bits = np.arange(COORDINATES, dtype=np.uint64)
-
-    def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
-        ids, comp, n, b = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "b"))
+    rows = rows.withColumns({"i": F.least("s", "o"), "j": F.greatest("s", "o")}).drop("nb", "o", "members")
+    return rows.repartition("key", "w", "i", "j").sortWithinPartitions("key", "w", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of one pair of blocks each."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "w", "i", "j")])
+        cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and tuple(group[:, lo]) != last:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            last = tuple(group[:, lo])
+            held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+class _Signatures:
+    """One group: signatures and what decides which of its pairs are held against each other here."""
+
+    def __init__(self, t: pa.Table, matches: int, percent: int):
+        self.ids, self.comp, self.n, self.b = (t.column(c).to_numpy() for c in ("doc_id", "comp", "n", "b"))
         s, i, j = (t.column(c).to_numpy() for c in ("s", "i", "j"))
-        w = t.column("w")[0].as_py()
-        own = (t.column("coords").to_numpy()[:1].view(np.uint64) >> bits & np.uint64(1)).astype(bool)
-        sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        posted = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
-        sh = t.column("sh").combine_chunks()
-        at, values = sh.offsets.to_numpy(), sh.values.to_numpy().view(np.uint64)
-        size = np.diff(at)
-        label = comp.copy()
-        left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
-        same = len(left) and i[0] == j[0]
-        for lo in range(0, len(left), 128):
-            part = left[lo:lo + 128]
-            hit = (label[part][:, None] != label[right][None, :]) & (np.maximum(b[part][:, None], b[right][None, :]) == w)
+        self.left, self.right = np.flatnonzero(s == i), np.flatnonzero(s == j)
+        self.same = len(self.left) and i[0] == j[0]
+        self.w = t.column("w")[0].as_py()
+        bits = np.arange(COORDINATES, dtype=np.uint64)
+        self.own = (t.column("coords").to_numpy()[:1].view(np.uint64) >> bits & np.uint64(1)).astype(bool)
+        self.sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
+        self.posted = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
+        self.matches, self.percent = matches, percent
+
+    def alike(self, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different ``label`` that agree in ``matches`` coordinates, a strip of rows at a time."""
+        ids, n, b, right = self.ids, self.n, self.b, self.right
+        for lo in range(0, len(self.left), 128):
+            part = self.left[lo:lo + 128]
+            hit = (label[part][:, None] != label[right][None, :]) & (np.maximum(b[part][:, None], b[right][None, :]) == self.w)
             hit &= (100 * np.minimum(n[part][:, None], n[right][None, :])
-                    >= percent * np.maximum(n[part][:, None], n[right][None, :]))
-            if same:
+                    >= self.percent * np.maximum(n[part][:, None], n[right][None, :]))
+            if self.same:
                 hit &= ids[part][:, None] < ids[right][None, :]
             if not hit.any():
                 continue
-            hit &= _collisions(sig[part], sig[right]) >= matches
+            hit &= _collisions(self.sig[part], self.sig[right]) >= self.matches
             p, q = np.nonzero(hit)
             p, q = part[p], right[q]
-            shared = (sig[p] == sig[q]) & posted[p] & posted[q]
-            first = ~shared.any(axis=1) | own[shared.argmax(axis=1)]
-            p, q = p[first], q[first]
+            shared = (self.sig[p] == self.sig[q]) & self.posted[p] & self.posted[q]
+            first = ~shared.any(axis=1) | self.own[shared.argmax(axis=1)]
+            if first.any():
+                yield p[first], q[first]
+
+
+def _alike_members(lists: DataFrame, sigs: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
+    """``(key, w, doc_id)`` of the members that have a partner with ``matches`` collisions; their sets are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            group = _Signatures(t, matches, percent)
+            found = np.zeros(len(group.ids), bool)
+            for p, q in group.alike(group.comp):
+                found[p] = found[q] = True
+            if found.any():
+                some = t.filter(pa.array(found))
+                yield pa.RecordBatch.from_arrays([some.column(c).combine_chunks() for c in ("key", "w", "doc_id")], names=["key", "w", "doc_id"])
+
+    return _dealt(lists, sigs, block).mapInArrow(run, "key bigint, w int, doc_id bigint").distinct()
+
+
+def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
+    """Links that join different components within a window of a list.
+
+    Signatures alone tell first which members have a partner at all; only
+    their sets travel.  Pairs that agree in ``matches`` coordinates are
+    confirmed on their sets, in the window of the larger set's class and a
+    list that holds the first coordinate that both posted (sets with mask 0:
+    in every list), unless links found before in the same group join them.
+    """
+    need = materialise(_alike_members(lists, sigs, matches, block, percent), "alike")
+    rows = _dealt(lists.join(need, ["key", "w", "doc_id"]), sigs.join(sets, "doc_id"), block)
+
+    def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
+        group = _Signatures(t, matches, percent)
+        ids = group.ids
+        sh = t.column("sh").combine_chunks()
+        at, values = sh.offsets.to_numpy(), sh.values.to_numpy().view(np.uint64)
+        size = np.diff(at)
+        label = group.comp.copy()
+        for p, q in group.alike(label):
             for x in np.unique(p).tolist():
                 y = q[p == x]
                 y = y[label[y] != label[x]]
@@ -320,27 +392,10 @@ def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: in
                         yield min(ids[x], ids[k]), max(ids[x], ids[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held:
-                found = list(links_of(pa.concat_tables(held).combine_chunks()))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
-                held.clear()
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "w", "i", "j")])
-            cuts = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if last is not None and tuple(group[:, lo]) != last:
-                    yield from done()
-                last = tuple(group[:, lo])
-                held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
-        yield from done()
+        for t in _groups(batches):
+            found = list(links_of(t))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
 
     return rows.mapInArrow(run, "x bigint, y bigint")
 
@@ -354,7 +409,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.join(classes, (some.d1 == classes.d1) & (some.d2 == classes.d2) & (some.doc_id == classes.rep)).select(
         "doc_id", F.col("n_shingles").alias("n"), _size_class("n_shingles").alias("b"), "sig", *NIBBLES)
     posts = materialise(postings(reps, matches), "postings")
-    masks = posts.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) & 63 as int)))").alias("mask"))
+    masks = materialise(posts.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) & 63 as int)))").alias("mask")),
+                        "masks")
     sets = materialise(full_sets(docs, masks.select("doc_id"), id_col, text_col, shingle_words), "sets")
     member = some.join(classes, ["d1", "d2"]).select("doc_id", "rep")
     # an id whose rows have different texts ties their classes together
@@ -369,13 +425,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     faces = sigs.select("doc_id", "n", *NIBBLES)
     first = 0
     for seed in range(PIVOT_ROUNDS):
-        links = materialise(confirmed(_pivot_pairs(posts, faces, comp, seed, matches, percent), sets, percent), "links")
+        pairs = materialise(_pivot_pairs(posts, faces, comp, seed, matches, percent), "pairs")
+        links = materialise(confirmed(pairs, sets, percent), "links")
         found = links.count()
         first = found if seed == 0 else first
         if found:
             before, comp = comp, connected_components(links, comp)
             discard(before)
-        discard(links)
+        discard(links, pairs)
         if found <= ROUND_SHARE * first:
             break
     lists = materialise(_open_windows(posts, faces, comp), "lists")
