@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stepwise.session import scratch_path
 
@@ -11,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def box(columns: list[str]) -> Column:
+    """The columns of a row in one, so that no operator's own columns clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
+
+
+def unbox(df: DataFrame, columns: list[str], results: list[str], row: str = "row") -> DataFrame:
+    """The boxed ``columns`` again, beside the ``results``."""
+    return df.select(*(F.col(f"`{row}`.`{c}`").alias(c) for c in columns), *results)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared checkpoint folder and read back.
 

@@ -13,7 +13,11 @@ Learning uses at most ``max_rows`` labelled rows (their statistics only).
 Defined results: null text has no words and fails the base rules; rows
 without a label are not learned from; an id labelled several times counts
 as its lowest label; without both labels the list is empty and every text
-that passes the base rules is kept.
+that passes the base rules is kept.  Long texts are counted whole; repeated
+rows have the same counts; of equally good conditions the first in the order
+of ``COUNTS`` and ``SHARES`` is taken; an empty table gives no rows and no
+rules.  Columns named like the results are replaced, others are untouched
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.llm.common import box, unbox
+
 MAX_ROWS = 6000
 SEED = 41
+RESULTS = ["base_failed", "rule", "kept"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines"]
 # Statistics that conditions may test, as expressions of the counts.
 SHARES = {"symbol_share": "n_symbols / greatest(word_chars, 1)", "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
@@ -72,20 +79,20 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 
 def with_counts(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """``columns`` with the ``COUNTS``; a narrow pass over whole texts."""
-    rows = docs.select(*columns, F.col(text_col).alias("_text"))
-    schema = rows.select(*columns).schema
+    """``columns`` with the ``COUNTS`` (in place of columns of those names); a narrow pass over whole texts."""
+    columns = [c for c in columns if c not in COUNTS]
+    rows = docs.select(box(columns).alias("row"), F.col(text_col).alias("text"))
+    schema = rows.select("row").schema
     for name in COUNTS:
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([text_counts(t) for t in batch.column("_text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
-            arrays = [*(batch.column(c) for c in columns), *(pa.array(got[:, k]) for k in range(len(COUNTS)))]
-            fields = [*(batch.schema.field(c) for c in columns), *(pa.field(n, pa.int64()) for n in COUNTS)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
+            got = np.array([text_counts(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(got[:, k]) for k in range(len(COUNTS)))],
+                                             names=["row", *COUNTS])
 
-    return rows.mapInArrow(run, schema)
+    return unbox(rows.mapInArrow(run, schema), columns, COUNTS)
 
 
 @dataclass(frozen=True)
@@ -188,14 +195,16 @@ def labelled_statistics(counts: DataFrame, max_rows: int = MAX_ROWS) -> tuple[di
     """Statistics and bad marks of at most ``max_rows`` rows of ``counts`` with ``doc_id`` and ``good``."""
     names = [*COUNTS, *SHARES]
     rows = (counts.withColumns({k: F.expr(v) for k, v in SHARES.items()})
-            .select("good", "doc_id", *(F.col(n).cast("double") for n in names)).limit(max_rows).collect())
+            .select("good", "doc_id", *(F.col(n).cast("double") for n in names))
+            .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", *names).limit(max_rows).collect())
     rows.sort(key=lambda r: tuple(r[1:]))
     stats = np.array([r[2:] for r in rows], np.float64).reshape(-1, len(names))
     return dict(zip(names, stats.T)), np.array([not r["good"] for r in rows], bool)
 
 
 def apply_rules(counts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``counts`` with ``base_failed``, ``rule`` (number of the rejecting rule) and ``kept``."""
-    out = counts.withColumns({k: F.expr(v) for k, v in SHARES.items()})
+    """``counts`` with ``base_failed``, ``rule`` (number of the rejecting rule) and ``kept`` (in place of columns of those names)."""
+    columns = [c for c in counts.columns if c not in RESULTS]
+    out = counts.select(box(columns).alias("row"), *COUNTS).withColumns({k: F.expr(v) for k, v in SHARES.items()})
     out = out.withColumn("base_failed", F.expr(BASE_RULE)).withColumn("rule", rules_expression(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*SHARES)
+    return unbox(out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), columns, RESULTS)

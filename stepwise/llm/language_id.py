@@ -12,6 +12,8 @@ Defined results: a text that is null or has no letter is ``und`` with score
 or language are never learned from.  Ties go to the language first in
 alphabetical order.  Long texts are cut into windows, so memory does not
 depend on the length of the rows in flight beyond the texts themselves.
+Repeated rows are labelled alike; an empty table gives no rows.  Columns named
+like the results are replaced, others are untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.llm.common import box, unbox
+
 WINDOW = 128
 HIDDEN = 8
 BATCH = 2048
@@ -248,7 +252,7 @@ def training_sample(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, budget:
     chosen = draw < F.element_at(F.map_from_arrays(F.lit(list(below)), F.lit(list(below.values()))), F.col("lang"))
     place = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.greatest(F.lit(1), F.char_length("text") - 512)) + 1
     snippet = F.substring(F.col("text"), place.cast("int"), F.lit(512))
-    got = rows.where(chosen).select(snippet.alias("s"), "lang", "doc_id").limit(2 * max(budget, len(counts))).collect()
+    got = rows.where(chosen).select(snippet.alias("s"), "lang", "doc_id").orderBy(draw, "doc_id", "lang", "s").limit(2 * max(budget, len(counts))).collect()
     got.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["s"]))
     return [(r["s"], r["lang"]) for r in got]
 
@@ -256,24 +260,26 @@ def training_sample(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, budget:
 def identify(docs: DataFrame, net: Network | None, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` with ``lang_pred`` and ``score``; one narrow pass, no shuffle."""
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*id_cols, F.when(letters, F.col(text_col)).alias("_text"))
+    results = ["lang_pred", "score"]
+    id_cols = [c for c in id_cols if c not in results]
+    rows = docs.select(box(id_cols).alias("row"), F.when(letters, F.col(text_col)).alias("text"))
     if net is None:
-        return rows.select(*id_cols, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    schema = rows.select(*id_cols).schema.add("lang_pred", "string").add("score", "double")
+        return unbox(rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)}), id_cols, results)
+    schema = rows.select("row").schema.add("lang_pred", "string").add("score", "double")
+
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(net)
         names = labeller.net.langs
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("text").to_pylist()
             p = labeller.documents([t or "" for t in texts])
             best = p.argmax(axis=1)
-            ids = [batch.column(c) for c in id_cols]
             lang = pa.array([names[b] if t is not None else "und" for b, t in zip(best, texts)], pa.string())
             score = pa.array([float(min(1.0, p[i, b])) if t is not None else 0.0
                               for i, (b, t) in enumerate(zip(best, texts))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*ids, lang, score], names=[*id_cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), lang, score], names=["row", *results])
 
-    return rows.mapInArrow(label, schema)
+    return unbox(rows.mapInArrow(label, schema), id_cols, results)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stepwise.llm import suffix_dedup
+from stepwise.llm.common import unbox
 
 WORDS = 51
 GRAM = 10
@@ -93,18 +94,19 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM,
                     shard_words: int = SHARD_WORDS, shard_spans: int = suffix_dedup.SHARD_SPANS) -> DataFrame:
     """``docs`` with ``kept`` and ``n_removed`` in words (replacing columns of those names)."""
-    columns = [c for c in docs.columns if c not in ("kept", "n_removed")]
-    keyed = suffix_dedup._key_columns(docs.select(*columns), id_col, text_col)
+    results = ["kept", "n_removed"]
+    columns = [c for c in docs.columns if c not in results]
+    keyed = suffix_dedup._key_columns(docs, id_col, text_col)
     ranges = suffix_dedup.repeated_ranges(keyed, words, gram, shard_words, shard_spans, SYMBOLS)
     joined = (keyed.join(ranges.withColumnsRenamed({"did": "_did", "th": "_th"}), ["_did", "_th"], "left")
-              .select(*columns, "_text", "ranges"))
-    schema = joined.select(*columns).schema.add("kept", "string").add("n_removed", "long")
+              .select("row", "_text", "ranges"))
+    schema = joined.select("row").schema.add("kept", "string").add("n_removed", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [cut(text, [(r["a"], r["b"]) for r in ranges or []])
                     for text, ranges in zip(batch.column("_text").to_pylist(), batch.column("ranges").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([k for k, _ in both], pa.string()),
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([k for k, _ in both], pa.string()),
                                               pa.array([n for _, n in both], pa.int64())], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return unbox(joined.mapInArrow(run, schema), columns, results)

@@ -15,7 +15,9 @@ Defined results: null text counts as empty; a text without words has the
 features of length 0 only; rows without a rating are not learned from; an id
 rated several times has its lowest rating.  Without at least two grades to
 learn from every text gets the top grade with probability 1, so nothing is
-rejected.
+rejected.  Long texts are scored whole; repeated rows score alike, and a
+probability of exactly ``min_tail`` is kept; an empty table gives no rows.  Columns named like the results are replaced,
+others are untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.llm.common import box, unbox
+
 PLACES = 1 << 18
 MAX_ROWS = 3000
+#: Expected share of features that get a weight by chance alone.
+FALSE_RATE = 0.001
 SEED = 29
+RESULTS = ["expected_grade", "tail_prob", "kept"]
 CACHE_WORDS = 300_000
 
 _MARKS = ".,;:!?"
@@ -107,30 +114,41 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def _telling_places(data: list, grades: int, min_texts: int, min_z: float) -> np.ndarray:
-    """Places whose texts exceed some grade more or less often than all do, by ``min_z`` standard errors."""
+def _telling_places(data: list, grades: int, min_texts: int, false_rate: float) -> np.ndarray:
+    """Places whose texts exceed some grade more or less often than all do.
+
+    Of the places found for a grade, a share of ``false_rate`` is expected to
+    be there by chance (Benjamini and Hochberg's step-up over the places of
+    ``min_texts`` texts or more), so the bound follows the numbers of features
+    and of rated rows.
+    """
     grade = np.array([g for _, _, g in data])
     size = [len(p) for p, _, _ in data]
     places = np.concatenate([p for p, _, _ in data])
     n = np.bincount(places, minlength=PLACES)
     telling = n == len(data)
+    often = np.flatnonzero(n >= min_texts)
     for k in range(grades - 1):
         above = (grade > k).astype(np.float64)
         total = np.bincount(places, weights=np.repeat(above, size), minlength=PLACES)
-        z = (total - n * above.mean()) / (max(above.std(), 1e-9) * np.sqrt(np.maximum(n, 1)))
-        telling |= (n >= min_texts) & (np.abs(z) >= min_z)
+        z = (total - n * above.mean())[often] / (max(above.std(), 1e-9) * np.sqrt(n[often]))
+        chance = np.array([math.erfc(abs(v) / math.sqrt(2)) for v in z.tolist()])
+        order = np.argsort(chance, kind="stable")
+        passed = np.flatnonzero(chance[order] <= false_rate * np.arange(1, len(order) + 1) / max(len(order), 1))
+        if len(passed):
+            telling[often[order[:passed[-1] + 1]]] = True
     return telling
 
 
 def train(rows: list[tuple[str | None, int]], grades: int, epochs: int = 8, rate: float = 0.3, l2: float = 1e-4,
-          min_texts: int = 5, min_z: float = 6.0, seed: int = SEED) -> OrdinalModel | None:
+          min_texts: int = 5, false_rate: float = FALSE_RATE, seed: int = SEED) -> OrdinalModel | None:
     """AdaGrad on the cumulative-link likelihood over the telling places; the others keep weight 0."""
     seen = Counter(g for _, g in rows)
     if len(seen) < 2:
         return None
     features = Features()
     data = [(*features(text), grade) for text, grade in rows]
-    telling = _telling_places(data, grades, min_texts, min_z)
+    telling = _telling_places(data, grades, min_texts, false_rate)
     data = [(p[keep], v[keep], g) for p, v, g in data for keep in [telling[p]]]
     w, gw = np.zeros(PLACES, np.float32), np.full(PLACES, 0.1, np.float32)
     # thresholds: theta_0 = t[0], theta_k = theta_{k-1} + exp(t[k])
@@ -174,33 +192,32 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS)
     one = (ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
            .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows))
     got = (docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")
-           .select("doc_id", "text", "grade").limit(2 * max_rows).collect())
+           .select("doc_id", "text", "grade")
+           .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", F.xxhash64("text"), "text").limit(2 * max_rows).collect())
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return [(r["text"], int(r["grade"])) for r in got]
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, columns: list[str], grades: int, keep_grade: int,
           min_tail: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``columns`` with ``expected_grade``, ``tail_prob`` = P(grade >= keep_grade) and ``kept``."""
-    rows = docs.select(*columns, F.col(text_col).alias("_text"))
+    """``columns`` with ``expected_grade``, ``tail_prob`` = P(grade >= keep_grade) and ``kept`` (in place of columns of those names)."""
+    columns = [c for c in columns if c not in RESULTS]
+    rows = docs.select(box(columns).alias("row"), F.col(text_col).alias("text"))
     if model is None:
-        return rows.select(*columns, F.lit(float(grades - 1)).alias("expected_grade"), F.lit(1.0).alias("tail_prob"),
-                           F.lit(True).alias("kept"))
-    schema = (rows.select(*columns).schema.add("expected_grade", "double").add("tail_prob", "double").add("kept", "boolean"))
+        rows = rows.withColumns({"expected_grade": F.lit(float(grades - 1)), "tail_prob": F.lit(1.0), "kept": F.lit(True)})
+        return unbox(rows, columns, RESULTS)
+    schema = rows.select("row").schema.add("expected_grade", "double").add("tail_prob", "double").add("kept", "boolean")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(model.weights != 0)
         for batch in batches:
-            tails = [model.tails(*features(t)) for t in batch.column("_text").to_pylist()]
+            tails = [model.tails(*features(t)) for t in batch.column("text").to_pylist()]
             expected = pa.array([float(x.sum()) for x in tails], pa.float64())
             tail = pa.array([float(x[keep_grade - 1]) for x in tails], pa.float64())
             kept = pa.array([bool(x[keep_grade - 1] >= min_tail) for x in tails], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), expected, tail, kept], schema=_arrow(batch, columns))
-
-    def _arrow(batch: pa.RecordBatch, cols: list[str]) -> pa.Schema:
-        return pa.schema([*(batch.schema.field(c) for c in cols), pa.field("expected_grade", pa.float64()),
-                          pa.field("tail_prob", pa.float64()), pa.field("kept", pa.bool_())])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), expected, tail, kept], names=["row", *RESULTS])
 
-    return rows.mapInArrow(run, schema)
+    return unbox(rows.mapInArrow(run, schema), columns, RESULTS)
 
 
 def graded(labels: DataFrame) -> DataFrame:

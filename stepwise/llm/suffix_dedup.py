@@ -24,7 +24,9 @@ the corpus is removed (UTF-8 bytes; matches never cross documents).
 
 Defined results: null text counts as empty; a repeated row is a repeated
 text (all of its bytes go, if there are at least ``LENGTH``); a null id is an
-ordinary id.  Nothing whole passes through the driver or one task.
+ordinary id; texts of any length are read in parts; an empty table gives no
+rows; columns named like the results are replaced, others are untouched
+whatever their names.  Nothing whole passes through the driver or one task.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import materialise
+from stepwise.llm.common import box, materialise, unbox
 
 LENGTH = 400
 GRAM = 64
@@ -125,10 +127,13 @@ def spans_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
 
 
 def _key_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A document is its id and text hash; equal ones are cut alike."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("_text", text).withColumn("_did", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).cast("bigint")).withColumn(
-        "_th", F.xxhash64("_text"))
+    """A document is its id and text hash; equal ones are cut alike.  ``(row, _text, _did, _th)`` with all columns in ``row``.
+
+    A null id counts as -1: with the text's hash beside it, it meets a real -1 of the same text alone.
+    """
+    rows = docs.select(box(docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+                       F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)).cast("bigint").alias("_did"))
+    return rows.withColumn("_th", F.xxhash64("_text"))
 
 
 ANCHORS = "h bigint, s bigint, len int, did bigint, th bigint, lo bigint"
@@ -427,13 +432,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``kept`` holds the remaining bytes; as text it leaves out characters that a cut went through.
     """
-    columns = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    keyed = _key_columns(docs.select(*columns), id_col, text_col)
+    results = ["kept", "n_bytes", "n_removed", "n_spans"]
+    columns = [c for c in docs.columns if c not in results]
+    keyed = _key_columns(docs, id_col, text_col)
     ranges = repeated_ranges(keyed, length, gram, shard_bytes, shard_spans)
     joined = (keyed.join(ranges.withColumnsRenamed({"did": "_did", "th": "_th"}), ["_did", "_th"], "left")
-              .select(*columns, "_text", "ranges"))
+              .select("row", "_text", "ranges"))
     kind = "string" if as_text else "binary"
-    schema = (joined.select(*columns).schema.add("kept", kind).add("n_bytes", "long").add("n_removed", "long")
+    schema = (joined.select("row").schema.add("kept", kind).add("n_bytes", "long").add("n_removed", "long")
               .add("n_spans", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,10 +451,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
                 counts.append((len(raw), len(raw) - len(left), spans))
             table = np.array(counts, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(kept, pa.string() if as_text else pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string() if as_text else pa.binary()),
                                               *(pa.array(table[:, k]) for k in range(3))], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return unbox(joined.mapInArrow(run, schema), columns, results)
 
 
 def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:

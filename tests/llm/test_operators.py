@@ -28,6 +28,18 @@ def edge(spark):
     return df.withColumns({"kept": F.lit("x"), "n_words": F.lit(0), "score": F.lit("y"), "fingerprint": F.lit(1)})
 
 
+def _clash(edge):
+    """More columns named like those that operators work with."""
+    return edge.withColumns({c: F.lit(f"own {c}") for c in OWN_NAMES})
+
+
+OWN_NAMES = ["_text", "_did", "_th", "_row", "row", "ranges", "_rank", "place", "_cut", "_rest", "_"]
+
+
+def _carried(df):
+    return collections.Counter(df.select("doc_id", "text", *(c for c in OWN_NAMES)).collect())
+
+
 @pytest.fixture(scope="module")
 def none(edge):
     return edge.where("false")
@@ -94,6 +106,23 @@ def test_ordinal_quality(spark, edge, none):
     assert all(r.kept for r in quality_ordinal.score(edge.select("doc_id", "text"), None, ["doc_id"], 3, 2).collect())
     assert quality_ordinal.score(none.select("doc_id", "text"), model, ["doc_id"], 3, 2).count() == 0
     assert quality_ordinal.train([("a", 1)], 3) is None
+    clash = _clash(edge)
+    for m in (model, None):
+        out = quality_ordinal.score(clash, m, clash.columns, 3, 2)
+        assert out.columns == [c for c in clash.columns if c != "kept"] + quality_ordinal.RESULTS
+        assert _carried(out) == _carried(clash)
+
+
+def test_ordinal_features_follow_the_number_of_ratings():
+    """A word that always goes with a low grade gets a weight from 60 ratings on, one by chance hardly ever from 600."""
+    rng = random.Random(3)
+    noise = [f"n{i}" for i in range(300)]
+    for n in (60, 600):
+        data = [(" ".join(rng.choices(noise, k=30)) + (" awful" if i % 3 == 0 else ""), int(i % 3 > 0)) for i in range(n)]
+        f = quality_ordinal.Features()
+        telling = quality_ordinal._telling_places([(*f(t), g) for t, g in data], 2, 5, quality_ordinal.FALSE_RATE)
+        assert telling[quality_ordinal._place("w", "awful")]
+        assert sum(telling[quality_ordinal._place("w", w)] for w in noise) <= 2
 
 
 def test_tool_calls_links_orders_and_validates(spark):
@@ -243,6 +272,10 @@ def test_decision_lists(spark, edge, none):
     got = decision_lists.apply_rules(counts, []).collect()
     assert len(got) == len(EDGE) and not any(r.kept for r in got if r.n_words < 50)
     assert decision_lists.with_counts(none.select("doc_id", "text"), ["doc_id"]).count() == 0
+    clash = _clash(edge).withColumns({"symbol_share": F.lit("s"), "rule": F.lit("r")})
+    out = decision_lists.apply_rules(decision_lists.with_counts(clash, clash.columns), rules[:0])
+    assert len(set(out.columns)) == len(out.columns) and _carried(out) == _carried(clash)
+    assert {r.symbol_share for r in out.collect()} == {"s"}
 
 
 def _brute_cut(texts, length):
@@ -313,6 +346,36 @@ def test_passages_equal_brute_force(spark, sizes, monkeypatch):
     assert passages.remove_passages(df.where("false")).count() == 0
 
 
+def test_cuts_carry_clashing_columns(spark, edge):
+    clash = _clash(edge)
+    for out in (passages.remove_passages(clash), suffix_dedup.remove_repeats(clash, as_text=True)):
+        assert _carried(out) == _carried(clash) and len(set(out.columns)) == len(out.columns)
+    out = language_id.identify(clash, None, clash.columns)
+    assert _carried(out) == _carried(clash)
+
+
+@pytest.mark.parametrize("stage", ["quality_classifier", "quality_rules", "near_dedup", "suffix_array_dedup"])
+def test_pipeline_stages_keep_columns(spark, sf, edge, stage):
+    """Rows that a stage keeps have their columns as they were; empty tables stay empty."""
+    clash = _clash(edge).withColumn("n_chars", F.length("text").cast("long"))
+    words = " ".join(f"word{i} tells{i} more" for i in range(60))
+    good = clash.where("doc_id = 3").withColumns({"text": F.lit(words), "doc_id": F.lit(77).cast("long")})
+    twice = good.withColumns({"doc_id": F.lit(78).cast("long"), "text": F.concat(F.lit("first "), "text")})
+    docs = clash.unionByName(good).unionByName(twice).unionByName(twice.withColumn("text", F.lit(words * 2)))
+    run = dict(corpus_pipeline.STAGES)[stage]
+    out = run(spark, docs, sf)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert {r["_rank"] for r in got} <= {"own _rank"} and {r["_cut"] for r in got} <= {"own _cut"}
+    ids = collections.Counter(r.doc_id for r in got)
+    assert ids[77] == 1
+    if stage == "near_dedup":
+        assert 78 not in ids and ids[None] == 1 and ids[1] == 1
+    if stage == "quality_rules":
+        assert not {1, 2, 3, 5, 6} & set(ids)
+    assert run(spark, docs.where("false"), sf).count() == 0
+
+
 def test_pipeline_cuts_passages_of_over_fifty_words(spark, sf):
     docs = [(d, "en", t, len(t)) for d, t in _planted_passages() if d is not None and t]
     df = spark.createDataFrame(docs, "doc_id long, lang string, text string, n_chars long")
