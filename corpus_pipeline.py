@@ -7,7 +7,8 @@ shared folder and starts the next one from the files.
 Defined results: null texts have low quality scores like empty ones and are
 dropped by the rules; rows without an id link with nothing and stay; rows
 that share an id are one document, of which the first by text stays; clean
-documents stay.
+documents stay; long texts are handled whole; an empty table gives no pieces.
+Extra columns are carried through whatever their names, and none is read.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepwise.llm import decision_lists, minhash_join, packing, passages, q_text
-from stepwise.llm.common import materialise, table
+from stepwise.llm.common import box, materialise, table
 
 # SQL cannot express the learned and byte-level stages.
 ORACLE_SQL = None
@@ -47,23 +48,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = materialise(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if again.isEmpty():
         return left
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
-    one = (left.join(again, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(first)).where("_rank = 1")
-           .select(*docs.columns))
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64("row"))
+    one = left.join(again, "doc_id", "left_semi").select("doc_id", "text", box(docs.columns).alias("row"))
+    one = one.withColumn("place", F.row_number().over(first)).where("place = 1").select("row.*")
     return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of over 50 words that occur elsewhere; ``n_chars`` follows the text."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    slim = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
-    out = passages.remove_passages(slim)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.select("doc_id", text.alias("text"), *(F.col(f"_rest.`{c}`").alias(c) for c in rest), F.col("n_removed").alias("_cut"))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = passages.remove_passages(docs.select("doc_id", "text", box(rest).alias("row")))
+    cut = F.col("n_removed") > 0
+    now = {c: F.col(f"row.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.when(cut, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in now:
+        now["n_chars"] = F.when(cut, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(now["n_chars"])
+    return out.select(*(now[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
