@@ -16,10 +16,13 @@ from stepwise.functions.text import py_strip
 
 def chains_from_rows(rows: DataFrame, id_col: str = "id", index_col: str = "step_index",
                      text_col: str = "step", carry: tuple[str, ...] = ("question",)) -> DataFrame:
-    """Long step rows -> ``(id, carried..., steps array<string>)`` in index order."""
+    """Long step rows -> ``(id, carried..., steps array<string>)`` in index order.
+
+    A row without an index carries no step, so an id with such rows alone has an empty chain.
+    """
     aggs = [F.first(c, ignorenulls=True).alias(c) for c in carry]
-    aggs.append(F.sort_array(F.collect_list(F.struct(F.col(index_col).alias("i"),
-                                                     F.col(text_col).alias("t")))).alias("_s"))
+    item = F.when(F.col(index_col).isNotNull(), F.struct(F.col(index_col).alias("i"), F.col(text_col).alias("t")))
+    aggs.append(F.sort_array(F.collect_list(item)).alias("_s"))
     return (rows.groupBy(id_col).agg(*aggs)
             .withColumn("steps", F.transform("_s", lambda x: x["t"])).drop("_s"))
 
@@ -61,11 +64,13 @@ def expand_steps(chains: DataFrame, id_col: str = "id", question_col: str = "que
 
 def split_steps(chains: DataFrame, id_col: str = "id", question_col: str = "question",
                 steps_col: str = "steps", error_steps_col: str = "error_steps",
-                class_col: str = "classification", default_class: str = "unclassified") -> DataFrame:
+                class_col: str = "classification", default_class: str = "unclassified",
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """One sample per step with 1-based ``step_id`` and the earlier steps as an array.
 
     Chains without steps are skipped; ``is_error`` is membership of the
-    step id in ``error_steps``.
+    step id in ``error_steps``.  ``carry`` names columns (a record's metadata)
+    that every step of the record keeps.
     """
     c = chains.where(F.size(F.col(steps_col)) > 0)
     ex = c.select(F.col(id_col).alias("original_id"),
@@ -73,12 +78,13 @@ def split_steps(chains: DataFrame, id_col: str = "id", question_col: str = "ques
                   F.col(steps_col).alias("_steps"),
                   F.coalesce(F.col(error_steps_col), F.array().cast("array<int>")).alias("error_steps"),
                   F.coalesce(F.col(class_col), F.lit(default_class)).alias("classification"),
+                  *carry,
                   F.posexplode(F.col(steps_col)).alias("_p", "current_step"))
     return ex.select(
         "original_id", (F.col("_p") + 1).cast("int").alias("step_id"), "question",
         F.slice("_steps", F.lit(1), F.col("_p")).alias("previous_steps"),
         "current_step", "error_steps", "classification",
-        F.array_contains("error_steps", (F.col("_p") + 1).cast("int")).alias("is_error"))
+        F.array_contains("error_steps", (F.col("_p") + 1).cast("int")).alias("is_error"), *carry)
 
 
 def running_history(rows: DataFrame, id_col: str, order_col: str, text_col: str,
@@ -176,16 +182,13 @@ def expand_candidates(df: DataFrame, id_col: str = "id", col: str = "candidates"
 # Field resolution over raw JSON records (names vary between data sets)
 # --------------------------------------------------------------------------
 
-def _json_type(v: Column, key: str) -> Column:
-    return F.schema_of_variant(F.variant_get(v, f"$.{key}", "variant"))
-
-
 def _json_text(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "string")
 
 
-def _truthy_from(t: Column, s: Column) -> Column:
-    """Python truthiness from a value's variant type and text (absent / null are false)."""
+def _truthy(f: Column) -> Column:
+    """Python truthiness of a field from its JSON type and text (absent / null are false)."""
+    t, s = f["t"], f["s"]
     return (F.when(t.isNull() | (t == "VOID"), F.lit(False))
             .when(t == "STRING", s != "")
             .when(t.startswith("ARRAY"), s != "[]")
@@ -194,43 +197,44 @@ def _truthy_from(t: Column, s: Column) -> Column:
             .otherwise(F.coalesce(s.cast("double") != 0, F.lit(True))))
 
 
+def _chain_of(f: Column) -> Column:
+    """``ok`` and ``steps`` of a field: a list's items, a text as the only step; anything else is not ok."""
+    is_list, is_text = f["t"].startswith("ARRAY"), f["t"] == "STRING"
+    items = F.when(is_text, F.array(f["s"])).when(is_list, F.try_variant_get(f["v"], "$", "array<string>"))
+    return F.struct((is_list | is_text).alias("ok"), items.alias("steps"))
+
+
+# Fields of a record by the names they go under; the first truthy one counts.
+TRUTHY_NAMES = {"id": ["id", "idx"], "question": ["question", "problem", "text", "prompt"],
+                "steps": ["steps", "reasoning", "explanation"], "answer": ["final_answer", "answer", "label"],
+                "explanation": ["explanation"]}
+
+
 def resolve_truthy(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Chains from records whose field names vary: first *truthy* name wins.
 
-    question: question | problem | text | prompt | '';
-    steps: steps | reasoning | explanation, a string becomes a one-step
-    list and any other non-list value drops the record;
-    answer: final_answer | answer | label | ''; id: id | idx | ''.
-    Each key's type and text are extracted once per record.
+    ``TRUTHY_NAMES`` has the names; a missing field is '' (no steps: an empty
+    list).  Steps that are a string become a one-step list, and any other
+    non-list value drops the record.  A record is parsed once, to a struct of
+    its fields; a field's type and text are taken once for each column that
+    may come from it, so the plan grows with the number of names.
     """
-    groups = {"id": ["id", "idx"], "question": ["question", "problem", "text", "prompt"],
-              "steps": ["steps", "reasoning", "explanation"], "answer": ["final_answer", "answer", "label"]}
-    keys = sorted({k for ks in groups.values() for k in ks})
-    df = raw.select(F.parse_json(F.col(raw_col)).alias("_v"))
-    df = df.select("_v", *[_json_type(F.col("_v"), k).alias(f"_t_{k}") for k in keys],
-                   *[_json_text(F.col("_v"), k).alias(f"_s_{k}") for k in keys])
-    df = df.select("*", *[_truthy_from(F.col(f"_t_{k}"), F.col(f"_s_{k}")).alias(f"_b_{k}") for k in keys])
-
-    def first(names, value):
-        expr = None
-        for k in reversed(names):
-            expr = F.when(F.col(f"_b_{k}"), value(k)) if expr is None else F.when(F.col(f"_b_{k}"), value(k)).otherwise(expr)
-        return expr
-
-    text = lambda k: F.col(f"_s_{k}")
-    df = df.select("*", first(groups["steps"], F.lit).alias("_sk"))
-    sk_type = F.coalesce(*[F.when(F.col("_sk") == k, F.col(f"_t_{k}")) for k in groups["steps"]])
-    df = df.select("*", sk_type.alias("_skt"))
-    steps = F.coalesce(*[F.when(F.col("_sk") == k, F.when(F.col("_skt") == "STRING", F.array(text(k)))
-                                .when(F.col("_skt").startswith("ARRAY"),
-                                      F.try_variant_get(F.col("_v"), f"$.{k}", "array<string>")))
-                         for k in groups["steps"]])
-    return (df.where(F.col("_sk").isNull() | (F.col("_skt") == "STRING") | F.col("_skt").startswith("ARRAY"))
-              .select(F.coalesce(first(groups["id"], text), F.lit("")).alias("id"),
-                      F.coalesce(first(groups["question"], text), F.lit("")).alias("question"),
-                      F.coalesce(steps, F.array().cast("array<string>")).alias("steps"),
-                      F.coalesce(first(groups["answer"], text), F.lit("")).alias("answer"),
-                      F.coalesce(F.when(F.col("_b_explanation"), text("explanation")), F.lit("")).alias("explanation")))
+    keys = sorted({k for names in TRUTHY_NAMES.values() for k in names})
+    schema = ", ".join(f"`{k}` variant" for k in keys)
+    fields = raw.select(F.from_json(F.col(raw_col), schema, {"mode": "FAILFAST"}).alias("f"))
+
+    def field(k: str) -> Column:
+        v = F.col(f"f.`{k}`")
+        return F.struct(F.schema_of_variant(v).alias("t"), F.try_variant_get(v, "$", "string").alias("s"), v.alias("v"))
+
+    def first(name: str, value) -> Column:
+        found = F.filter(F.array(*map(field, TRUTHY_NAMES[name])), _truthy)
+        return F.get(F.transform(F.slice(found, 1, 1), value), 0)
+
+    texts = {c: F.coalesce(first(c, lambda f: f["s"]), F.lit("")).alias(c) for c in ("id", "question", "answer", "explanation")}
+    rows = fields.select(texts["id"], texts["question"], first("steps", _chain_of).alias("chain"), texts["answer"], texts["explanation"])
+    return (rows.where("chain is null or chain.ok")
+            .select("id", "question", F.coalesce("chain.steps", F.array().cast("array<string>")).alias("steps"), "answer", "explanation"))
 
 
 def resolve_presence(raw: DataFrame, raw_col: str = "raw") -> DataFrame:

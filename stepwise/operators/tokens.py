@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions import templates as T
-from stepwise.functions.tokens import BOS_ID, EOS_ID, LABEL_PAD, PAD_ID, Tokenizer, hashed_word_tokenizer
+from stepwise.functions.tokens import BOS_ID, EOS_ID, LABEL_PAD, PAD_ID, TextTokenizer, Tokenizer, hashed_word_tokenizer
 
 CHAT_TURN_HEAD = "<|im_start|>"
 CHAT_TURN_TAIL = "<|im_end|>\n"
@@ -33,20 +33,30 @@ def _repeat(v: int, n: Column) -> Column:
     return F.array_repeat(F.lit(v), F.greatest(n, F.lit(0)))
 
 
-def sft_tokenize(df: DataFrame, max_length: int = 2048, tokenizer: Tokenizer | None = None,
+def sft_tokenize(df: DataFrame, max_length: int = 2048, tokenizer: Tokenizer | TextTokenizer | None = None,
                  instruction_col: str = "instruction", output_col: str = "output") -> DataFrame:
     """``input_ids`` / ``attention_mask`` / ``labels`` for instruction tuning.
 
     The full text is ``prompt + output`` followed by the end-of-sequence id;
     full text and prompt are truncated to ``max_length`` separately and the
     first ``len(prompt_ids)`` labels are masked with -100.
+
+    A ``TextTokenizer`` gets the joined text with its end token in one piece
+    and the prompt alone, each with the special ids that it adds to a text; a
+    plain column function is taken to split at the border, so its prompt ids
+    are reused.
     """
     tok = tokenizer or hashed_word_tokenizer()
     prompt = F.concat(F.lit(T.INSTRUCTION_HEAD), F.col(instruction_col), F.lit(T.RESPONSE_HEAD))
-    out = (df.withColumn("_p", tok(prompt))
-             .withColumn("input_ids", keep_first(F.concat(F.col("_p"), tok(F.col(output_col)),
-                                                          F.array(F.lit(EOS_ID))), max_length))
-             .withColumn("prompt_len", F.size(keep_first(F.col("_p"), max_length))))
+    if isinstance(tok, TextTokenizer):
+        joined = F.concat(F.coalesce(prompt, F.lit("")), F.coalesce(F.col(output_col), F.lit("")), F.lit(tok.eos_token))
+        out = (df.withColumn("_p", keep_first(tok.encode_whole(prompt), max_length))
+                 .withColumn("input_ids", keep_first(tok.encode_whole(joined), max_length)))
+    else:
+        out = (df.withColumn("_p", keep_first(tok(prompt), max_length))
+                 .withColumn("input_ids", keep_first(F.concat(F.col("_p"), tok(F.col(output_col)),
+                                                              F.array(F.lit(EOS_ID))), max_length)))
+    out = out.withColumn("prompt_len", F.size("_p"))
     return (out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
                .withColumn("labels", F.transform("input_ids", lambda x, i: F.when(i < F.col("prompt_len"),
                                                                                    F.lit(LABEL_PAD)).otherwise(x)))
@@ -55,13 +65,21 @@ def sft_tokenize(df: DataFrame, max_length: int = 2048, tokenizer: Tokenizer | N
 
 def preference_tokenize(df: DataFrame, max_prompt_length: int | None = 800,
                         max_completion_length: int | None = None, add_special_tokens: bool = False,
-                        tokenizer: Tokenizer | None = None) -> DataFrame:
-    """Prompt keeps its *last* tokens, completions their *first*; eos ends each completion."""
-    tok = tokenizer or hashed_word_tokenizer()
+                        tokenizer: Tokenizer | TextTokenizer | None = None) -> DataFrame:
+    """Prompt keeps its *last* tokens, completions their *first*; eos ends each completion.
+
+    Special ids are those of a ``TextTokenizer`` (a prompt gets only those
+    that it has), else the default vocabulary's.
+    """
+    tok, bos_id, eos_id = tokenizer or hashed_word_tokenizer(), BOS_ID, EOS_ID
+    if isinstance(tok, TextTokenizer):
+        tok, bos_id, eos_id = tok.encode, tok.bos_id, tok.eos_id
+        if eos_id is None:
+            raise ValueError("completions end with the tokenizer's eos id, and it has none")
     p = tok(F.col("prompt"))
     if add_special_tokens:
-        p = F.concat(F.array(F.lit(BOS_ID)), p, F.array(F.lit(EOS_ID)))
-    eos = F.array(F.lit(EOS_ID))
+        p = F.concat(*(F.array(F.lit(i)) for i in (bos_id,) if i is not None), p, F.array(F.lit(eos_id)))
+    eos = F.array(F.lit(eos_id))
     return (df.withColumn("prompt_input_ids", keep_last(p, max_prompt_length))
               .withColumn("chosen_input_ids", keep_first(F.concat(tok(F.col("chosen")), eos), max_completion_length))
               .withColumn("rejected_input_ids", keep_first(F.concat(tok(F.col("rejected")), eos), max_completion_length)))

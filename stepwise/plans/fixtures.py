@@ -22,14 +22,16 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 FIXTURE_SQL: dict[str, str] = {}
 
-# one row per step; question = first user turn
+# one row per step; question = first user turn; a question without steps has one row with null step_index and step
 FIXTURE_SQL["f_chain"] = """
-select c.conv_id as id, cast(row_number() over (partition by c.conv_id order by c.turn) - 1 as int) as step_index,
-       q.text as question, c.text as step
-from {conversations} c
-join (select conv_id, min(turn) as t0 from {conversations} where role = 'user' group by conv_id) f on c.conv_id = f.conv_id
+select q.conv_id as id, s.step_index, q.text as question, s.step
+from (select conv_id, min(turn) as t0 from {conversations} where role = 'user' group by conv_id) f
 join {conversations} q on q.conv_id = f.conv_id and q.turn = f.t0
-where c.turn <> f.t0 and c.role <> 'system'
+left join (
+  select c.conv_id, cast(row_number() over (partition by c.conv_id order by c.turn) - 1 as int) as step_index, c.text as step
+  from {conversations} c
+  join (select conv_id, min(turn) as t0 from {conversations} where role = 'user' group by conv_id) g on c.conv_id = g.conv_id
+  where c.turn <> g.t0 and c.role <> 'system') s on s.conv_id = q.conv_id
 """
 
 # scored steps with missing scores (source key is not unique, hence distinct)

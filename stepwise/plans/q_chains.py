@@ -29,7 +29,7 @@ def _step_states(spark, sf):
 @register("expand_steps", with_fixtures(f"""
 select cast(id as varchar) || '-step' || cast(step_index as varchar) as id, id as orig_id, step_index,
        coalesce(question, '') as question, coalesce({_PREV_NUM}, '') as previous_steps, {_NUM} as now_step
-from f_chain
+from f_chain where step_index is not null
 """, "f_chain"))
 def q_expand_steps(spark, sf):
     return C.expand_steps(_chains(spark, sf)).select("id", "orig_id", "step_index", "question",
@@ -37,7 +37,7 @@ def q_expand_steps(spark, sf):
 
 
 @register("step_prefix_text", with_fixtures(f"""
-select id, step_index, coalesce({_PREV_NUM}, '') as previous_steps from f_chain
+select id, step_index, coalesce({_PREV_NUM}, '') as previous_steps from f_chain where step_index is not null
 """, "f_chain"))
 def q_step_prefix_text(spark, sf):
     ch = _chains(spark, sf)
@@ -63,7 +63,7 @@ select id as original_id, cast(step_index + 1 as int) as step_id, step as curren
        cast(step_index as int) as n_previous,
        coalesce(string_agg(step, chr(10)) {_W_PREV}, '') as previous_text,
        coalesce(length(step) % 5 = 0, false) as is_error, {_CLASS_SQL} as classification
-from f_chain
+from f_chain where step_index is not null
 """, "f_chain"))
 def q_split_steps(spark, sf):
     s = C.split_steps(_classified_chains(spark, sf))
@@ -91,7 +91,7 @@ _PB_PROMPT_SQL = ("concat_ws(chr(10), " + T.sql_literal(T.FIRST_ERROR_VERIFIER_T
 
 
 @register("prompt_pb", with_fixtures(f"""
-select cast(id as varchar) || '-step' || cast(step_index as varchar) as id, {_PB_PROMPT_SQL} as prompt from f_chain
+select cast(id as varchar) || '-step' || cast(step_index as varchar) as id, {_PB_PROMPT_SQL} as prompt from f_chain where step_index is not null
 """, "f_chain"))
 def q_prompt_pb(spark, sf):
     return C.render_first_error_prompt(C.expand_steps(_chains(spark, sf))).select("id", "prompt")
@@ -105,7 +105,7 @@ def _instruction_sql(template):
 @register("prompt_prm", with_fixtures(f"""
 select id as original_id, cast(step_index + 1 as int) as step_id,
        {T.sql_literal(T.INSTRUCTION_HEAD)} || {_instruction_sql(T.CLASSIFIED_VERIFIER_TEMPLATE)} || {T.sql_literal(T.RESPONSE_HEAD)} as prompt
-from f_chain
+from f_chain where step_index is not null
 """, "f_chain"))
 def q_prompt_prm(spark, sf):
     s = C.split_steps(_classified_chains(spark, sf))
@@ -115,7 +115,7 @@ def q_prompt_prm(spark, sf):
 @register("prompt_candidate", with_fixtures(f"""
 select id, step_index,
        {T.sql_literal(T.CHAT_USER_HEAD)} || {_instruction_sql(T.CANDIDATE_VERIFIER_TEMPLATE)} || {T.sql_literal(T.CHAT_ASSISTANT_TAIL)} as prompt
-from f_chain
+from f_chain where step_index is not null
 """, "f_chain"))
 def q_prompt_candidate(spark, sf):
     return C.render_candidate_prompt(_step_states(spark, sf)).select(
@@ -128,7 +128,7 @@ _POLICY_SQL = T.render_sql(T.POLICY_TEMPLATE, question="question",
 
 @register("prompt_policy", with_fixtures(f"""
 select id, step_index, {_POLICY_SQL} || case when step_index > 0 then chr(10) || chr(10) else '' end as prompt
-from f_chain
+from f_chain where step_index is not null
 """, "f_chain"))
 def q_prompt_policy(spark, sf):
     return C.render_policy_prompt(_step_states(spark, sf)).select(

@@ -117,7 +117,7 @@ def q_pref_scan_prune(spark, sf):
 
 @register("sink_roundtrip", with_fixtures("""
 select cast(id as varchar) || '-step' || cast(step_index as varchar) as id, id as orig_id, step_index,
-       'Step ' || cast(step_index + 1 as varchar) || ': ' || step as now_step from f_chain
+       'Step ' || cast(step_index + 1 as varchar) || ': ' || step as now_step from f_chain where step_index is not null
 """, "f_chain"))
 def q_sink_roundtrip(spark, sf):
     ex = C.expand_steps(C.chains_from_rows(fixture(spark, sf, "f_chain"))).select("id", "orig_id", "step_index", "now_step")
@@ -145,7 +145,8 @@ def _via_file(spark, raw, name):
 
 
 _CHAINS_SQL = """
-, ch as (select id, first(question) as question, list(step order by step_index) as steps from f_chain group by id)
+, ch as (select id, first(question) as question, coalesce(list(step order by step_index) filter (where step_index is not null), []) as steps
+          from f_chain group by id)
 """
 
 

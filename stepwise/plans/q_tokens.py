@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stepwise.functions.templates import INSTRUCTION_HEAD, RESPONSE_HEAD, sql_literal
+from stepwise.functions.tokens import DEFAULT_VOCAB, N_SPECIAL, PIECE_PATTERN, hashed_piece_tokenizer
 from stepwise.functions.tokens import hashed_word_tokenizer_sql as tok_sql
 from stepwise.operators import tokens as TK
 from stepwise.operators.ordering import assign_batches
@@ -57,6 +58,60 @@ def q_response_start(spark, sf):
                     F.size(F.filter("labels", lambda x: x != -100)).alias("n_response_tokens"))
 
 
+# a subword tokenizer that joins across the border of prompt and output and leads a text with id 7
+PIECES = hashed_piece_tokenizer(pad_id=5, eos_id=6, bos_id=7)
+CUT_LEN, CUT_PROMPT, CUT_COMPLETION = 200, 12, 40
+
+
+def _piece_sql(expr):
+    return (f"list_transform(regexp_extract_all(coalesce({expr}, ''), '{PIECE_PATTERN}'), lambda w: case when w = '</s>' then {PIECES.eos_id} "
+            f"else cast({N_SPECIAL} + (('0x' || substr(md5(w), 1, 8))::bigint % {DEFAULT_VOCAB - N_SPECIAL}) as integer) end)")
+
+
+def _ids_text(col):
+    return F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
+
+
+@register("sft_joined_labels", with_fixtures(f"""
+, x as (select conv_id, turn, {sql_literal(INSTRUCTION_HEAD)} || instruction || {sql_literal(RESPONSE_HEAD)} as prompt, output from f_sft),
+t as (select conv_id, turn, list_slice(list_concat([{PIECES.bos_id}], {_piece_sql("prompt || output || '</s>'")}), 1, {CUT_LEN}) as ids,
+             least(len({_piece_sql('prompt')}) + 1, {CUT_LEN}) as plen from x)
+select conv_id, turn, cast(plen as int) as prompt_len, array_to_string(ids, ' ') as ids_text,
+       array_to_string(list_transform(ids, lambda v, i: case when i <= plen then -100 else v end), ' ') as labels_text from t
+""", "f_sft"))
+def q_sft_joined_labels(spark, sf):
+    """Prompt, output and end token tokenised as one text by a tokenizer that joins across their border."""
+    t = TK.sft_tokenize(fixture(spark, sf, "f_sft"), CUT_LEN, PIECES)
+    return t.select("conv_id", "turn", "prompt_len", _ids_text("input_ids").alias("ids_text"), _ids_text("labels").alias("labels_text"))
+
+
+@register("pref_collate_padded", with_fixtures(f"""
+, t as (select conv_id, turn, list_concat(list_concat([{PIECES.bos_id}], {_piece_sql('instruction')}), [{PIECES.eos_id}]) as p0,
+               list_concat({_piece_sql('output')}, [{PIECES.eos_id}]) as c0, list_concat({_piece_sql('instruction')}, [{PIECES.eos_id}]) as r0,
+               cast((row_number() over (order by conv_id, turn) - 1) // {PREF_BATCH} as bigint) as batch_id from f_sft),
+u as (select conv_id, turn, batch_id, list_slice(p0, greatest(1, len(p0) - {CUT_PROMPT} + 1), len(p0)) as p,
+             list_slice(c0, 1, {CUT_COMPLETION}) as c, list_slice(r0, 1, {CUT_COMPLETION}) as r from t),
+w as (select *, max(len(p)) over (partition by batch_id) - len(p) as lp, max(len(c)) over (partition by batch_id) - len(c) as rc,
+             max(len(r)) over (partition by batch_id) - len(r) as rr from u)
+select conv_id, turn, batch_id, cast(lp as int) as prompt_left_pads,
+       repeat('{PIECES.pad_id} ', lp) || array_to_string(p, ' ') as prompt_text,
+       array_to_string(c, ' ') || repeat(' {PIECES.pad_id}', rc) as chosen_text,
+       array_to_string(r, ' ') || repeat(' {PIECES.pad_id}', rr) as rejected_text,
+       repeat('0 ', lp) || trim(repeat('1 ', len(p))) as prompt_mask_text,
+       trim(repeat('1 ', len(c))) || repeat(' 0', rc) as chosen_mask_text from w
+""", "f_sft"))
+def q_pref_collate_padded(spark, sf):
+    """Prompts of several tokens, cut at their front and padded there; whole arrays are compared."""
+    src = fixture(spark, sf, "f_sft").select("conv_id", "turn", F.col("instruction").alias("prompt"), F.col("output").alias("chosen"),
+                                             F.col("instruction").alias("rejected"))
+    t = TK.preference_tokenize(src, CUT_PROMPT, CUT_COMPLETION, add_special_tokens=True, tokenizer=PIECES)
+    c = TK.preference_collate(assign_batches(t, ["conv_id", "turn"], PREF_BATCH, unique=True), pad_id=PIECES.pad_id)
+    pads = F.size(F.filter("prompt_attention_mask", lambda x: x == 0))
+    return c.select("conv_id", "turn", "batch_id", pads.alias("prompt_left_pads"), _ids_text("prompt_input_ids").alias("prompt_text"),
+                    _ids_text("chosen_input_ids").alias("chosen_text"), _ids_text("rejected_input_ids").alias("rejected_text"),
+                    _ids_text("prompt_attention_mask").alias("prompt_mask_text"), _ids_text("chosen_attention_mask").alias("chosen_mask_text"))
+
+
 _BATCH_SQL = f"""
 , b as (select *, cast((row_number() over (order by conv_id, turn) - 1) // {SFT_BATCH} as bigint) as batch_id from v)
 """

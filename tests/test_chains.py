@@ -40,6 +40,36 @@ def test_resolve_truthy(spark):
     assert got["3"]["question"] == "T" and got["3"]["steps"] == ["r1", "r2"] and got["3"]["answer"] == "A"
 
 
+def test_resolve_truthy_plan_and_odd_values(spark):
+    """Nulls, zeros, booleans, objects and doubled names as Python reads them; types are taken once a name and column."""
+    raw = spark.createDataFrame([
+        ('{"id": false, "idx": true, "question": null, "problem": {}, "text": {"a": 1}, "steps": {}, "reasoning": null, "answer": 0.0, "label": 2.5}',),
+        ('{"id": 1, "id": 2, "question": "q", "steps": "", "explanation": "why", "answer": []}',),
+        ('{"id": 9, "steps": {"a": 1}}',), ('{}',), (None,),
+    ], "raw string")
+    out = C.resolve_truthy(raw)
+    got = [tuple(r) for r in out.collect()]
+    assert got[0] == ("true", '{"a":1}', [], "2.5", "")
+    assert got[1] == ("2", "q", ["why"], "", "why")          # the last of doubled names
+    assert got[2:] == [("", "", [], "", "")] * 2             # steps that are an object drop the record
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    names = sum(map(len, C.TRUTHY_NAMES.values()))
+    assert plan.count("schema_of_variant") <= names + 2 * len(C.TRUTHY_NAMES["steps"])
+
+
+def test_split_steps_carries_metadata(spark):
+    df = spark.createDataFrame([(1, "q", ["a", "b"], [2], None, {"src": "x"}), (2, "q", [], [], None, {"src": "y"})],
+                               "id long, question string, steps array<string>, error_steps array<int>, classification string, metadata map<string,string>")
+    got = C.split_steps(df, carry=("metadata",)).orderBy("step_id").collect()
+    assert [(r.original_id, r.step_id, r.metadata) for r in got] == [(1, 1, {"src": "x"}), (1, 2, {"src": "x"})]
+
+
+def test_question_without_steps_is_an_empty_chain(spark):
+    df = spark.createDataFrame([(1, 0, "q", "a"), (1, 1, "q", None), (2, None, "p", None)], "id long, step_index int, question string, step string")
+    got = {r.id: (r.question, r.steps) for r in C.chains_from_rows(df).collect()}
+    assert got == {1: ("q", ["a", None]), 2: ("p", [])}
+
+
 def test_resolve_presence(spark):
     raw = spark.createDataFrame([
         ('{"id": null, "idx": 9, "problem": "P", "modified_process": ["a"], "classification": null, "label": "L"}',),

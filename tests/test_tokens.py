@@ -1,7 +1,10 @@
 """Token preparation: golden examples of collation, truncation and packing."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from stepwise.functions import templates as T
+from stepwise.functions.tokens import object_tokenizer
 from stepwise.operators import tokens as TK
 
 
@@ -106,3 +109,46 @@ def test_implicit_prompt_by_prefix_search(spark):
     n = df.select("i", common_prefix_length(F.col("chosen"), F.col("rejected")).alias("n")).collect()
     import os
     assert all(r["n"] == len(os.path.commonprefix(pairs[r["i"]])) for r in n)
+
+
+def _joining():
+    """A caller's tokenizer object, local so that it travels to the workers as a whole."""
+    class Joining:
+        """Pairs of characters over the whole text, led by a begin id: ids of a joined text differ from those of its parts."""
+
+        pad_token_id, eos_token_id, bos_token_id, eos_token = 90, 91, None, "~"
+
+        def __call__(self, text, add_special_tokens=True):
+            ids = [91 if text[i:i + 2] == "~" else sum(map(ord, text[i:i + 2])) for i in range(0, len(text), 2)]
+            return {"input_ids": ([92] if add_special_tokens else []) + ids}
+
+    return Joining()
+
+
+def test_tokenizer_objects_join_across_the_border(spark):
+    joining = _joining()
+    tok = object_tokenizer(joining)
+    assert (tok.pad_id, tok.eos_id, tok.bos_id, tok.eos_token) == (90, 91, None, "~")
+    rows = [("a", "xyz"), ("ab", "xyz"), ("", ""), ("a", None)]
+    df = spark.createDataFrame(rows, "instruction string, output string")
+    for cut in (2048, 20, 3):
+        for r in TK.sft_tokenize(df, cut, tok).collect():
+            prompt = T.INSTRUCTION_HEAD + r.instruction + T.RESPONSE_HEAD
+            full = joining(prompt + (r.output or "") + "~")["input_ids"][:cut]
+            n = len(joining(prompt)["input_ids"][:cut])
+            assert r.input_ids == full and r.labels == [-100] * min(n, len(full)) + full[n:] and r.prompt_len == n
+    pref = spark.createDataFrame([("abcd", "x", "yz")], "prompt string, chosen string, rejected string")
+    r = TK.preference_tokenize(pref, None, None, True, tok).first()
+    assert r.prompt_input_ids == [195, 199, 91] and r.chosen_input_ids == [120, 91] and r.rejected_input_ids == [243, 91]
+    cut = TK.preference_tokenize(pref, 2, 1, True, tok).first()
+    assert cut.prompt_input_ids == [199, 91] and cut.chosen_input_ids == [120]
+
+
+def test_library_tokenizer_objects(spark):
+    """An object of the tokenizers library: ids of the joined text, no special ids of its own."""
+    public = pytest.importorskip("public_tokenizers")
+    lib = pytest.importorskip("tokenizers").Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    df = spark.createDataFrame([("add two", "four")], "instruction string, output string")
+    prompt = T.INSTRUCTION_HEAD + "add two" + T.RESPONSE_HEAD
+    r = TK.sft_tokenize(df, 2048, object_tokenizer(lib)).first()
+    assert r.input_ids == lib.encode(prompt + "four").ids and r.prompt_len == len(lib.encode(prompt).ids)
