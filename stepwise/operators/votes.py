@@ -26,7 +26,8 @@ def vote_counted(votes: DataFrame, keys: Sequence[str], gen_col: str = "gen_idx"
     Labels come from the *last* verdict in ``prefix + text`` (the prompt is
     prepended when ``prefix`` names a column).  Output per key: ``reward``,
     ``n_votes``, ``parse_failed`` (any label missing), ``all_rewards`` and
-    ``verification_labels`` in generation order.  With ``steps`` given, keys
+    ``verification_labels`` in generation order, with ``keep_outputs`` also
+    the ``outputs`` that the labels were read from, prompt included.  With ``steps`` given, keys
     without any vote are kept with reward 0.5 and no labels.
     """
     text = F.col(text_col)
@@ -35,7 +36,7 @@ def vote_counted(votes: DataFrame, keys: Sequence[str], gen_col: str = "gen_idx"
     if prefix:
         text = F.concat(F.col(prefix), text)
     labelled = votes.select(*keys, F.col(gen_col).alias("_g"), last_verdict(text).alias("_label"),
-                            (py_strip(F.col(text_col)) if strip else F.col(text_col)).alias("_t"))
+                            text.alias("_t"))
     labelled = labelled.withColumn("_r", verdict_reward(F.col("_label")))
     item = F.struct("_g", "_r", "_label", "_t") if keep_outputs else F.struct("_g", "_r", "_label")
     agg = (labelled.groupBy(*keys)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from stepwise.functions.verdicts import first_verdict_score, last_verdict, verdict_reward
+from stepwise.operators.votes import vote_counted
 
 CASES = [
     ("Verification: Is the step correct (Yes/No)? Yes", "Yes", 1.0),
@@ -24,3 +25,10 @@ def test_verdict_table(spark):
         assert row["last"] == last, text
         assert row["first"] == first, text
         assert row["reward"] == {"Yes": 1.0, "No": 0.0, None: 0.5}[last]
+
+
+def test_kept_outputs_are_the_texts_that_labels_come_from(spark):
+    votes = spark.createDataFrame([(1, 1, "p: ", " b "), (1, 0, "p: ", "a")], "id int, gen_idx int, prompt string, output string")
+    whole = vote_counted(votes, ["id"], prefix="prompt", keep_outputs=True).first()
+    assert whole.outputs == ["p: a", "p:  b "] and whole.parse_failed and whole.all_rewards == [0.5, 0.5]
+    assert vote_counted(votes, ["id"], strip=True, keep_outputs=True).first().outputs == ["a", "b"]
