@@ -4,6 +4,9 @@ Input is the long vote table ``(key..., gen_idx, text)`` a scorer emits.
 Parsing is a narrow projection; the vote is one hash aggregation on the
 step key with map-side partial aggregation.  The per-key lists are bounded
 by the number of generations per prompt (a scorer parameter, 8 by default).
+A vote is sorted as its generation and its reward alone: labels follow from
+rewards, and texts are a list of their own, which Spark leaves out where
+nobody reads it.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.functions.text import py_strip
-from stepwise.functions.verdicts import first_verdict_score, last_verdict, verdict_reward
+from stepwise.functions.verdicts import first_verdict_score, last_verdict, reward_label, verdict_reward
 
 
 def vote_counted(votes: DataFrame, keys: Sequence[str], gen_col: str = "gen_idx",
@@ -35,20 +38,17 @@ def vote_counted(votes: DataFrame, keys: Sequence[str], gen_col: str = "gen_idx"
         text = py_strip(text)
     if prefix:
         text = F.concat(F.col(prefix), text)
-    labelled = votes.select(*keys, F.col(gen_col).alias("_g"), last_verdict(text).alias("_label"),
+    labelled = votes.select(*keys, F.col(gen_col).alias("_g"), verdict_reward(last_verdict(text)).alias("_r"),
                             text.alias("_t"))
-    labelled = labelled.withColumn("_r", verdict_reward(F.col("_label")))
-    item = F.struct("_g", "_r", "_label", "_t") if keep_outputs else F.struct("_g", "_r", "_label")
+    outputs = [F.sort_array(F.collect_list(F.struct("_g", "_r", "_t")))["_t"].alias("outputs")] if keep_outputs else []
     agg = (labelled.groupBy(*keys)
            .agg(F.avg("_r").alias("reward"),
                 F.count(F.lit(1)).alias("n_votes"),
-                F.max(F.col("_label").isNull()).alias("parse_failed"),
-                F.sort_array(F.collect_list(item)).alias("_v")))
-    agg = (agg.withColumn("all_rewards", F.transform("_v", lambda x: x["_r"]))
-              .withColumn("verification_labels", F.transform("_v", lambda x: x["_label"])))
-    if keep_outputs:
-        agg = agg.withColumn("outputs", F.transform("_v", lambda x: x["_t"]))
-    agg = agg.drop("_v")
+                F.max(reward_label(F.col("_r")).isNull()).alias("parse_failed"),
+                F.sort_array(F.collect_list(F.struct("_g", "_r")))["_r"].alias("all_rewards"),
+                *outputs))
+    labels = F.transform("all_rewards", reward_label).alias("verification_labels")
+    agg = agg.select(*keys, "reward", "n_votes", "parse_failed", "all_rewards", labels, *(["outputs"] if keep_outputs else []))
     if steps is not None:
         agg = (steps.select(*keys).join(agg, list(keys), "left")
                .withColumn("reward", F.coalesce("reward", F.lit(0.5)))
