@@ -230,7 +230,24 @@ def _f_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("pair_id", "prompt", "chosen", "rejected"))
 
 
-FIXTURE_BUILDERS = {"f_pref": _f_pref}
+_STEPS = "select distinct l_orderkey as orig_id, l_linenumber - 1 as step_index from {lineitem}"
+# source rows of a task that makes several rows, and texts, of each of them
+ROWS_PER_TASK = 250_000
+
+
+def _f_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-vote in partitions that hold their votes in memory, whatever the table's size.
+
+    The keys alone are small, so the exchange of the distinct would be
+    coalesced into a few tasks, each with eight texts per key; the number of
+    tasks follows the table's rows instead.
+    """
+    n = max(spark.sparkContext.defaultParallelism, -(-read_table(spark, sf_dir, "lineitem").count() // ROWS_PER_TASK))
+    steps = spark_sql(spark, sf_dir, _STEPS).repartition(n, "orig_id", "step_index")
+    return spark_sql(spark, sf_dir, FIXTURE_SQL["f_vote"].replace(f"({_STEPS})", "{steps}"), steps=steps)
+
+
+FIXTURE_BUILDERS = {"f_pref": _f_pref, "f_vote": _f_vote}
 
 
 @lru_cache(maxsize=None)
