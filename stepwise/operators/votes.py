@@ -69,16 +69,13 @@ def vote_excluding_unparsed(votes: DataFrame, keys: Sequence[str], gen_col: str
     """
     scored = votes.select(*keys, F.col(gen_col).alias("_g"), F.col(text_col).alias("_t"),
                           first_verdict_score(F.col(text_col)).alias("_s"))
-    item = F.struct("_g", "_s", "_t") if keep_outputs else F.struct("_g", "_s")
-    agg = (scored.groupBy(*keys)
-           .agg(F.avg("_s").alias("avg_score"),  # avg skips nulls; all null -> null
-                F.count(F.lit(1)).alias("n_outputs"),
-                F.count("_s").alias("n_valid"),
-                F.sort_array(F.collect_list(item)).alias("_v")))
-    agg = agg.withColumn("scores", F.transform("_v", lambda x: x["_s"]))
-    if keep_outputs:
-        agg = agg.withColumn("outputs", F.transform("_v", lambda x: x["_t"]))
-    return agg.drop("_v")
+    outputs = [F.sort_array(F.collect_list(F.struct("_g", "_s", "_t")))["_t"].alias("outputs")] if keep_outputs else []
+    return (scored.groupBy(*keys)
+            .agg(F.avg("_s").alias("avg_score"),  # avg skips nulls; all null -> null
+                 F.count(F.lit(1)).alias("n_outputs"),
+                 F.count("_s").alias("n_valid"),
+                 F.sort_array(F.collect_list(F.struct("_g", "_s")))["_s"].alias("scores"),
+                 *outputs))
 
 
 def vote_candidates(votes: DataFrame, sample_col: str = "sample_id", idx_col: str = "candidate_idx",
