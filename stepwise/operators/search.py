@@ -40,14 +40,22 @@ def parse_buffer(raw: DataFrame, raw_col: str = "raw", id_type: str = "bigint")
     return out.withColumns({k: value(k) if t == "string" else F.from_json(value(k), t) for k, t in BUFFER_FIELDS.items()})
 
 
-def _side(buffer: DataFrame, side: str) -> DataFrame:
-    """A buffer's rows with their order, their fields and what is present, in one shape for both sides."""
+def _side(buffer: DataFrame, side: str, placed: bool) -> DataFrame:
+    """A buffer's rows with their order, what is present and the fields, in one shape for both sides."""
     have = set(buffer.columns)
-    order = F.col("position") if "position" in have else F.struct(
-        F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("item"))
+    order = F.monotonically_increasing_id()
+    if placed:
+        order = F.col("position") if "position" in have else F.struct(
+            F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), order.alias("row"), F.lit(0).alias("item"))
     fields = [(F.col(k) if k in have else F.lit(None)).cast(t).alias(k) for k, t in BUFFER_FIELDS.items()]
-    present = [(F.coalesce(F.col(f"has_{k}"), F.lit(False)) if f"has_{k}" in have else F.lit(False)).alias(f"has_{k}") for k in BUFFER_FIELDS]
-    return buffer.select("id", F.lit(side).alias("side"), order.alias("at"), F.struct(*fields, *present).alias("row"))
+    present = F.lit(0)
+    for k, bit in _BITS.items():
+        if f"has_{k}" in have:
+            present = present.bitwiseOR(F.when(F.col(f"has_{k}"), F.lit(bit)).otherwise(F.lit(0)))
+    return buffer.select("id", F.lit(side).alias("side"), order.alias("at"), present.alias("present"), F.struct(*fields).alias("row"))
+
+
+_BITS = {k: 1 << i for i, k in enumerate(BUFFER_FIELDS)}
 
 
 def merge_buffers(gen: DataFrame, disc: DataFrame) -> DataFrame:
@@ -57,14 +65,17 @@ def merge_buffers(gen: DataFrame, disc: DataFrame) -> DataFrame:
     else from the discriminator; ``answer`` from whichever has the key,
     generator first; candidates and their evaluations from the discriminator.
     One aggregate with map-side combine takes the last row of both sides;
-    a row's order is its ``position`` in the files, if it has one.
+    a row's order is its ``position`` in the files, if it has one.  What is
+    present is one number beside the fields: a job that asks only for that
+    neither parses nor moves the fields.
     """
-    both = _side(gen, "g").unionByName(_side(disc, "d"))
-    last = lambda side: F.max_by(F.when(F.col("side") == side, F.col("row")), F.when(F.col("side") == side, F.col("at")))
-    one = both.groupBy("id").agg(last("g").alias("g"), last("d").alias("d"))
-    has = lambda side, k: F.coalesce(F.col(f"{side}.has_{k}"), F.lit(False))
-    first = lambda k: F.when(has("g", k), F.col(f"g.{k}")).when(has("d", k), F.col(f"d.{k}"))
-    own = lambda k: F.when(has("d", k), F.col(f"d.{k}")).alias(k)
+    placed = "position" in gen.columns or "position" in disc.columns
+    both = _side(gen, "g", placed).unionByName(_side(disc, "d", placed))
+    last = lambda side, c: F.max_by(F.when(F.col("side") == side, F.col(c)), F.when(F.col("side") == side, F.col("at")))
+    one = both.groupBy("id").agg(*[last(side, c).alias(f"{side}_{c}") for side in "gd" for c in ("present", "row")])
+    has = lambda side, k: F.coalesce(F.col(f"{side}_present"), F.lit(0)).bitwiseAND(F.lit(_BITS[k])) != 0
+    first = lambda k: F.when(has("g", k), F.col(f"g_row.{k}")).when(has("d", k), F.col(f"d_row.{k}"))
+    own = lambda k: F.when(has("d", k), F.col(f"d_row.{k}")).alias(k)
     return one.select(
         "id", first("problem").alias("problem"),
         F.when(has("g", "steps") | has("d", "steps"), first("steps")).otherwise(F.array().cast("array<string>")).alias("steps"),

@@ -11,7 +11,7 @@ from stepwise.operators import search as S
 from stepwise.operators.answers import gold_answer_map
 from stepwise.plans.fixtures import fixture, with_fixtures
 from stepwise.plans.registry import register, rounded
-from stepwise.session import scratch_path
+from stepwise.session import scratch_path, written
 from stepwise.sources.records import read_buffer
 
 
@@ -119,7 +119,7 @@ union all
 select id, 'pending' from m where not has_answer
 """, "f_buffer"))
 def q_buffer_reunite(spark, sf):
-    m = _merged(spark, sf)
+    m = written(_merged(spark, sf).select("id", "has_answer"), "merged")  # merged once, read by both sides
     skipped = m.where("has_answer").select("id", F.lit("skipped").alias("status"))
     todo = S.pending(m).select("id", F.lit("pending").alias("status"))
     return skipped.unionByName(todo)

@@ -176,3 +176,19 @@ def test_step_log_holds_pending_rows_only(spark, tmp_path):
     assert rounds == {0: [0, 1, 2, 3, 4, 5], 1: [2, 3, 4, 5], 2: [4, 5]}
     assert not (tmp_path / "log" / "round=3").exists()
     assert all(out[i]["answer"] == str(i) and len(out[i]["steps"]) == i // 2 + 1 for i in range(6))
+
+
+def test_merge_moves_what_is_asked_for(spark):
+    g = _buf(spark, ['{"id":1,"answer":null}', '{"id":2}', '{"problem":"p"}'])
+    d = _buf(spark, ['{"id":2,"answer":"4"}', '{"answer":"5"}', '{"id":3,"candidates":[]}'])
+    m = S.merge_buffers(g, d)
+    assert {r.id: (r.has_answer, r.answer, r.has_candidates) for r in m.collect()} == {
+        1: (True, None, False), 2: (True, "4", False), None: (True, "5", False), 3: (False, None, True)}
+    plan = m.select("id", "has_answer")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "from_json" not in plan and "get_json_object" not in plan
+
+
+def test_reunite_merges_once(spark, sf):
+    import __spark_entry__ as E
+    plan = E.queries()["buffer_reunite"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
