@@ -102,7 +102,7 @@ select conv_id, turn, instruction, output from f_sft order by conv_id, turn limi
 """, "f_sft"))
 def q_sft_scan_head(spark, sf):
     src = fixture(spark, sf, "f_sft")
-    path = RS.write_records(src.repartition(3), scratch_path(spark, "sft"), fmt="parquet")
+    path = RS.write_records(src, scratch_path(spark, "sft"), fmt="parquet")
     return RS.read_parquet_folder(spark, path, required=("instruction", "output"), max_samples=100,
                                   order_by=("conv_id", "turn")).select("conv_id", "turn", "instruction", "output")
 
@@ -110,7 +110,7 @@ def q_sft_scan_head(spark, sf):
 @register("pref_scan_prune", with_fixtures("select prompt, chosen, rejected from f_pref", "f_pref"))
 def q_pref_scan_prune(spark, sf):
     src = fixture(spark, sf, "f_pref").withColumn("extra", F.length("chosen"))
-    path = RS.write_records(src.repartition(2), scratch_path(spark, "pref"), fmt="parquet")
+    path = RS.write_records(src, scratch_path(spark, "pref"), fmt="parquet")
     cols = ("prompt", "chosen", "rejected")
     return RS.read_parquet_folder(spark, path, required=cols, keep=cols)
 

@@ -179,3 +179,17 @@ def test_report_is_written_as_a_whole(spark, tmp_path):
     assert RS.read_report(spark, path).count() == 3 and RS.read_report(spark, path, "wrong").first().text == "r3"
     RS.write_report(summary, records.limit(2), path)
     assert RS.read_report(spark, path, schema="id int, text string").count() == 2
+
+
+def test_parquet_folder_files_follow_the_data(spark, sf):
+    import __spark_entry__ as E
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name in ("pref_scan_prune", "sft_scan_head"):
+            assert len(E.queries()[name](spark, sf).inputFiles()) > 3, name
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
