@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,8 @@ class ChunkTable:
 
     def _word_ids(self, word: str) -> bytes:
         """Ids of a lower-cased Latin-1 run of letters, which the tokenizer hands to its model as one word."""
-        return self.pack(*[t.id for t in self.model.tokenize(word.translate(self.letters))])
+        found = self.model.tokenize(word if word.isascii() else word.translate(self.letters))
+        return self.pack(*[t.id for t in found]) if len(found) != 1 else found[0].id.to_bytes(4, "little")
 
     @staticmethod
     def pack(*ids: int) -> bytes:
@@ -88,28 +90,28 @@ class ChunkTable:
         split = [self._chunks(t) if t else [] for t in texts]
         self._age()
         chunks = self.chunks
-        new = [c for c in set().union(*split) if c not in chunks]
-        if any(len(c) > LONG_CHUNK for c in new):
+        new = set().union(*split).difference(chunks)
+        if new and len(max(new, key=len)) > LONG_CHUNK:
             chunks = {c: chunks[c] for part in split for c in part if c in chunks}
         self._learn(new, chunks)
-        return [b"".join([chunks[c] for c in part]) for part in split]
+        return [b"".join(itemgetter(*part)(chunks)) if len(part) > 1 else chunks[part[0]] if part else b"" for part in split]
 
-    def _learn(self, new: list[str], chunks: dict[str, bytes]) -> None:
+    def _learn(self, new: set[str], chunks: dict[str, bytes]) -> None:
         """Add the ids of chunks; lower-cased Latin-1 ones are put together from the table of their runs."""
         whole = []
         old, run_ids = self.old_chunks, self._run_ids
-        for c in new:
-            got = old.get(c)
-            if got is None:
-                if len(c) > LONG_CHUNK or not self._plain(c):
-                    whole.append(c)
-                    continue
-                core = c.rstrip(_TRAIL)
-                if core.isalpha():
-                    got = run_ids(core) if len(core) == len(c) else run_ids(core) + run_ids(c[len(core):])
-                else:
-                    got = b"".join(map(run_ids, _RUNS.findall(c)))
-            chunks[c] = got
+        fresh = new.difference(old)
+        for c in new.difference(fresh):
+            chunks[c] = old[c]
+        for c in fresh:
+            if len(c) > LONG_CHUNK or not self._plain(c):
+                whole.append(c)
+                continue
+            core = c.rstrip(_TRAIL)
+            if core.isalpha():
+                chunks[c] = run_ids(core) if len(core) == len(c) else run_ids(core) + run_ids(c[len(core):])
+            else:
+                chunks[c] = b"".join(map(run_ids, _RUNS.findall(c)))
         for lo in range(0, len(whole), 4096):
             chunks.update(zip(whole[lo:lo + 4096], self._ids(whole[lo:lo + 4096])))
 
@@ -125,10 +127,11 @@ class ChunkTable:
     @staticmethod
     def _plain(chunk: str) -> bool:
         """Latin-1 (nothing to compose), lower-cased, without the start of a special token."""
-        try:
-            chunk.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
+        if not chunk.isascii():
+            try:
+                chunk.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
         return "<|" not in chunk and chunk == chunk.lower()
 
     @staticmethod

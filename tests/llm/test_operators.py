@@ -213,6 +213,21 @@ def test_chunk_tables_equal_the_libraries(spark, edge, none):
     assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_chunks_move_back_from_the_old_table(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, table = Tokenizer.from_file(path), packing.ChunkTable(path)
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 2)
+    learned = []
+    monkeypatch.setattr(table, "_plain", lambda c: learned.append(c) or packing.ChunkTable._plain(c))
+    batches = [["one", None, "", "two one."], ["two, 3 four", "naïve İ"], ["one four " + "x" * 70, "x" * 70], ["one", "four"]]
+    for texts in batches:
+        assert [np.frombuffer(b, "<u4").tolist() for b in table.encode(texts)] == [
+            whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert learned.count("four") == 1 and "x" * 70 not in table.chunks
+
+
 def test_edited_fingerprints(spark, sf, edge, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
