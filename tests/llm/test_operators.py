@@ -228,6 +228,27 @@ def test_chunks_move_back_from_the_old_table(monkeypatch):
     assert learned.count("four") == 1 and "x" * 70 not in table.chunks
 
 
+@pytest.mark.parametrize("symbols", [suffix_dedup.BYTES, suffix_dedup.Symbols(np.uint64, str.encode)])
+def test_repeated_windows_are_those_of_equal_symbols(symbols):
+    """Against all windows compared, with zero symbols and texts that end within a window of another."""
+    rng = random.Random(9)
+    seen = 0
+    for length in (9, 13, 16, 21):
+        lines = [[rng.choice((0, 0, 0, 1)) for _ in range(rng.randint(0, 40))] for _ in range(30)]
+        lines += [lines[0][:length - 1], [0] * length, [0] * (length + 3), lines[1] + lines[2]]
+        times = np.array([rng.randint(1, 2) for _ in lines])
+        count = collections.Counter()
+        for x, n in zip(lines, times.tolist()):
+            for i in range(len(x) - length + 1):
+                count[tuple(x[i:i + length])] += n
+        flags, text, start = suffix_dedup.repeated_windows([np.array(x, symbols.dtype).tobytes() for x in lines], length, times, symbols)
+        assert [f.tolist() for f in flags] == [[count[tuple(x[i:i + length])] > 1 for i in range(max(0, len(x) - length + 1))] for x in lines]
+        heads = [tuple(lines[t][a:a + length]) for t, a in zip(text.tolist(), start.tolist())]
+        assert sorted(heads) == sorted(count)
+        seen += sum(n > 1 for n in count.values())
+    assert seen > 20
+
+
 def test_edited_fingerprints(spark, sf, edge, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
