@@ -3,10 +3,12 @@
 1. Each text becomes its set of distinct 2-word shingles (64-bit hashes) and
    a signature of ``COORDINATES`` minima.  Equal sets are one class, kept by
    its smallest id; only classes go on.
-2. Classes are posted under their (coordinate, value) pairs.  Two sets that
+2. Classes are posted under the values of their ``PAIRS`` pairs of neighbouring
+   coordinates (two words of chance in common are much rarer than one).  Two sets that
    reach the threshold agree in at least ``MATCHES`` coordinates (but for a
-   chance of 3.2e-7 at exactly 0.8, 9.8e-8 at 0.81, 2.9e-10 at 0.85), so they share one of the
-   ``m - MATCHES + 1`` rarest of the ``m`` values that any other class has,
+   chance of 3.2e-7 at exactly 0.8, 9.8e-8 at 0.81, 2.9e-10 at 0.85), hence in at least
+   ``k = MATCHES - PAIRS`` whole pairs, so they share one of the
+   ``m - k + 1`` rarest of the ``m`` pair values that any other class has,
    too: only that prefix is posted, and classes with too few shared values
    are skipped altogether.
 3. Posting lists are not expanded into pairs.  In rounds, as long as they find
@@ -44,11 +46,14 @@ from stepwise.llm.common import discard, materialise
 from stepwise.llm.components import connected_components
 
 COORDINATES = 64
+PAIRS = COORDINATES // 2
 MATCHES = 34
 BLOCK = 4000
 #: Most bytes of sets in a block; a size class bounds its sets.
 BLOCK_BYTES = 32 << 20
 CACHE_WORDS = 400_000
+#: Bits of a posting key below the number of its pair.
+KEY_BITS = 58
 #: Rounds go on while one finds at least this share of the first round's links; what they leave open, the blocks settle.
 ROUND_SHARE = 0.02
 #: Pairs of a round, or ids, that are broadcast: at most 16 MB.
@@ -167,15 +172,22 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """``(doc_id, key, b)``: the rarest shared (coordinate, value) pairs of each class."""
-    every = classes.select("doc_id", "b", F.posexplode("sig").alias("c", "v"))
-    every = every.select("doc_id", "b", F.expr("shiftleft(cast(c as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("key"))
+    """``(doc_id, key, b)``: the rarest shared pair values of each class; a key is the pair's number and 58 bits of its values' hash."""
+    least = max(1, matches - PAIRS)
+    keys = (f"transform(sequence(0, {PAIRS - 1}), c -> shiftleft(cast(c as bigint), {KEY_BITS})"
+            f" | shiftrightunsigned(xxhash64(sig[2 * c], sig[2 * c + 1]), {64 - KEY_BITS}))")
+    every = classes.select("doc_id", "b", F.explode(F.expr(keys)).alias("key"))
     often = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = every.join(often, "key").dropDuplicates(["doc_id", "key", "b"])
+    shared = every.join(often, "key").repartition("doc_id").dropDuplicates(["doc_id", "key", "b"])  # dealt once, for the window too
     own = Window.partitionBy("doc_id")
     return (shared.withColumn("m", F.count(F.lit(1)).over(own))
             .withColumn("rank", F.row_number().over(own.orderBy("n", "key")))
-            .where((F.col("m") >= matches) & (F.col("rank") <= F.col("m") - matches + 1)).select("doc_id", "key", "b"))
+            .where((F.col("m") >= least) & (F.col("rank") <= F.col("m") - least + 1)).select("doc_id", "key", "b"))
+
+
+def _pair_bit(key: str = "key") -> Column:
+    """The bit of a key's pair in masks."""
+    return F.expr(f"shiftleft(1L, cast(shiftright({key}, {KEY_BITS}) as int))")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, small: int = SMALL_PAIRS) -> DataFrame:
@@ -246,8 +258,8 @@ def _merged(lists: DataFrame, share: float = MERGE_SHARE) -> DataFrame:
     Every class names the longest list that it is in.  A list goes to the one
     that at least ``share`` of its members name (all, if it is contained in
     it), and stays by itself otherwise.  A list goes as a whole, so two
-    classes that met in a list still meet; ``coords`` are the coordinates of
-    the lists that were joined.
+    classes that met in a list still meet; ``coords`` are the pairs of
+    coordinates of the lists that were joined.
     """
     longest = lists.groupBy("w", "doc_id").agg(F.max(F.struct("members", "key")).alias("top"))
     named = lists.join(longest, ["w", "doc_id"]).groupBy("w", "key", "members", F.col("top.key").alias("to")).agg(F.count(F.lit(1)).alias("n"))
@@ -258,8 +270,7 @@ def _merged(lists: DataFrame, share: float = MERGE_SHARE) -> DataFrame:
     further = home.select("w", F.col("key").alias("to"), F.col("to").alias("home"))
     home = home.join(further, ["w", "to"]).select("w", "key", "home")
     moved = lists.drop("members").join(home, ["w", "key"])
-    bit = F.expr("shiftleft(1L, cast(shiftright(key, 32) & 63 as int))")
-    groups = materialise(moved.groupBy("home", "w", "doc_id", "comp").agg(F.bit_or(bit).alias("coords")), "groups")
+    groups = materialise(moved.groupBy("home", "w", "doc_id", "comp").agg(F.bit_or(_pair_bit()).alias("coords")), "groups")
     size = groups.groupBy("home", "w").agg(F.bit_or("coords").alias("coords"), F.count(F.lit(1)).alias("members"))
     return groups.drop("coords").join(size, ["home", "w"]).withColumnRenamed("home", "key")
 
@@ -315,7 +326,7 @@ class _Signatures:
         self.left, self.right = np.flatnonzero(s == i), np.flatnonzero(s == j)
         self.same = len(self.left) and i[0] == j[0]
         self.w = t.column("w")[0].as_py()
-        bits = np.arange(COORDINATES, dtype=np.uint64)
+        bits = np.arange(PAIRS, dtype=np.uint64)
         self.own = (t.column("coords").to_numpy()[:1].view(np.uint64) >> bits & np.uint64(1)).astype(bool)
         self.sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(len(self.ids), -1)
         self.posted = (t.column("mask").to_numpy().view(np.uint64)[:, None] >> bits & np.uint64(1)).astype(bool)
@@ -336,7 +347,7 @@ class _Signatures:
             hit &= _collisions(self.sig[part], self.sig[right]) >= self.matches
             p, q = np.nonzero(hit)
             p, q = part[p], right[q]
-            shared = (self.sig[p] == self.sig[q]) & self.posted[p] & self.posted[q]
+            shared = (self.sig[p] == self.sig[q]).reshape(-1, PAIRS, 2).all(axis=2) & self.posted[p] & self.posted[q]
             first = ~shared.any(axis=1) | self.own[shared.argmax(axis=1)]
             if first.any():
                 yield p[first], q[first]
@@ -364,11 +375,14 @@ def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: in
     Signatures alone tell first which members have a partner at all; only
     their sets travel.  Pairs that agree in ``matches`` coordinates are
     confirmed on their sets, in the window of the larger set's class and a
-    list that holds the first coordinate that both posted (sets with mask 0:
+    list that holds the first pair of coordinates that both posted (sets with mask 0:
     in every list), unless links found before in the same group join them.
     """
     need = materialise(_alike_members(lists, sigs, matches, block, percent), "alike")
-    rows = _dealt(lists.join(need, ["key", "w", "doc_id"]), sigs.join(sets, "doc_id"), block)
+    ids = need.select("doc_id").distinct()
+    if ids.limit(SMALL_PAIRS + 1).count() <= SMALL_PAIRS:
+        ids = F.broadcast(ids)
+    rows = _dealt(lists.join(need, ["key", "w", "doc_id"]), sigs.join(sets.join(ids, "doc_id", "left_semi"), "doc_id"), block)
 
     def links_of(t: pa.Table) -> Iterator[tuple[int, int]]:
         group = _Signatures(t, matches, percent)
@@ -409,8 +423,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = some.join(classes, (some.d1 == classes.d1) & (some.d2 == classes.d2) & (some.doc_id == classes.rep)).select(
         "doc_id", F.col("n_shingles").alias("n"), _size_class("n_shingles").alias("b"), "sig", *NIBBLES)
     posts = materialise(postings(reps, matches), "postings")
-    masks = materialise(posts.groupBy("doc_id").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) & 63 as int)))").alias("mask")),
-                        "masks")
+    masks = materialise(posts.groupBy("doc_id").agg(F.bit_or(_pair_bit()).alias("mask")), "masks")
     sets = materialise(full_sets(docs, masks.select("doc_id"), id_col, text_col, shingle_words), "sets")
     member = some.join(classes, ["d1", "d2"]).select("doc_id", "rep")
     # an id whose rows have different texts ties their classes together

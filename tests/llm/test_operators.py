@@ -471,6 +471,17 @@ def test_near_duplicates_link_unlikely_signatures(spark, agree, words):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (2, 1, False)]
 
 
+def test_postings_leave_out_values_shared_by_chance(spark):
+    n = minhash_join.COORDINATES
+    lone = list(range(n))  # shares each of its values with another class, and no two with the same one
+    rows = [(0, 5, lone)] + [(1 + k, 5, [k if c == k else 1000 * (k + 1) + c for c in range(n)]) for k in range(n)]
+    near = [5000000 + c for c in range(n)]
+    rows += [(100, 5, near), (101, 6, near[:17] + [-c for c in range(1, 31)] + near[47:])]  # 34 of 64 values agree
+    posted = minhash_join.postings(spark.createDataFrame(rows, "doc_id long, b int, sig array<int>"), minhash_join.MATCHES).collect()
+    assert {r.doc_id for r in posted} == {100, 101}
+    assert {r.key for r in posted if r.doc_id == 100} & {r.key for r in posted if r.doc_id == 101}
+
+
 def test_url_rules_and_cascade(spark):
     rng = random.Random(7)
     universe = [f"h{i}.example.org" for i in range(3000)] + ["", None]
