@@ -344,6 +344,32 @@ def test_suffix_dedup_equals_brute_force(spark, sizes):
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.9])
+def test_frequent_grams_make_rows_by_blocks_not_by_windows(spark, monkeypatch, share):
+    """Unlike spans of one gram: a passage shorter than the length, and copies with changed letters."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, base = letters(90), letters(200)
+    docs = []
+    for i in range(300):
+        near = "".join(letters(1) if rng.random() < 0.02 else c for c in base)
+        docs.append((i, near if rng.random() < share else letters(rng.randint(60, 90)) + passage + letters(rng.randint(60, 90))))
+    made = collections.Counter()
+    write = suffix_dedup.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, length=100, gram=12, shard_spans=20, shard_bytes=5000).collect()
+    want = {(d, *b) for (d, _), b in zip(docs, _brute_cut([t.encode() for _, t in docs], 100))}
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+    assert made["repeats"] + made["blocks"] < 5 * made["anchors"]
+
+
 def _brute_passages(texts, n):
     words = [t.split() for t in texts]
     c = collections.Counter(tuple(w[i:i + n]) for w in words for i in range(len(w) - n + 1))
