@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import box, unbox
+from stepwise.llm.common import box, map_batches, unbox
 
 MAX_ROWS = 6000
 SEED = 41
@@ -92,7 +92,7 @@ def with_counts(docs: DataFrame, columns: list[str], text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(got[:, k]) for k in range(len(COUNTS)))],
                                              names=["row", *COUNTS])
 
-    return unbox(rows.mapInArrow(run, schema), columns, COUNTS)
+    return unbox(map_batches(rows, run, schema), columns, COUNTS)
 
 
 @dataclass(frozen=True)

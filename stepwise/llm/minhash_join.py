@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import discard, materialise
+from stepwise.llm.common import discard, map_batches, materialise
 from stepwise.llm.components import connected_components
 
 COORDINATES = 64
@@ -152,7 +152,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                  *(pa.array([x[k] for x in z], pa.int64()) for k in range(len(NIBBLES)))],
                 names=["doc_id", "n_shingles", "d1", "d2", "sig", *NIBBLES])
 
-    return rows.mapInArrow(run, SKETCH)
+    return map_batches(rows, run, SKETCH)
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -168,7 +168,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, size:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["doc_id", "sh"])
 
-    return rows.mapInArrow(run, "doc_id bigint, sh array<bigint>")
+    return map_batches(rows, run, "doc_id bigint, sh array<bigint>")
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
@@ -366,7 +366,7 @@ def _alike_members(lists: DataFrame, sigs: DataFrame, matches: int, block: int,
                 some = t.filter(pa.array(found))
                 yield pa.RecordBatch.from_arrays([some.column(c).combine_chunks() for c in ("key", "w", "doc_id")], names=["key", "w", "doc_id"])
 
-    return _dealt(lists, sigs, block).mapInArrow(run, "key bigint, w int, doc_id bigint").distinct()
+    return map_batches(_dealt(lists, sigs, block), run, "key bigint, w int, doc_id bigint").distinct()
 
 
 def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: int, block: int, percent: int) -> DataFrame:
@@ -411,7 +411,7 @@ def _block_links(lists: DataFrame, sigs: DataFrame, sets: DataFrame, matches: in
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["x", "y"])
 
-    return rows.mapInArrow(run, "x bigint, y bigint")
+    return map_batches(rows, run, "x bigint, y bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,

@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.llm.common import map_batches
+
 CAPACITY = 2048
 END_ID = 1
 MAX_OPEN = 1024
@@ -259,4 +261,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if found:
             yield batch_of(found)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return map_batches(rows, run, SCHEMA)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stepwise.llm import suffix_dedup
-from stepwise.llm.common import unbox
+from stepwise.llm.common import map_batches, unbox
 
 WORDS = 51
 GRAM = 10
@@ -109,4 +109,4 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([k for k, _ in both], pa.string()),
                                               pa.array([n for _, n in both], pa.int64())], names=schema.names)
 
-    return unbox(joined.mapInArrow(run, schema), columns, results)
+    return unbox(map_batches(joined, run, schema), columns, results)

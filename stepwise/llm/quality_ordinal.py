@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm.common import box, unbox
+from stepwise.llm.common import box, map_batches, unbox
 
 PLACES = 1 << 18
 MAX_ROWS = 3000
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, columns: list[str], grade
             kept = pa.array([bool(x[keep_grade - 1] >= min_tail) for x in tails], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("row"), expected, tail, kept], names=["row", *RESULTS])
 
-    return unbox(rows.mapInArrow(run, schema), columns, RESULTS)
+    return unbox(map_batches(rows, run, schema), columns, RESULTS)
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from stepwise.llm import (decision_lists, language_id, merkle, minhash_join, packing, passages, pieces, quality_ordinal,  # noqa: E402
+from stepwise.llm import (common, decision_lists, language_id, merkle, minhash_join, packing, passages, pieces, quality_ordinal,  # noqa: E402
                           suffix_dedup, tool_calls, url_filters)
 
 EDGE = [(1, "One two three. Four five!\nsix", "en"), (1, "One two three. Four five!\nsix", "en"), (2, None, None), (3, "", "fr"),
@@ -528,3 +529,38 @@ def test_url_rules_and_cascade(spark):
         (5, "bad.org", "/p", None, "block"), (None, "com", "/en/", "com/en/", "block")])
     for bits in (url_filters.MAX_BITS, 1):
         assert collections.Counter(map(tuple, url_filters.filter_urls(pages, bad, rules, max_bits=bits).collect())) == want
+
+
+@pytest.fixture
+def no_limit(spark):
+    """A session without a limit of its own for the bytes of a batch."""
+    was = spark.conf.get(common.BATCH_CONF, None)
+    spark.conf.unset(common.BATCH_CONF)
+    yield
+    spark.conf.unset(common.BATCH_CONF) if was is None else spark.conf.set(common.BATCH_CONF, was)
+
+
+def _batches(df):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    return common.map_batches(df, run, "n bigint, size bigint").collect()
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark, no_limit):
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))  # 15 MB
+    got = _batches(rows)
+    assert sum(r["n"] for r in got) == 3000
+    assert max(r["size"] for r in got) <= 1.1 * common.BATCH_BYTES
+    assert len(_batches(spark.range(0, 9000, 1, 1))) == 1  # short rows are not cut into more batches
+    long = spark.range(0, 3, 1, 1).select(F.repeat(F.lit("x"), 3 * common.BATCH_BYTES).alias("text"))
+    assert [r["n"] for r in _batches(long)] == [1, 1, 1]
+    spark.conf.set(common.BATCH_CONF, "5m")
+    assert 2 * common.BATCH_BYTES < max(r["size"] for r in _batches(rows)) < 3 * common.BATCH_BYTES
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_pipeline_stages_bound_their_batches(spark, sf, edge, no_limit, stage):
+    stage[1](spark, edge, sf)
+    assert spark.conf.get(common.BATCH_CONF, None) == str(common.BATCH_BYTES)
